@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import common, decontam, quality
+from strandloom.llm import common, decontam, mixing, quality, sharding
+
+
+def op3_mixing(spark, sf_dir):
+    return mixing.digest(common.table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark, sf_dir):
+    return sharding.digest(common.table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark, sf_dir):
@@ -19,6 +27,8 @@ def op9_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_sharding": op4_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
