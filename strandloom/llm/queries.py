@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import common, decontam, mixing, quality, sharding
+from strandloom.llm import common, decontam, mixing, quality, sharding, substring
+
+
+def op1_substring_dedup(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.digest(substring.deduplicate(docs, keep=["doc_id"]))
 
 
 def op3_mixing(spark, sf_dir):
@@ -27,10 +32,40 @@ def op9_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words of each text, from 1: the text with white space runs made one space.
+_WORDS = r"""
+words AS (
+  SELECT d.rid, d.doc_id, string_split(trim(regexp_replace(coalesce(d.text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') AS w
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents) d
+),
+sized AS (SELECT rid, doc_id, CASE WHEN w = [''] THEN [] ELSE w END AS w FROM words)
+"""
+
+_OP1 = f"""
+WITH {_WORDS},
+win AS (
+  SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS s
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM sized WHERE len(w) >= 35)
+),
+hit AS (SELECT rid, i FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM hit),
+kept AS (
+  SELECT e.rid, string_agg(e.word, ' ' ORDER BY e.p) AS t, count(*) AS n
+  FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM sized) e
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.rid = e.rid AND g.p = e.p) GROUP BY e.rid
+)
+SELECT s.doc_id, len(s.w)::BIGINT AS n_words, (len(s.w) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM sized s LEFT JOIN kept k USING (rid)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": _OP1,
+}
