@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import common, decontam, mixing, quality, sharding, substring
+from strandloom.llm import common, decontam, mixing, neardup, quality, sharding, substring
 
 
 def op1_substring_dedup(spark, sf_dir):
@@ -20,6 +20,11 @@ def op4_sharding(spark, sf_dir):
     return sharding.digest(common.table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_neardup(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, size=2, keep=["doc_id"]).drop("__root")
+
+
 def op8_decontamination(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, common.table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -35,6 +40,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_minhash_neardup": op5_minhash_neardup,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
@@ -66,6 +72,71 @@ SELECT s.doc_id, len(s.w)::BIGINT AS n_words, (len(s.w) - coalesce(k.n, 0))::BIG
 FROM sized s LEFT JOIN kept k USING (rid)
 """
 
+_ASCII_LOWER = "translate(coalesce(d.text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP5 = f"""
+WITH RECURSIVE {_WORDS.replace("coalesce(d.text, '')", _ASCII_LOWER)},
+sh AS (
+  SELECT DISTINCT rid, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w), 2))) AS i FROM sized WHERE len(w) > 0)
+),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+both AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL
+),
+link AS (
+  SELECT x, y FROM both JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (
+  SELECT rid AS x, rid AS y FROM sized UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y
+),
+comp AS (SELECT r.x AS rid, min(d.doc_id) AS component_id FROM reach r JOIN sized d ON d.rid = r.y GROUP BY r.x)
+SELECT s.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sized s JOIN comp c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+_OP9 = f"""
+WITH {_WORDS},
+win AS (
+  SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS s
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM sized WHERE len(w) >= 8)
+),
+twice AS (SELECT rid, i FROM win JOIN (SELECT rid, s FROM win GROUP BY ALL HAVING count(*) > 1) USING (rid, s)),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid),
+raw AS (SELECT row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+line AS (
+  SELECT rid, count(*) AS n, count(*) - count(DISTINCT l) AS dup
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM raw) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid
+),
+top AS (
+  SELECT rid, max(c) AS n FROM (SELECT rid, x, count(*) AS c FROM (SELECT rid, unnest(w) AS x FROM sized) GROUP BY ALL) GROUP BY rid
+),
+f AS (
+  SELECT s.rid, s.doc_id, s.w, len(s.w)::BIGINT AS n_words,
+    length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(line.dup, 0)::BIGINT AS n_dup_lines, coalesce(line.n, 0) AS n_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    length(t) - length(replace(t, '!', '')) AS bangs, coalesce(top.n, 0) AS top
+  FROM sized s JOIN raw USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN line USING (rid) LEFT JOIN top USING (rid)
+),
+g AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS letters,
+    len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS capitals,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stutter
+  FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR 2 * n_dup_lines > n_lines OR 4 * bangs > n_words OR 10 * letters < 7 * n_words OR 2 * capitals > n_words
+    OR 10 * top > 3 * n_words OR 5 * stutter > n_words) AS kept
+FROM g
+"""
+
 ORACLES: dict[str, str] = {
+    "op5_minhash_neardup": _OP5,
+    "op9_quality_rules": _OP9,
     "op1_substring_dedup": _OP1,
 }
