@@ -81,11 +81,11 @@ sh AS (
   FROM (SELECT rid, w, unnest(range(1, greatest(len(w), 2))) AS i FROM sized WHERE len(w) > 0)
 ),
 n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
-both AS (
+shared AS (
   SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL
 ),
 link AS (
-  SELECT x, y FROM both JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+  SELECT x, y FROM shared JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 80 * (p.n + q.n - c)
 ),
 edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
 reach AS (
