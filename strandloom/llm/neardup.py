@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm import common
-from strandloom.llm.substring import rolling, scramble, word_hashes
+from strandloom.llm.substring import WordTable, rolling, scramble
 
 TREES, DEPTH, LEAST = 24, 8, 4
 PAIRS, NEAR, BLOCK, REGION = 512, 32, 3000, 100_000
@@ -44,12 +44,12 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SALTS = scramble(np.arange(1, 2 * TREES * DEPTH + 1)).astype(np.uint32).reshape(2, -1)
 
 
-def shingles(text: str | None, size: int, known: dict) -> np.ndarray:
+def shingles(text: str | None, size: int, known: WordTable) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     words = text.encode("utf-8", "replace").translate(_LOWER).split() if text else ()
     if not words:
         return np.zeros(0, np.uint64)
-    h = word_hashes(words, known)
+    h = known.of(words)
     return np.unique(scramble(rolling(h, min(size, len(h))) + np.uint64(min(size, len(h)))))
 
 
@@ -72,7 +72,7 @@ def _describe(size):
     """(a, b, id, text) -> (a, b, id, n, class, signature)"""
 
     def run(batches):
-        known: dict[bytes, int] = {}
+        known = WordTable()
         for batch in batches:
             for start, stop in common.slices(batch.column(3), 4 << 20):
                 part = batch.slice(start, stop - start)
@@ -238,7 +238,7 @@ def _once(batches):
 
 def _sets(size):
     def run(batches):
-        known: dict[bytes, int] = {}
+        known = WordTable()
         for batch in batches:
             for start, stop in common.slices(batch.column(1)):
                 part = batch.slice(start, stop - start)

@@ -1,18 +1,20 @@
 """Substring deduplication by super-k-mer partitioning.
 
 A window is ``window`` consecutive words of one document.  Its minimiser is the
-smallest hash among its runs of ``seed_words`` words, so consecutive windows mostly
-share one; each maximal group of windows with a common minimiser (a super-k-mer) is
-packed as one string, its words joined by spaces, and sent to the minimiser's bucket.
-Equal windows have equal minimisers, so they meet there; the bucket sorts them and
-compares their words, which counts them exactly.
-
-A map task folds equal super-k-mers before it sends them: a copy seen twice in a task
-is known to be repeated on the spot, and one packed string with that mark goes out
-for all.  A passage in a third of all documents so reaches its bucket once per map
-batch.  A first pass finds the seeds with a share of all seeds above 2**-16; they rank
-after all others, so windows around a very common passage fall to the buckets of their
-other seeds.  Packed strings travel compressed.
+smallest hash among its runs of ``seed`` words, the leftmost of equals, so consecutive
+windows mostly share one; the windows around one occurrence of it are a super-k-mer.
+
+1. Minimisers are counted: a window whose minimiser occurs once in the corpus can't
+   be repeated, so most super-k-mers end here, as a few bytes each.
+2. The others are packed, each as one string of words, and sent to their minimiser's
+   bucket.  Equal windows have equal minimisers, so they meet there; the bucket sorts
+   its windows and compares their words, which counts them exactly.
+3. Words under repeated windows are cut from each document.
+
+A map batch folds equal strings: one goes out, marked as repeated.  So a passage in a third of all documents reaches its bucket once per map batch.  Around
+a minimiser that occurs over ``crowded`` times, where strings differ in the words next
+to a very common passage, windows travel as 128-bit fingerprints dealt by fingerprint,
+so that no bucket has to hold them all.
 
 Defined cases: null and empty texts have no words and keep none; documents shorter
 than a window lose nothing; repeated rows are each other's copies; an empty table
@@ -21,11 +23,11 @@ gives no rows; clashing columns are replaced.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +36,31 @@ from pyspark.sql import types as T
 from strandloom.llm import common
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: A seed is hot from 2**-_SHARE of all; so at most 2**_SHARE are.
-_SHARE = 16
 _MUL = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+_NEVER = np.uint64(2**64 - 1)
+
+
+class WordTable(dict):
+    """Words -> hashes that are the same in every process, looked up in bulk."""
+
+    def __init__(self, most: int = 1_000_000):
+        super().__init__()
+        self.most, self.hashes, self.new = most, np.zeros(0, np.uint64), []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(xxhash.xxh3_64_intdigest(word))
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+            self.hashes, self.new = np.zeros(0, np.uint64), []
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self.hashes = np.concatenate([self.hashes, np.array(self.new, np.uint64)])
+            self.new = []
+        return self.hashes[at]
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -47,177 +71,249 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Hashes of words that are the same in every process."""
-    get, out = known.get, [0] * len(words)
-    for i, w in enumerate(words):
-        h = get(w)
-        if h is None:
-            h = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        out[i] = h
-    if len(known) > 1_000_000:
-        known.clear()
-    return np.array(out, np.uint64)
-
-
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k."""
     n = len(h) - k + 1
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
+    out = np.zeros(max(n, 0), np.uint64)
+    for j in range(k if n > 0 else 0):
         out *= _ODD
         out += h[j : j + n]
     return out
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Least of each run of w, by doubling."""
-    out, have = x, 1
+def sliding_min(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least of each run of w, and its leftmost place, by doubling."""
+    place, have = np.arange(len(x), dtype=np.int32), 1
     while have < w:
         step = min(have, w - have)
-        out = np.minimum(out[:-step], out[step:])
+        right = x[step:] < x[:-step]
+        place = np.where(right, place[step:], place[:-step])
+        x = np.where(right, x[step:], x[:-step])
         have += step
-    return out
+    return x, place
+
+
+def super_kmers(hashes: np.ndarray, sizes: np.ndarray, window: int, seed: int):
+    """(document, first window in it, number of windows, minimiser) of every super-k-mer of documents laid end to end."""
+    none = np.zeros(0, np.int64)
+    if len(hashes) < window:
+        return none, none, none, none
+    least, where = sliding_min(scramble(rolling(hashes, seed)), window - seed + 1)
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
+    place = np.arange(len(least)) - begin[owner]
+    valid = place + window <= sizes[owner]
+    new = np.ones(len(least), bool)
+    new[1:] = (where[1:] != where[:-1]) | (place[1:] == 0) | ~valid[:-1]
+    first = np.flatnonzero(new & valid)
+    run = np.cumsum(new) - 1
+    count = np.bincount(run[valid], minlength=run[-1] + 1)[run[first]]
+    return owner[first], place[first], count, least[first].view(np.int64)
 
 
-def super_kmers(hashes, window, seed, hot):
-    """(first window, one past the last window, minimiser) of every super-k-mer; seeds in ``hot`` rank last."""
-    seeds = scramble(rolling(hashes, seed)) >> np.uint64(1)
-    if len(hot):
-        near = np.minimum(np.searchsorted(hot, seeds), len(hot) - 1)
-        seeds = seeds | ((hot[near] == seeds).astype(np.uint64) << np.uint64(63))
-    least = sliding_min(seeds, window - seed + 1)
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-    starts = np.concatenate([[0], cut])
-    ends = np.concatenate([cut, [len(least)]])
-    return zip(starts.tolist(), ends.tolist(), least[starts].tolist(), strict=True)
-
-
-def _frequent(batches, seed):
-    """Seeds that are frequent in a batch, with their counts; a null seed counts words and bytes."""
-    known: dict[bytes, int] = {}
-    for batch in batches:
-        for start, stop in common.slices(batch.column(0), 16 << 20):
-            parts, n_bytes = [], 0
-            for text in batch.column(0).slice(start, stop - start).to_pylist():
-                raw = text.encode("utf-8", "replace") if text else b""
-                n_bytes += len(raw)
-                words = raw.split()
-                if len(words) >= seed:
-                    parts.append(scramble(rolling(word_hashes(words, known), seed)) >> np.uint64(1))
-            every = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-            edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-            count = np.diff(np.concatenate([edge, [len(every)]]))
-            often = count >= max(8, len(every) >> (_SHARE + 2))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *every[edge[often]].tolist()], pa.int64()), pa.array([len(every), *count[often].tolist()], pa.int64()),
-                 pa.array([n_bytes, *[0] * int(often.sum())], pa.int64())], names=["seed", "n", "bytes"])
-
-
-def pack(items: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(items))
-
-
-_SENT = T.StructType([
-    T.StructField("bucket", T.IntegerType()),
-    T.StructField("strings", T.BinaryType()),  # compressed, one super-k-mer per line
-    T.StructField("meta", T.BinaryType()),  # int64 (key a, key b, first window, 1 if repeated already) each
-    T.StructField("a", T.LongType()),
-    T.StructField("b", T.LongType()),
-    T.StructField("spans", T.BinaryType()),  # int64 pairs, when the row is a result
-])
-
-
-def _send(batches, window, seed, buckets, hot):
-    known: dict[bytes, int] = {}
-    for batch in batches:
-        for start, stop in common.slices(batch.column(2), 16 << 20):
-            part = batch.slice(start, stop - start)
-            seen: dict[bytes, list] = {}  # packed words -> [minimiser, a, b, first, count]
-            twice: dict[tuple, list] = defaultdict(list)
-            for a, b, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                words = text.encode("utf-8", "replace").split() if text else ()
-                if len(words) < window:
-                    continue
-                for i, j, least in super_kmers(word_hashes(words, known), window, seed, hot):
-                    string = b" ".join(words[i : j + window - 1])
-                    got = seen.get(string)
-                    if got is None:
-                        seen[string] = [least, a, b, i, j]
-                    else:
+def tokens(column) -> list[list[bytes]]:
+    return [t.encode("utf-8", "replace").split() if t else [] for t in column.to_pylist()]
+
+
+def _columns(rows, types):
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+    return [pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]
+
+
+_PACKED = "bucket int, a long, b long, data binary, meta binary"
+_PACKED_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+_NAMES = ["bucket", "a", "b", "data", "meta"]
+
+
+def _by_document(a, b, values):
+    """Rows of int64 ``values`` grouped by their document: (a, b, data)."""
+    order = np.lexsort((b, a))
+    a, b, values = a[order], b[order], values[order]
+    for i, j in zip(*_runs(a, b), strict=True):
+        yield int(a[i]), int(b[i]), values[i:j].tobytes()
+
+
+def _survey(window, seed, buckets):
+    """Send minimisers to their buckets: those met once in the batch with their place, others with their number.
+
+    Places of the latter are repeated for certain; they go on as rows of their document."""
+
+    def run(batches):
+        table = WordTable()
+        for batch in batches:
+            for start, stop in common.slices(batch.column(2)):
+                part = batch.slice(start, stop - start)
+                docs = tokens(part.column(2))
+                sizes = np.array([len(d) for d in docs], np.int64)
+                hashes = table.of([w for d in docs for w in d])
+                doc, first, count, least = super_kmers(hashes, sizes, window, seed)
+                a, b = (part.column(i).to_numpy(zero_copy_only=False)[doc] for i in (0, 1))
+                _, one, inverse, times = np.unique(least, return_index=True, return_inverse=True, return_counts=True)
+                often = times[inverse] > 1
+                rows = [(x % buckets, x, y, d, None) for x, y, d in _by_document(a[often], b[often], np.stack([first, count, least], 1)[often])]
+                lines = np.stack([least, a, b, first, count], 1)[one]
+                lines[times > 1, 3] = -1
+                lines = np.concatenate([lines, times[:, None]], 1)
+                to = (lines[:, 0].copy().view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                to, lines = to[order], lines[order]
+                for i, j in zip(*_runs(to), strict=True):
+                    rows.append((int(to[i]), None, None, pack(lines[i:j].T.astype("<i8", order="C").tobytes()), None))
+                yield pa.RecordBatch.from_arrays(_columns(rows, _PACKED_TYPES), names=_NAMES)
+
+    return run
+
+
+def _runs(*keys):
+    """Bounds of the runs of equal keys."""
+    n = len(keys[0])
+    if not n:
+        return [], []
+    new = np.ones(n, bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    edge = np.flatnonzero(new).tolist()
+    return edge, [*edge[1:], n]
+
+
+def pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _common(crowded):
+    """Of one bucket: the places whose minimiser occurs twice or more, by document, as (first, count, minimiser);
+    and, without a document, the minimisers that occur over ``crowded`` times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, parts = [], [np.zeros((6, 0), np.int64)]
+        for a, b, data in zip(*(table.column(c).to_pylist() for c in ("a", "b", "data")), strict=True):
+            if a is None:
+                parts.append(np.frombuffer(unpack(data), np.int64).reshape(6, -1))
+            else:
+                rows.append((a, b, data))
+        least, a, b, first, count, times = np.concatenate(parts, 1)
+        value, inverse = np.unique(least, return_inverse=True)
+        total = np.zeros(len(value), np.int64)
+        np.add.at(total, inverse, times)
+        live = (total[inverse] > 1) & (first >= 0)
+        rows += _by_document(a[live], b[live], np.stack([first, count, least], 1)[live])
+        if (total > crowded).any():
+            rows.append((None, None, value[total > crowded].tobytes()))
+        return pa.table(dict(zip(("a", "b", "data"), _columns(rows, [pa.int64(), pa.int64(), pa.binary()]), strict=True)))
+
+    return run
+
+
+def _pack_strings(window, buckets, crowded):
+    """(a, b, text, places) -> packed strings and fingerprints by bucket; spans known to be repeated by document."""
+
+    def run(batches):
+        table, often = WordTable(), crowded.value
+        for batch in batches:
+            for start, stop in common.slices(batch.column(2)):
+                part = batch.slice(start, stop - start)
+                seen: dict[bytes, list] = {}
+                twice: dict[tuple, list] = defaultdict(list)
+                prints = []
+                docs = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens(part.column(2)), part.column(3).to_pylist(), strict=True)
+                for a, b, words, places in docs:
+                    places = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 3) for p in places])
+                    for first, count, least in places.tolist():
+                        inside = words[first : first + count + window - 1]
+                        if least in often:
+                            prints.append((a, b, first, fingerprints(table.of(inside), window)))
+                            continue
+                        string = b" ".join(inside)
+                        got = seen.get(string)
+                        if got is None:
+                            seen[string] = [least, a, b, first, count]
+                            continue
                         if len(got) == 5:
-                            twice[got[1], got[2]].append((got[3], got[4]))
+                            twice[got[1], got[2]].append((got[3], got[3] + got[4]))
                             got.append(True)
-                        twice[a, b].append((i, j))
-            by: dict[int, list] = defaultdict(list)
-            for string, got in seen.items():
-                by[got[0] % buckets].append((string, (got[1], got[2], got[3], len(got) == 6)))
-            seen = {}
-            rows = [(k, pack([s for s, _ in v]), np.array([m for _, m in v], np.int64).tobytes(), None, None, None) for k, v in by.items()]
-            rows += [(a % buckets, None, None, a, b, np.array(v, np.int64).tobytes()) for (a, b), v in twice.items()]
-            yield _batch(rows)
+                        twice[a, b].append((first, first + count))
+                by: dict[int, list] = defaultdict(list)
+                for string, got in seen.items():
+                    by[(got[0] % 2**64) % buckets].append((string, (got[1], got[2], got[3], len(got) == 6)))
+                rows = [(k, None, None, pack(b"\n".join(s for s, _ in v)), np.array([m for _, m in v], np.int64).tobytes()) for k, v in by.items()]
+                rows += [(a % buckets, a, b, np.array(v, np.int64).tobytes(), None) for (a, b), v in twice.items()]
+                rows += _deal(prints, buckets)
+                yield pa.RecordBatch.from_arrays(_columns(rows, _PACKED_TYPES), names=_NAMES)
+
+    return run
+
+
+def fingerprints(hashes: np.ndarray, window: int) -> np.ndarray:
+    """128 bits for each window."""
+    return np.stack([scramble(rolling(hashes, window)), scramble(rolling(scramble(hashes + _ODD), window))], 1)
 
 
-def _batch(rows):
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=_SENT.names)
+def _deal(prints, buckets):
+    """Fingerprint rows by bucket, (bucket, -1, null, fingerprints, places)."""
+    if not prints:
+        return []
+    f = np.concatenate([p for *_, p in prints])
+    lines = np.concatenate([np.stack([np.full(len(p), a), np.full(len(p), b), np.arange(first, first + len(p))], 1) for a, b, first, p in prints])
+    to = (f[:, 0] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    to, f, lines = to[order], f[order], lines[order]
+    return [(int(to[i]), -1, None, f[i:j].tobytes(), pack(lines[i:j].tobytes())) for i, j in zip(*_runs(to), strict=True)]
 
 
-def repeated_windows(strings: list[bytes], marks: np.ndarray, window: int, known=None) -> list[list[tuple[int, int]]]:
+def repeated_windows(strings: list[bytes], marks: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
     """For each string the runs of its windows that occur more than once in all (a marked string counts twice)."""
-    known = {} if known is None else known
     words = [s.split(b" ") for s in strings]
     sizes = np.array([len(w) for w in words])
-    flat = [w for ws in words for w in ws]
-    ids: dict[bytes, int] = {}
-    code = np.fromiter((ids.setdefault(w, len(ids)) for w in flat), np.int64, len(flat))
+    ids = WordTable()
+    code = np.fromiter((x for w in words for x in map(ids.__getitem__, w)), np.int64, int(sizes.sum()))
     windows = sizes - window + 1
     begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(strings)), windows)
-    at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + begin[owner]
+    place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = place + begin[owner]
     h = scramble(rolling(scramble(code + 1), window))[at]
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     s = h[order]
     edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     size = np.diff(np.concatenate([edge, [len(s)]]))
     many = np.repeat(size > 1, size)
-    hit = np.zeros(len(h), bool)
-    hit |= marks[owner] > 0
-    if many.any():
-        chosen = order[many]
-        rows = code[at[chosen][:, None] + np.arange(window)]  # words decide, not hashes
-        head = np.repeat(np.cumsum(size[size > 1]) - size[size > 1], size[size > 1])
-        if (rows == rows[head]).all():
-            hit[chosen] = True
-        else:  # two windows share a hash: sort their words
-            _, inverse, count = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
-            hit[chosen[count[inverse.ravel()] > 1]] = True
+    hit = marks[owner] > 0
+    chosen = order[many]
+    head = order[np.repeat(edge[size > 1], size[size > 1])]
+    same = all((code[at[chosen[i : i + 65536], None] + np.arange(window)] == code[at[head[i : i + 65536], None] + np.arange(window)]).all() for i in range(0, len(chosen), 65536))
+    if same:  # words decide, not hashes
+        hit[chosen] = True
+    else:  # different windows share a hash: sort their words
+        _, inverse, count = np.unique(code[at[chosen, None] + np.arange(window)], axis=0, return_inverse=True, return_counts=True)
+        hit[chosen[count[inverse.ravel()] > 1]] = True
     out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    place = at - begin[owner]
     at_hit = np.flatnonzero(hit)
     if len(at_hit):
         gap = np.flatnonzero((np.diff(at_hit) != 1) | (np.diff(owner[at_hit]) != 0)) + 1
-        for first, last in zip(np.concatenate([[0], gap]), np.concatenate([gap, [len(at_hit)]]) - 1, strict=True):
-            i, j = at_hit[first], at_hit[last]
+        for i, j in zip(at_hit[np.concatenate([[0], gap])].tolist(), at_hit[np.concatenate([gap, [len(at_hit)]]) - 1].tolist(), strict=True):
             out[owner[i]].append((int(place[i]), int(place[j]) + 1))
     return out
 
 
 def _count(window):
-    """Count the windows of one bucket's rows; rows that are results already pass."""
+    """Count the windows of one bucket; spans known already pass."""
 
     def run(table: pa.Table) -> pa.Table:
         strings: list[bytes] = []
         metas = [np.zeros((0, 4), np.int64)]
-        done = []
-        open_ = zstandard.ZstdDecompressor()
-        for s, m, a, b, spans in zip(*(table.column(c).to_pylist() for c in ("strings", "meta", "a", "b", "spans")), strict=True):
-            if s is None:
-                done.append((a, b, spans))
+        done, prints, lines = [], [], []
+        for a, b, data, meta in zip(*(table.column(c).to_pylist() for c in ("a", "b", "data", "meta")), strict=True):
+            if meta is None:
+                done.append((a, b, data))
+            elif a is None:
+                strings += unpack(data).split(b"\n")
+                metas.append(np.frombuffer(meta, np.int64).reshape(-1, 4))
             else:
-                strings += open_.decompress(s).split(b"\n")
-                metas.append(np.frombuffer(m, np.int64).reshape(-1, 4))
+                prints.append(np.frombuffer(data, np.uint64).reshape(-1, 2))
+                lines.append(np.frombuffer(unpack(meta), np.int64).reshape(-1, 3))
         meta = np.concatenate(metas)
         found: dict[tuple, list] = defaultdict(list)
         if strings:
@@ -225,8 +321,12 @@ def _count(window):
                 if runs and not marked:
                     found[a, b] += [(first + x, first + y) for x, y in runs]
         done += [(a, b, np.array(v, np.int64).tobytes()) for (a, b), v in found.items()]
-        cols = list(zip(*done, strict=True)) if done else [[]] * 3
-        return pa.table({"a": pa.array(list(cols[0]), pa.int64()), "b": pa.array(list(cols[1]), pa.int64()), "spans": pa.array(list(cols[2]), pa.binary())})
+        if prints:
+            f, line = np.concatenate(prints), np.concatenate(lines)
+            _, inverse, count = np.unique(f, axis=0, return_inverse=True, return_counts=True)
+            line = line[count[inverse.ravel()] > 1]
+            done += _by_document(line[:, 0], line[:, 1], np.stack([line[:, 2], line[:, 2] + 1], 1))
+        return pa.table(dict(zip(("a", "b", "data"), _columns(done, [pa.int64(), pa.int64(), pa.binary()]), strict=True)))
 
     return run
 
@@ -239,49 +339,47 @@ FIELDS = [
 
 
 def deduplicate(docs: DataFrame, *, text="text", ident="doc_id", window: int = 35, seed: int = 8,
-                bucket_bytes: int = 8 << 20, keep=None) -> DataFrame:
+                bucket_bytes: int = 8 << 20, crowded: int = 200_000, keep=None) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (the words outside every repeated window, joined by one space)."""
-    spark = docs.sparkSession
-    common.ship(spark)
+    common.ship(docs.sparkSession)
     col = F.col(f"`{text}`")
-    keys = [F.xxhash64(F.col(f"`{ident}`"), col).alias("__a"), F.xxhash64(F.lit(7), col, F.col(f"`{ident}`")).alias("__b")]
-    counts = docs.select(col.alias("t")).mapInArrow(lambda it: _frequent(it, seed), "seed long, n long, bytes long")
-    counts = counts.groupBy("seed").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    counts = common.written(counts, "seeds")
-    sums = counts.where("seed is null").first()
-    n, size = (sums.n, sums.bytes) if sums else (0, 0)
-    hot = np.array(sorted(r.seed for r in counts.where(F.col("seed").isNotNull() & (F.col("n") >= max(1000, n >> _SHARE))).select("seed").collect()), np.uint64)
-    buckets = max(1, min(1 << 20, 3 * size // bucket_bytes))
-    shared = spark.sparkContext.broadcast(hot)
-    sent = docs.select(*keys, col.alias("t")).mapInArrow(lambda it: _send(it, window, seed, buckets, shared.value), _SENT)
-    spans = sent.groupBy("bucket").applyInArrow(_count(window), "a long, b long, spans binary")
-    spans = spans.groupBy("a", "b").agg(F.collect_list("spans").alias("__spans"))
+    a, b = F.xxhash64(F.col(f"`{ident}`"), col), F.xxhash64(F.lit(7), col, F.col(f"`{ident}`"))
+    rows = docs.select(a.alias("a"), b.alias("b"), col.alias("t"))
+    size = docs.agg(F.sum(F.octet_length(col))).first()[0] or 0
+    buckets = max(1, min(1 << 20, size // bucket_bytes))
+    survey = rows.mapInArrow(_survey(window, seed, buckets), _PACKED)
+    crowded = max(crowded, size >> 25)  # so at most a few 2**18 of about size / 100 super-k-mers are
+    places = survey.groupBy("bucket").applyInArrow(_common(crowded), "a long, b long, data binary")
+    places = common.written(places.groupBy("a", "b").agg(F.collect_list("data").alias("places")), "places")
+    often = {x for r in places.where("a is null").collect() for p in r.places for x in np.frombuffer(p, np.int64).tolist()}
+    often = docs.sparkSession.sparkContext.broadcast(often)
+    sent = rows.join(places.where("a is not null"), ["a", "b"]).mapInArrow(_pack_strings(window, buckets, often), _PACKED)
+    spans = sent.groupBy("bucket").applyInArrow(_count(window), "a long, b long, data binary")
+    spans = common.written(spans.groupBy("a", "b").agg(F.collect_list("data").alias("__spans")), "spans")
     names = {f.name for f in FIELDS}
     out = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*out, text])), *keys)
-    joined = rows.join(spans, (rows["__a"] == spans["a"]) & (rows["__b"] == spans["b"]), "left").drop("a", "b", "__a", "__b")
+    full = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*out, text])), a.alias("__a"), b.alias("__b"))
+    joined = full.join(spans, (F.col("__a") == spans["a"]) & (F.col("__b") == spans["b"]), "left").drop("a", "b", "__a", "__b")
     schema = T.StructType([docs.schema[c] for c in out] + FIELDS)
 
     def cut(batches):
         for batch in batches:
             for start, stop in common.slices(batch.column(batch.schema.get_field_index(text))):
                 part = batch.slice(start, stop - start)
-                done = [_cut(t, s, window) for t, s in zip(part.column(text).to_pylist(), part.column("__spans").to_pylist(), strict=True)]
-                cols = list(zip(*done, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in out] + [pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=schema.names)
+                done = [_cut(w, s, window) for w, s in zip(tokens(part.column(text)), part.column("__spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in out] + _columns(done, [pa.int64(), pa.int64(), pa.string()]), names=schema.names)
 
     return joined.mapInArrow(cut, schema)
 
 
-def _cut(text, spans, window):
-    words = text.encode("utf-8", "replace").split() if text else []
+def _cut(words, spans, window):
+    if not spans:
+        return len(words), 0, b" ".join(words).decode("utf-8", "replace")
     gone = np.zeros(len(words) + 1, np.int64)
-    for s in spans or ():
-        pairs = np.frombuffer(s, np.int64).reshape(-1, 2)
-        np.add.at(gone, pairs[:, 0], 1)
-        np.add.at(gone, pairs[:, 1] + window - 1, -1)
-    keep = np.cumsum(gone)[:-1] == 0
-    kept = words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+    pairs = np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans])
+    np.add.at(gone, pairs[:, 0], 1)
+    np.add.at(gone, pairs[:, 1] + window - 1, -1)
+    kept = [w for w, k in zip(words, (np.cumsum(gone)[:-1] == 0).tolist(), strict=True) if k]
     return len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")
 
 
