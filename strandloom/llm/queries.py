@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import common, decontam, mixing, neardup, quality, sharding, substring
+from strandloom.llm import common, decontam, mixing, neardup, quality, sharding, substring, toxicity
 
 
 def op1_substring_dedup(spark, sf_dir):
@@ -25,6 +25,11 @@ def op5_minhash_neardup(spark, sf_dir):
     return neardup.near_duplicates(docs, size=2, keep=["doc_id"]).drop("__root")
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.digest(docs, common.table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, common.table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -41,6 +46,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_minhash_neardup": op5_minhash_neardup,
+    "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
