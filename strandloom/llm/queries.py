@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import common, decontam, mixing, neardup, quality, sharding, substring, toxicity
+from strandloom.llm import common, decontam, mixing, neardup, quality, sharding, substring, token_shards, toxicity, warc
 
 
 def op1_substring_dedup(spark, sf_dir):
@@ -30,6 +30,10 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.digest(docs, common.table(spark, sf_dir, "labels"))
 
 
+def op7_token_shards(spark, sf_dir):
+    return token_shards.shards_of(common.table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, common.table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -41,12 +45,18 @@ def op9_quality_rules(spark, sf_dir):
     return quality.assess(docs, keep=["doc_id"]).drop("rejected_by")
 
 
+def op10_warc(spark, sf_dir):
+    return warc.round_trip(common.table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_toxicity": op6_toxicity,
+    "op7_token_shards": op7_token_shards,
+    "op10_warc": op10_warc,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
@@ -141,7 +151,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM g
 """
 
+_OP10 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS first
+  FROM pages
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(h, 1 + 5 * (k // 4), 5))::INTEGER) >> (15 - 5 * (k % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p
+"""
+
 ORACLES: dict[str, str] = {
+    "op10_warc": _OP10,
     "op5_minhash_neardup": _OP5,
     "op9_quality_rules": _OP9,
     "op1_substring_dedup": _OP1,
