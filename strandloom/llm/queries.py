@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import common, decontam, mixing, neardup, quality, sharding, substring, token_shards, toxicity, warc
+from strandloom.llm import common, decontam, lm, mixing, neardup, quality, sharding, substring, token_shards, toxicity, warc
 
 
 def op1_substring_dedup(spark, sf_dir):
@@ -12,6 +12,10 @@ def op1_substring_dedup(spark, sf_dir):
     return substring.digest(substring.deduplicate(docs, keep=["doc_id"]))
 
 
+def op2_lm_score(spark, sf_dir):
+    return lm.score(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.digest(common.table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_score": op2_lm_score,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_minhash_neardup": op5_minhash_neardup,

@@ -280,8 +280,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType
     archives = write(pages, common.scratch(spark, "warc"))
-    # One task per archive.
-    back = read(archives.repartition(F.col("path")), payload=False).where("kind = 'record'")
+    # A task for each archive.
+    back = read(archives.repartition(max(1, archives.count())), payload=False).where("kind = 'record'")
 
     def page(c):
         return F.when(F.col(c).startswith(_PAGE), F.substring(c, len(_PAGE) + 1, 40)).cast(kind)
