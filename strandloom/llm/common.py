@@ -70,9 +70,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def put(df: DataFrame, **columns: Column) -> DataFrame:
-    """withColumns; an existing column of that name is replaced."""
-    return df.withColumns(columns)
+def guarded(df: DataFrame, text: str, made) -> tuple[DataFrame, str, list[str], list[Column]]:
+    """For filters that return their input's columns: ``df`` under names that don't clash
+    with the columns ``made`` on the way, its text column, what to keep, how to get back."""
+    away = {c: fresh(df, f"__{i}_{c}") for i, c in enumerate(df.columns) if c.lower() in {m.lower() for m in made}}
+    inner = df.withColumnsRenamed(away)
+    keep = [away.get(c, c) for c in df.columns]
+    return inner, away.get(text, text), keep, [F.col(f"`{k}`").alias(c) for k, c in zip(keep, df.columns, strict=True)]
 
 
 def text_map(df, fn, fields, text="text", keep=None):

@@ -196,8 +196,6 @@ def digest(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, columns as they came, in which no benchmark window occurs."""
-    names = docs.columns
-    inner = docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in names)))
-    found = contamination(inner.select("__row", F.col(f"`{options.get('text', 'text')}`").alias("__text")), benchmark,
-                          **{**options, "text": "__text"})
-    return found.where("n_hit = 0").select("__row.*")
+    text = options.pop("text", "text")
+    inner, text, keep, back = common.guarded(docs, text, [f.name for f in FIELDS])
+    return contamination(inner, benchmark, text=text, keep=keep, **options).where("n_hit = 0").select(back)

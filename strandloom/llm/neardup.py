@@ -269,18 +269,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, text="text", ident="doc_id", size: int = 5, percent: int = 80, keep=None) -> DataFrame:
-    """``docs`` with n_shingles, component_id (least id of the component) and kept (id = component_id)."""
+def _row_keys(ident, text):
+    key, col = F.col(f"`{ident}`"), F.col(f"`{text}`")
+    return F.xxhash64(key, col), F.xxhash64(F.lit(7), col, key)
+
+
+def classes_of(docs: DataFrame, *, text="text", ident="doc_id", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): of each row its keys a and b, id, number of shingles and class; of each class its root (the
+    least class of its component) and its least row as ``rep`` (id is null, id, a, b)."""
     common.ship(docs.sparkSession)
-    col, key = F.col(f"`{text}`"), F.col(f"`{ident}`")
-    a, b = F.xxhash64(key, col), F.xxhash64(F.lit(7), col, key)
-    rows = docs.select(a.alias("a"), b.alias("b"), key.alias("id"), col.alias("t"))
+    a, b = _row_keys(ident, text)
+    rows = docs.select(a.alias("a"), b.alias("b"), F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("t"))
     id_type = docs.schema[ident].dataType.simpleString()
     seen = common.written(rows.mapInArrow(_describe(size), f"a long, b long, id {id_type}, n long, class binary, sig binary"), "signed")
     some = seen.where("class is not null")
-    rep = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "a", "b"))
-    classes = some.groupBy("class").agg(rep.alias("rep"), F.first("sig").alias("sig"))
-    classes = common.written(classes.select("class", "rep.id", "rep.a", "rep.b", "sig"), "classes")
+    rep = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "a", "b")).alias("rep")
+    classes = common.written(some.groupBy("class").agg(rep, F.first("sig").alias("sig")), "classes")
 
     # 2: regions of two rows or more
     branch = classes.select("class", "sig").mapInArrow(_branches, "tree int, head long, tail long, class binary")
@@ -298,7 +302,7 @@ def near_duplicates(docs: DataFrame, *, text="text", ident="doc_id", size: int =
 
     # 4: full sets of the candidates, in blocks
     blocks = candidate.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    chosen = candidate.join(blocks, "root").join(classes.select("class", "a", "b"), F.col("node") == F.col("class")).select("class", "a", "b", F.col("root").alias("comp"), "blocks")
+    chosen = candidate.join(blocks, "root").join(classes.select("class", "rep.a", "rep.b"), F.col("node") == F.col("class")).select("class", "a", "b", F.col("root").alias("comp"), "blocks")
     texts = rows.select("a", "b", "t").mapInArrow(_once, "a long, b long, t string")
     full = texts.join(chosen, ["a", "b"]).select("class", "t", "comp", "blocks").mapInArrow(_sets(size), "class binary, comp binary, blocks int, set binary")
     mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
@@ -307,26 +311,39 @@ def near_duplicates(docs: DataFrame, *, text="text", ident="doc_id", size: int =
     full = full.select("class", "comp", "set", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     linked = full.groupBy("comp", "i", "j").applyInArrow(_confirm(percent), "u binary, v binary")
     parts = components(linked)
+    member = classes.select("class", "rep").join(parts, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "rep")
+    return seen.drop("sig"), common.written(member, "members")
+
 
-    # 5: the least id of each component
-    member = classes.join(parts, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "id")
-    least = member.groupBy("root").agg(F.min("id").alias("component_id"))
-    label = common.written(member.join(least, "root").select("class", "root", "component_id"), "labels")
-    described = seen.select("a", "b", "n", "class").dropDuplicates(["a", "b"]).join(label, "class", "left")
+def near_duplicates(docs: DataFrame, *, text="text", ident="doc_id", keep=None, **options) -> DataFrame:
+    """``docs`` with n_shingles, component_id (least id of the component) and kept (id = component_id)."""
+    seen, member = classes_of(docs, text=text, ident=ident, **options)
+    least = member.groupBy("root").agg(F.min("rep").alias("least"))
+    label = member.join(least, "root").select("class", F.col("least.id").alias("component_id"))
     names = {"n_shingles", "component_id", "kept"}
     out = [c for c in (docs.columns if keep is None else keep) if c not in names]
     if set(out) <= {ident}:
-        done = seen.select("id", "n", "class").join(label, "class", "left").withColumnRenamed("id", ident)
+        done = seen.join(label, "class", "left").withColumnRenamed("id", ident)
     else:
-        done = docs.withColumns({"__a": a, "__b": b}).join(described, (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b")), "left")
+        a, b = _row_keys(ident, text)
+        described = seen.select("a", "b", "n", "class").dropDuplicates(["a", "b"]).join(label, "class", "left")
+        done = docs.withColumns({"__a": a, "__b": b}).join(described.withColumnsRenamed({"a": "__x", "b": "__y", "n": "__n", "class": "__class", "component_id": "__c"}),
+                                                            (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y")), "left")
+        component = F.when(F.col("__class").isNull(), F.col(f"`{ident}`")).otherwise(F.col("__c"))
+        return done.select(*(F.col(f"`{c}`") for c in out), F.col("__n").alias("n_shingles"), component.alias("component_id"), F.col(f"`{ident}`").eqNullSafe(component).alias("kept"))
     component = F.when(F.col("class").isNull(), F.col(f"`{ident}`")).otherwise(F.col("component_id"))
     return done.select(*(F.col(f"`{c}`") for c in out), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                       F.col(f"`{ident}`").eqNullSafe(component).alias("kept"), F.col("root").alias("__root"))
-
-
-def one_of_each(docs: DataFrame, *, ident="doc_id", **options) -> DataFrame:
-    """The documents, columns as they came, with one of each near-duplicate component."""
-    names = docs.columns
-    found = near_duplicates(docs, ident=ident, **options)
-    alone = found.where("__root is null")
-    return found.where("__root is not null and kept").dropDuplicates(["__root"]).unionByName(alone).select(*(F.col(f"`{c}`") for c in names))
+                       F.col(f"`{ident}`").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, text="text", ident="doc_id", **options) -> DataFrame:
+    """The documents, columns as they came, with the least row of each component; documents without words stay."""
+    _, member = classes_of(docs, text=text, ident=ident, **options)
+    first = member.groupBy("root").agg(F.min("rep").alias("least")).select(F.col("least.a").alias("__x"), F.col("least.b").alias("__y"))
+    first = common.written(first, "first")
+    full = F.coalesce(F.col(f"`{text}`").rlike(common.WORD), F.lit(False))
+    a, b = _row_keys(ident, text)
+    chosen = docs.where(full).withColumns({"__a": a, "__b": b}).join(first, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y")))
+    # Equal rows are side by side after the join.
+    chosen = chosen.dropDuplicates(["__a", "__b"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return chosen.unionByName(docs.where(~full))

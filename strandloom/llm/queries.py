@@ -26,7 +26,7 @@ def op4_sharding(spark, sf_dir):
 
 def op5_minhash_neardup(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return neardup.near_duplicates(docs, size=2, keep=["doc_id"]).drop("__root")
+    return neardup.near_duplicates(docs, size=2, keep=["doc_id"])
 
 
 def op6_toxicity(spark, sf_dir):

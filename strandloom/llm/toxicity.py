@@ -219,7 +219,6 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, text="text", ident="doc_id") -> DataFrame:
     """The documents, columns as they came, that score below ``threshold``."""
-    names = docs.columns
-    row = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"))
-    scored = score(row, train(docs, labels, text=text, ident=ident), text="__text", keep=["__row"])
-    return scored.where(F.col("score") < threshold).select("__row.*")
+    model = train(docs, labels, text=text, ident=ident)
+    inner, text, keep, back = common.guarded(docs, text, [f.name for f in FIELDS])
+    return score(inner, model, text=text, keep=keep).where(F.col("score") < threshold).select(back)
