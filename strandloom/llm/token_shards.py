@@ -1,7 +1,7 @@
 """Token sequences in training order, as binary shards of fixed stride.
 
 1. Map tasks tokenise documents, close each with an end token, pack the tokens of a
-   partition into sequences of ``length`` and write them, compressed, to the shared
+   partition into sequences of ``length`` and write them, compressed by columns, to the shared
    folder.  Tokens are made once; what later steps see doesn't depend on how the
    input would be split another time.
 2. Sequences are numbered by part and place, and a keyed Feistel permutation with
@@ -83,7 +83,6 @@ def _tokenise(shared, length, end, kind):
             _OPEN.clear()
             _OPEN[key] = encoder(shared.value)
         encode = _OPEN[key].encode_ordinary
-        shrink = zstandard.ZstdCompressor(level=3).compress
         part = TaskContext.get().partitionId()
 
         def docs():
@@ -94,9 +93,9 @@ def _tokenise(shared, length, end, kind):
 
         rows, k = [], 0
         for n, tokens, owners in pack(docs(), length, end, kind):
-            rows.append((part, k, n, [d for d, _ in owners], [s for _, s in owners], shrink(tokens.tobytes())))
+            rows.append((part, k, n, [d for d, _ in owners], [s for _, s in owners], tokens.tobytes()))
             k += 1
-            if len(rows) == 256:
+            if len(rows) == 1024:
                 yield _sequences(rows)
                 rows = []
         if rows:
@@ -114,6 +113,14 @@ def _sequences(rows):
                                       names=["part", "k", "n_tokens", "doc_ids", "starts", "data"])
 
 
+def _shrink(batches):
+    """Compress the sequences for their way to the shards."""
+    shrink = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("data")
+        yield batch.set_column(at, "data", pa.array([shrink(d) for d in batch.column(at).to_pylist()], pa.binary()))
+
+
 def _write(out, width, length, per_shard):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("slot")
@@ -145,7 +152,7 @@ def materialise(docs: DataFrame, out: str, *, text="text", ident="doc_id", token
     width, kind = (2, "H") if end < 1 << 16 else (4, "I")
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary file: its size is fixed
     rows = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    made = common.written(rows.mapInArrow(_tokenise(shared, length, end, kind), _SCHEMA), "sequences", "lz4")
+    made = common.written(rows.mapInArrow(_tokenise(shared, length, end, kind), _SCHEMA), "sequences")
     counts = sorted((r[0], r[1]) for r in made.groupBy("part").count().collect())
     total = sum(n for _, n in counts)
     per_shard = max(1, shard_bytes // (length * width))
@@ -156,6 +163,7 @@ def materialise(docs: DataFrame, out: str, *, text="text", ident="doc_id", token
     bases = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, base, strict=True)], "part int, base long")
     placed = made.join(F.broadcast(bases), "part").withColumn("slot", permuted(F.col("base") + F.col("k"), max(total, 1), seed))
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)")).drop("part", "k", "base")
+    placed = placed.mapInArrow(_shrink, placed.schema)
     schema = "slot long, shard int, byte_offset long, n_tokens int, doc_ids array<long>, starts array<int>, sha256 string"
     return common.written(placed.groupBy("shard").applyInArrow(_write(out, width, length, per_shard), schema), "manifest")
 
