@@ -58,7 +58,7 @@ class Mix:
     """The tables of one mix: ``docs`` (one row per distinct row, with copies), ``sources``, ``slots``."""
 
     def __init__(self, docs: DataFrame, *, text="text", source="source", ident="doc_id", block=1024, shard_slots=4096,
-                 weights=(1, 2, 3), most=3, seed=SEED, max_sources=100_000, bucket_rows=200_000):
+                 weights=(1, 2, 3), most=3, seed=SEED, max_sources=100_000, bucket_rows=10_000):
         spark = docs.sparkSession
         self.block, self.most, self.seed = block, most, seed
         keyed = docs.select(F.col(f"`{ident}`").alias("__id"), F.col(f"`{source}`").alias("__source"),
