@@ -110,13 +110,29 @@ def _symbols(lanes, s, active, what):
 
 
 def _softmax(x, picked):
-    """Probabilities (in place) and the log of the picked one of each row."""
-    x -= x.max(1, keepdims=True)
+    """Exponentials (in place), their sums, and the log probability of the picked one of each row."""
     at = np.arange(len(x)), picked
     log = x[at]
-    np.exp(x, x)
-    total = x.sum(1)
-    return x, total, log - np.log(total)
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+    total = e.sum(1)
+    if not (np.isfinite(total).all() and total.all()):  # scores out of range: shift them
+        x = x - x.max(1, keepdims=True)
+        log, e = x[at], np.exp(x)
+        total = e.sum(1)
+    return e, total, log - np.log(total)
+
+
+def _states(out):
+    """Hidden states with a last column of ones, which meets the biases."""
+    s = np.ones((sum(map(len, out)), HIDDEN + 1), _F)
+    np.concatenate(out, out=s[:, :HIDDEN])
+    return s
+
+
+def _joined(p):
+    """Weights with their biases as a last row: classes, and words of each class."""
+    return np.vstack([p["C"], p["c"]]), np.concatenate([p["W"], p["w"][:, None]], 1)
 
 
 def _error(x, picked):
@@ -147,13 +163,14 @@ def log_likelihood(p, docs: list[np.ndarray], end: int) -> np.ndarray:
     if not docs:
         return total
     lanes = Lanes(docs, end)
+    classes, inner = _joined(p)
     h = np.zeros((lanes.target.shape[1], HIDDEN), _F)
-    for s, active in lanes.windows(2 * STEPS):
+    for s, active in lanes.windows():
         h, out, _ = _forward(p, lanes, s, active, h, False)
-        state, target = np.concatenate(out), _symbols(lanes, s, active, lanes.target)
-        score = _softmax(state @ p["C"] + p["c"], _class_of(p, target))[2].astype(np.float64)
+        state, target = _states(out), _symbols(lanes, s, active, lanes.target)
+        score = _softmax(state @ classes, _class_of(p, target))[2].astype(np.float64)
         for k, rows in _heads(p, target):
-            score[rows] += _softmax(state[rows] @ p["W"][k] + p["w"][k], target[rows] % CLASS)[2]
+            score[rows] += _softmax(state[rows] @ inner[k], target[rows] % CLASS)[2]
         total += np.bincount(_symbols(lanes, s, active, lanes.doc), score, len(docs))
     return total
 
@@ -174,15 +191,20 @@ class Trainer:
 
     def _update(self, lanes, s, active, out, tape):
         p, H = self.p, HIDDEN
-        state, target = np.concatenate(out), _symbols(lanes, s, active, lanes.target)
-        n = len(target)
-        d = _error(state @ p["C"] + p["c"], _class_of(p, target)) / _F(n)
-        g = {"C": state.T @ d, "c": d.sum(0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
+        state, target = _states(out), _symbols(lanes, s, active, lanes.target)
+        scale = _F(1 / len(target))
+        classes, inner = _joined(p)
+        d = _error(state @ classes, _class_of(p, target))
+        both = state.T @ d * scale
+        g = {"C": both[:H], "c": both[H], "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
         ds = d @ p["C"].T
         for k, rows in _heads(p, target):
-            d = _error(state[rows] @ p["W"][k] + p["w"][k], target[rows] % CLASS) / _F(n)
-            g["W"][k], g["w"][k] = state[rows].T @ d, d.sum(0)
+            mine = state[rows]
+            d = _error(mine @ inner[k], target[rows] % CLASS)
+            both = mine.T @ d * scale
+            g["W"][k], g["w"][k] = both[:H], both[H]
             ds[rows] += d @ p["W"][k].T
+        ds *= scale
         begin = np.cumsum([0, *active])
         back = np.zeros((0, H), _F)
         dx, da, before = [None] * len(active), [None] * len(active), [None] * len(active)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strandloom.llm import common, gru
 
 END = b"\n"  # can't be a word
-HEAD, SHORT, TAILS, GROUP = 1 << 18, 1024, 32, 32
+HEAD, SHORT, TAILS, GROUP = 1 << 18, 512, 16, 32
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BATCH = 32 << 20
 
@@ -88,33 +88,37 @@ class Vocabulary:
         self.words, self.counts = [w for w, _ in head], np.array([c for _, c in head], np.int64)
         self.symbols, self.total, self.distinct = symbols, total, distinct
         self.tail_total, self.tail_kinds = tails
-        self.table: dict[bytes, int] = {}
+        self.table = None
 
     def __getstate__(self):
-        return self.__dict__ | {"words": b"\0".join(self.words), "table": {}}
+        return self.__dict__ | {"words": b"\0".join(self.words), "table": None}
 
     def __setstate__(self, state):
         self.__dict__ = state | {"words": state["words"].split(b"\0") if state["words"] else []}
 
     def open(self):
-        if not self.table:
-            self.table = {w: i for i, w in enumerate(self.words)}
+        if self.table is None:
+            self.table = _Numbers((w, i) for i, w in enumerate(self.words))
+            # Symbols by number; those of tail classes from the end, so that -1 - class finds them.
+            head = [i if i < self.symbols else self.symbols + tail_of(w) for i, w in enumerate(self.words)]
+            self.symbol = np.array([*head, *(self.symbols + t for t in range(TAILS - 1, -1, -1))], np.int32)
         return self
 
     @property
     def end(self) -> int:
-        return self.open().table.get(END, 0)
+        return max(0, self.open().table[END])
 
     def ids(self, tokens: list[bytes]) -> np.ndarray:
-        """Head numbers, -1 for other words."""
-        get = self.table.get
-        return np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+        """Head numbers; -1 - tail class for other words."""
+        return np.fromiter(map(self.table.__getitem__, tokens), np.int64, len(tokens))
 
-    def model_symbols(self, tokens, ids) -> np.ndarray:
-        out = ids.copy()
-        for i in np.flatnonzero((ids < 0) | (ids >= self.symbols)).tolist():
-            out[i] = self.symbols + zlib.crc32(tokens[i][-3:]) % TAILS
-        return out.astype(np.int32)
+    def model_symbols(self, ids) -> np.ndarray:
+        return self.symbol[ids]
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1 - zlib.crc32(word[-3:]) % TAILS
 
 
 def _chunks(batches, column=0):
@@ -134,7 +138,7 @@ def _train(vocabulary, weights):
             docs = []
             for text in part.column(0).to_pylist():
                 tokens = [*words(text), END]
-                docs.append(v.model_symbols(tokens, v.ids(tokens)))
+                docs.append(v.model_symbols(v.ids(tokens)))
             seen += sum(map(len, docs))
             trainer.learn(docs, v.end)
         if seen:
@@ -181,7 +185,7 @@ def _score(vocabulary, weights):
             for text in chunk.column(0).to_pylist():
                 tokens = [*words(text), END]
                 ids = v.ids(tokens)
-                symbols = v.model_symbols(tokens, ids)
+                symbols = v.model_symbols(ids)
                 docs.append(symbols)
                 known = ids >= 0
                 inner = known & (ids >= v.symbols)
