@@ -117,12 +117,15 @@ def mutations(df, info, seqs, positions=None, *, ref_positions=None, set_diff=Fa
         at = at.where(~F.col("ref_base").isin(*ignore))
     both = grid.join(F.broadcast(at), "position").withColumnRenamed("letter", "read_base")
     if normalized:
-        both = both.withColumn("value", F.try_divide(F.col("value").cast("double"), F.sum("value").over(Window.partitionBy("ref_id")).cast("double")))
+        both = both.withColumn("__all", F.sum("value").over(Window.partitionBy("ref_id")))
     both = both.where(F.col("ref_base") != F.col("read_base"))
     if treat:
         both = both.where(~(F.col("ref_base").isin(*treat) | F.col("read_base").isin(*treat)))
     keys = ["ref_id", *(["position"] if by_position else []), "ref_base", "read_base"]
-    return both.groupBy(*keys).agg(F.sum("value").alias("value"))
+    value = F.sum("value")
+    if normalized:
+        value = F.try_divide(value.cast("double"), F.max("__all").cast("double"))
+    return both.groupBy(*keys).agg(value.alias("value"))
 
 
 def ts_tv(df, info, seqs, positions=None, *, by_position=False, **options) -> DataFrame:

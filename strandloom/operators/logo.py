@@ -64,15 +64,12 @@ def cap(most: float, null: float, natural=False) -> float:
     if scale == 1.0:
         return value
 
-    def first(candidates) -> tuple[float, float]:
-        for x in candidates:
-            v = log_odds(most * x / scale, most, null, natural)
-            if not math.isinf(v):
-                break
-        return x, v
-
-    whole, _ = first(range(10, 1, -1))
-    return first([whole + part / 10 for part in range(10, 1, -1)])[1]
+    def finest(candidates):
+        return next(((x, v) for x in candidates if not math.isinf(v := log_odds(most * x / scale, most, null, natural))), None)
+
+    whole = finest(range(10, 1, -1)) or (1, value)
+    part = finest(whole[0] + tenth / 10 for tenth in range(10, 1, -1))
+    return (part or whole)[1]
 
 
 def significance(alpha: float, cells: int) -> float:

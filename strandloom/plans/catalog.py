@@ -154,7 +154,7 @@ mu AS (SELECT ref_id, position, ref[position] AS ref_base, read_base, v FROM d,
 query(f"{_MUT} SELECT ref_id, ref_base, read_base, sum(v)::BIGINT AS value FROM mu WHERE ref_base <> read_base GROUP BY ALL", "mutation_profile")(lambda s, d: derive.reads(s, d).mutation_profile(derive.references(s, d)))
 query(f"{_MUT} SELECT ref_id, position, ref_base, read_base, sum(v)::BIGINT AS value FROM mu WHERE ref_base <> read_base GROUP BY ALL", "mutation_profile_by_position")(
     lambda s, d: derive.reads(s, d).mutation_profile(derive.references(s, d), by_position=True))
-query(f"{_MUT}, t AS (SELECT ref_id, ref_base, read_base, v / sum(v) OVER (PARTITION BY ref_id) AS v FROM mu) SELECT ref_id, ref_base, read_base, round(sum(v), 6) AS value FROM t WHERE ref_base <> read_base GROUP BY ALL", "mutation_profile_normalized")(
+query(f"{_MUT}, t AS (SELECT *, sum(v) OVER (PARTITION BY ref_id) AS s FROM mu) SELECT ref_id, ref_base, read_base, round(sum(v) / max(s), 6) AS value FROM t WHERE ref_base <> read_base GROUP BY ALL", "mutation_profile_normalized")(
     lambda s, d: r6(derive.reads(s, d).mutation_profile(derive.references(s, d), normalized=True), "value"))
 _TS = ", z AS (SELECT *, ref_base || read_base IN ('AG', 'GA', 'CT', 'TC') AS ts FROM mu WHERE ref_base <> read_base)"
 query(f"{_MUT}{_TS} SELECT ref_id, round(sum(v) FILTER (ts) / sum(v) FILTER (NOT ts), 6) AS ratio, round(sum(v) FILTER (ts) / sum(v), 6) AS ts, round(sum(v) FILTER (NOT ts) / sum(v), 6) AS tv FROM z GROUP BY ref_id", "ts_tv")(
