@@ -4,8 +4,8 @@ Two zstandard dictionaries are trained: one on words of ordinary text, by docume
 frequency, and one on words of toxic text that hold byte runs which toxic documents
 have far more often.  A window is one word between spaces (long words are cut into
 overlapping windows).  Between two fixed markers, which both dictionaries know, it is
-compressed with either one; the pair of lengths is compared with thresholds calibrated
-per window size: the log likelihood ratio of toxic against ordinary documents with such
+compressed with either one; the pair of lengths, as what is saved against a window
+without matches, is compared with thresholds calibrated per window size: the log likelihood ratio of toxic against ordinary documents with such
 a pair.  A document's score is a logistic function of its three largest ratios.
 
 Learning reads at most ``toxic_rows`` + ``ordinary_rows`` labelled documents, those of
@@ -62,7 +62,7 @@ def grams(window: bytes, n: int = 5) -> set[bytes]:
 class Model:
     toxic: bytes = b""
     ordinary: bytes = b""
-    ratio: dict = field(default_factory=dict)  # (size, ordinary length, toxic length) -> log likelihood ratio
+    ratio: dict = field(default_factory=dict)  # (size, saved by ordinary, saved by toxic) -> log likelihood ratio
     weights: tuple = (0.0,) * (_TOP + 1)
     level: int = 6
 
@@ -76,22 +76,20 @@ class Model:
         plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         raw = zstandard.DICT_TYPE_RAWCONTENT
         made = [zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d + _TAIL + _HEAD, dict_type=raw), **plain) for d in (self.ordinary, self.toxic)]
-        # Lengths without any match, by window size: nothing in the toxic dictionary helps there.
-        bare = {}
-        for n in range(_LONG + 1):
-            bare[n] = len(made[1].compress(_HEAD + bytes(192 + (7 * i) % 64 for i in range(n)) + _TAIL))
+        # Lengths without any match, by window size: what a dictionary saves is counted from there.
+        bare = [[len(m.compress(_HEAD + bytes(192 + (7 * i) % 64 for i in range(n)) + _TAIL)) for n in range(_LONG + 1)] for m in made]
         self._ready = made, bare, {}
 
     def cell(self, window: bytes):
-        """Window size and compressed lengths; the ordinary one is 0 where the toxic dictionary doesn't help."""
+        """Window size, and what either dictionary saves of it; None where the toxic one saves nothing."""
         if self._ready is None:
             self._open()
         (ordinary, toxic), bare, _ = self._ready
-        text = _HEAD + window + _TAIL
-        n = len(toxic.compress(text))
-        if n >= bare[len(window)]:
-            return min(len(window), 20), 0, n
-        return min(len(window), 20), len(ordinary.compress(text)), n
+        text, size = _HEAD + window + _TAIL, len(window)
+        saved = bare[1][size] - len(toxic.compress(text))
+        if saved <= 0:
+            return None
+        return min(size, 20), bare[0][size] - len(ordinary.compress(text)), saved
 
     def evidence(self, text: str | None) -> list[float]:
         """The largest ratios of a text, in falling order."""
@@ -120,10 +118,12 @@ def dictionaries(words, runs, n, *, toxic_bytes, ordinary_bytes, level) -> Model
     marked = {g for g, c in runs[1].items() if c >= least and often(c, runs[0][g])}
     special = sorted((c, w) for w, c in words[1].items() if c >= min(3, least) and often(c, words[0][w]) and grams(w) & marked)
     plain = heapq.nlargest(20000, ((c, w) for w, c in words[0].items()))[::-1]
-    return Model(b"".join(w for _, w in special)[-toxic_bytes:], b"".join(w for _, w in plain)[-ordinary_bytes:], {}, level=level)
+    # Zeros in front make sizes equal: zstandard's search depends on them.
+    parts = ((special, toxic_bytes), (plain, ordinary_bytes))
+    return Model(*(b"".join(w for _, w in of)[-size:].rjust(size, b"\0") for of, size in parts), {}, level=level)
 
 
-def fit(texts: list[str | None], labels: list[int], *, toxic_bytes=16384, ordinary_bytes=32768, level=6) -> Model:
+def fit(texts: list[str | None], labels: list[int], *, toxic_bytes=8192, ordinary_bytes=32768, level=6) -> Model:
     """Train the dictionaries; calibrate on documents that the dictionaries they meet haven't seen (two folds)."""
     n = [labels.count(0), labels.count(1)]
     if min(n) < 4:
@@ -151,8 +151,8 @@ def fit(texts: list[str | None], labels: list[int], *, toxic_bytes=16384, ordina
     for text, y, k in zip(texts, labels, folds, strict=True):
         half, known = halves[1 - k], memo[k]
         mine = {known[w] if w in known else known.setdefault(w, half.cell(w)) for w in windows(text)}
-        each.append([c for w in windows(text) if (c := known[w])[1]])
-        cells[y].update(mine)
+        each.append([c for w in windows(text) if (c := known[w]) is not None])
+        cells[y].update(mine - {None})
     ratio = {k: float(np.log((c + 0.1) / (n[1] + 0.2)) - np.log((cells[0][k] + 0.1) / (n[0] + 0.2))) for k, c in cells[1].items()}
     x = np.array([[1.0, *top(ratio.get(c, _NONE) for c in cs)] for cs in each])
     model.ratio, model.weights = ratio, tuple(logistic(x, np.array(labels, float)).tolist())
