@@ -114,7 +114,7 @@ def test_place_and_padding(spark):
     assert [r.seq for r in out.collect()] == ["CGA", "$CG"] and (first, last) == (3, 5)
     t = SeqTable.from_list(spark, ["ACG", "A"], ["III", "I"])
     assert [(r.seq, r.qual) for r in t.df.orderBy("read_ord").collect()] == [("ACG", "III"), ("ANN", "I!!")]
-    assert SeqTable.from_list(spark, ["MKV", "M"]).info.fill == "X"
+    assert SeqTable.from_list(spark, ["MFL", "M"]).info.fill == "X"
     with pytest.raises(ValueError):
         SeqTable.from_list(spark, ["ACG"], ["II"])
     with pytest.raises(ValueError):
