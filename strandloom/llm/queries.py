@@ -170,7 +170,28 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
 FROM p
 """
 
+_FOLDED = "string_split(trim(regexp_replace({t}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ')"
+_OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter({_FOLDED.format(t=_ASCII_LOWER)}, lambda x: x <> '') AS w FROM documents d),
+b AS (SELECT item_id, list_filter({_FOLDED.format(t=_ASCII_LOWER)}, lambda x: x <> '') AS w FROM benchmark d),
+pat AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+win AS (
+  SELECT rid, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM pat) WHERE len(w) >= k)
+),
+hit AS (SELECT rid, i, k, item_id FROM win JOIN pat USING (k, s)),
+cover AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.l, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover c USING (rid) LEFT JOIN items i USING (rid)
+"""
+
 ORACLES: dict[str, str] = {
+    "op8_decontamination": _OP8,
     "op10_warc": _OP10,
     "op5_minhash_neardup": _OP5,
     "op9_quality_rules": _OP9,

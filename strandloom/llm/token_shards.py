@@ -113,30 +113,42 @@ def _sequences(rows):
                                       names=["part", "k", "n_tokens", "doc_ids", "starts", "data"])
 
 
+_PACKED = "shard int, slots array<long>, n_tokens array<int>, doc_ids array<array<long>>, starts array<array<int>>, data binary"
+
+
 def _shrink(batches):
-    """Compress the sequences for their way to the shards."""
-    shrink = zstandard.ZstdCompressor(level=3).compress
+    """Sequences of a batch that go to the same shard travel together, compressed."""
+    shrink = zstandard.ZstdCompressor(level=6).compress
     for batch in batches:
-        at = batch.schema.get_field_index("data")
-        yield batch.set_column(at, "data", pa.array([shrink(d) for d in batch.column(at).to_pylist()], pa.binary()))
+        shard, slot, n, ids, starts, data = (batch.column(c).to_pylist() for c in ("shard", "slot", "n_tokens", "doc_ids", "starts", "data"))
+        by: dict[int, list[int]] = {}
+        for i, k in enumerate(shard):
+            by.setdefault(k, []).append(i)
+        rows = [(k, *([v[i] for i in at] for v in (slot, n, ids, starts)), shrink(b"".join(data[i] for i in at))) for k, at in by.items()]
+        types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["shard", "slots", "n_tokens", "doc_ids", "starts", "data"])
 
 
 def _write(out, width, length, per_shard):
+    stride = length * width
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("slot")
         shard = table.column("shard")[0].as_py()
-        first = shard * per_shard
-        slots = table.column("slot").to_pylist()
+        first, rows = shard * per_shard, []
+        for slots, n, ids, starts, data in zip(*(table.column(c).to_pylist() for c in ("slots", "n_tokens", "doc_ids", "starts", "data")), strict=True):
+            raw = zstandard.ZstdDecompressor().decompress(data)
+            rows += [(*x, raw[i * stride : (i + 1) * stride]) for i, x in enumerate(zip(slots, n, ids, starts, strict=True))]
+        rows.sort(key=lambda r: r[0])
+        slots = [r[0] for r in rows]
         if slots != list(range(first, first + len(slots))):
             raise RuntimeError(f"shard {shard} lacks slots")
-        open_ = zstandard.ZstdDecompressor().decompress
-        parts = [open_(d) for d in table.column("data").to_pylist()]
-        files.write(f"{out}/shard-{shard:08d}.bin", b"".join(parts))
+        files.write(f"{out}/shard-{shard:08d}.bin", b"".join(r[4] for r in rows))
         return pa.table({
-            "slot": table.column("slot"), "shard": table.column("shard"),
-            "byte_offset": pa.array([(s - first) * length * width for s in slots], pa.int64()),
-            "n_tokens": table.column("n_tokens"), "doc_ids": table.column("doc_ids"), "starts": table.column("starts"),
-            "sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()),
+            "slot": pa.array(slots, pa.int64()), "shard": pa.array([shard] * len(rows), pa.int32()),
+            "byte_offset": pa.array([(s - first) * stride for s in slots], pa.int64()),
+            "n_tokens": pa.array([r[1] for r in rows], pa.int32()), "doc_ids": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+            "starts": pa.array([r[3] for r in rows], pa.list_(pa.int32())),
+            "sha256": pa.array([hashlib.sha256(r[4]).hexdigest() for r in rows], pa.string()),
         })
 
     return run
@@ -163,7 +175,7 @@ def materialise(docs: DataFrame, out: str, *, text="text", ident="doc_id", token
     bases = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, base, strict=True)], "part int, base long")
     placed = made.join(F.broadcast(bases), "part").withColumn("slot", permuted(F.col("base") + F.col("k"), max(total, 1), seed))
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)")).drop("part", "k", "base")
-    placed = placed.mapInArrow(_shrink, placed.schema)
+    placed = placed.mapInArrow(_shrink, _PACKED)
     schema = "slot long, shard int, byte_offset long, n_tokens int, doc_ids array<long>, starts array<int>, sha256 string"
     return common.written(placed.groupBy("shard").applyInArrow(_write(out, width, length, per_shard), schema), "manifest")
 
