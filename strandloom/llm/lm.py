@@ -251,9 +251,9 @@ def score(docs: DataFrame, *, text="text", ident="doc_id", rounds: int = 2, keep
     done = common.written(rows.mapInArrow(_score(shared, spark.sparkContext.broadcast(weights)), schema), "scored")
     rest = done.select("__part", "__k", F.explode(F.arrays_zip(F.col("__words").alias("w"), F.col("__times").alias("n"))).alias("x")).select("__part", "__k", F.col("x.w").alias("word"), F.col("x.n").alias("n"))
     met = rest.join(counts, "word", "left").groupBy("__part", "__k").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("s"))
-    rest_known, rest_sum = F.coalesce("k", F.lit(0)), F.coalesce("s", F.lit(0.0))
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("__rest_known"),
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("__rest_sum"))
+    rest_known, rest_sum = F.coalesce("__rest_known", F.lit(0)), F.coalesce("__rest_sum", F.lit(0.0))
     each = math.log10(v.total + 0.5 * (v.distinct + 1))
     return done.drop("__words", "__times").join(met, ["__part", "__k"], "left").select(
         *(F.col(f"`{c}`") for c in out), "held_out", "n_tokens", (F.col("__known") + rest_known).cast("long").alias("n_known"),

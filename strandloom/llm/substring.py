@@ -43,7 +43,7 @@ _NEVER = np.uint64(2**64 - 1)
 class WordTable(dict):
     """Words -> hashes that are the same in every process, looked up in bulk."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 400_000):
         super().__init__()
         self.most, self.hashes, self.new = most, np.zeros(0, np.uint64), []
 
@@ -355,11 +355,12 @@ def deduplicate(docs: DataFrame, *, text="text", ident="doc_id", window: int = 3
     often = docs.sparkSession.sparkContext.broadcast(often)
     sent = rows.join(places.where("a is not null"), ["a", "b"]).mapInArrow(_pack_strings(window, buckets, often), _PACKED)
     spans = sent.groupBy("bucket").applyInArrow(_count(window), "a long, b long, data binary")
-    spans = common.written(spans.groupBy("a", "b").agg(F.collect_list("data").alias("__spans")), "spans")
+    spans = spans.groupBy(F.col("a").alias("__x"), F.col("b").alias("__y")).agg(F.collect_list("data").alias("__spans"))
+    spans = common.written(spans, "spans")
     names = {f.name for f in FIELDS}
     out = [c for c in (docs.columns if keep is None else keep) if c not in names]
     full = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*out, text])), a.alias("__a"), b.alias("__b"))
-    joined = full.join(spans, (F.col("__a") == spans["a"]) & (F.col("__b") == spans["b"]), "left").drop("a", "b", "__a", "__b")
+    joined = full.join(spans, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y")), "left").drop("__x", "__y", "__a", "__b")
     schema = T.StructType([docs.schema[c] for c in out] + FIELDS)
 
     def cut(batches):

@@ -96,7 +96,7 @@ class Model:
         if self._ready is None:
             self._open()
         cache = self._ready[2]
-        if len(cache) > 2_000_000:
+        if len(cache) > 400_000:
             cache.clear()
         for w in (seen := windows(text)):
             if w not in cache:
@@ -178,7 +178,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text="text", ident="doc_id", label="toxic",
-          toxic_rows: int = 2000, ordinary_rows: int = 6000) -> Model:
+          toxic_rows: int = 1500, ordinary_rows: int = 4500) -> Model:
     """Learn from the labelled documents whose crc32(id as text) mod 3 is not 1."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull()).where(~held_out(ident))
     known = known.groupBy(ident).agg(F.max(label).cast("int").alias("__y")).withColumn("__h", F.xxhash64(ident))

@@ -17,6 +17,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+CLASHES = ("n_words", "n_removed", "a", "b", "t", "k", "s", "c", "n", "id", "class", "data", "word", "words", "size", "rows", "place", "shard", "slot", "score", "kept", "held_out", "component_id", "target", "taken", "root", "path", "text_", "label")
+
+
 def words(text):
     return WORD.findall(text or "")
 
@@ -47,8 +50,8 @@ def test_substring(docs, rows, options):
 
 
 def test_substring_clash_and_empty(docs, none):
-    out = substring.deduplicate(docs.withColumn("n_words", F.lit("x")).withColumn("a", F.lit(1)))
-    assert out.schema["n_words"].dataType.simpleString() == "bigint" and "a" in out.columns
+    out = substring.deduplicate(docs.withColumns({c: F.lit("x") for c in CLASHES}))
+    assert out.schema["n_words"].dataType.simpleString() == "bigint" and {r.a for r in out.collect()} == {"x"}
     assert substring.deduplicate(none).count() == 0
 
 
@@ -113,6 +116,20 @@ def test_gradient():
         assert math.isclose((ends[0] - ends[1]) / 2e-3, g[i], rel_tol=0.05, abs_tol=2e-3), k
 
 
+def test_clashing_columns(spark, docs, rows):
+    """Columns under the operators' own names, inner and outer, neither break nor leak."""
+    d = docs.withColumns({c: F.lit("x") for c in CLASHES})
+    bench, labels = spark.createDataFrame([(1, rows[20][1])], "item_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    plain = {r.doc_id: r.base_score for r in lm.score(docs).collect()}
+    assert {r.doc_id: r.base_score for r in lm.score(d).collect()} == plain
+    for out in (neardup.near_duplicates(d, size=2), sharding.shard(d), quality.assess(d), decontam.contamination(d, bench), toxicity.score(d, toxicity.train(d, labels))):
+        got = out.collect()
+        assert len(got) == len(rows) and {r["path"] for r in got} == {"x"}
+    for out in (neardup.one_of_each(d, size=2), decontam.decontaminate(d, bench), toxicity.without_toxic(d, labels), mixing.mix_documents(d)):
+        assert out.columns == d.columns and {r["taken"] for r in out.collect()} == {"x"}
+    assert mixing.digest(d).count() == len(rows)
+
+
 # op3
 
 
