@@ -97,3 +97,11 @@ def one_hot(seq, alphabet: str = "ACGT") -> Column:
 
 def reverse_complement(seq) -> Column:
     return F.reverse(F.translate(col(seq), "ACGTacgt", "TGCAtgca"))
+
+
+# Fixed value: the canonical form of public version identifiers (PEP 440).
+_VERSION = r"^([1-9][0-9]*!)?(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*))*((a|b|rc)(0|[1-9][0-9]*))?(\.post(0|[1-9][0-9]*))?(\.dev(0|[1-9][0-9]*))?$"
+
+
+def canonical_version(version) -> Column:
+    return col(version).rlike(_VERSION)

@@ -8,6 +8,7 @@ the reads x positions x references cube exists only when it is asked for.
 from __future__ import annotations
 
 import warnings
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,12 +91,19 @@ def hamming(df, info, seqs, positions=None, *, ref_positions=None, set_diff=Fals
     return both.select("read_id", "ref_id", n.alias("distance"))
 
 
-def pairwise(df, info, other: DataFrame, positions=None) -> DataFrame:
-    """(read_id, other_id, distance) of all reads against a block of reads, which is collected: at most MOST_REFERENCES."""
+def pairwise(df, info, other: DataFrame, positions=None, *, one_hot=False) -> DataFrame:
+    """(read_id, other_id, distance) of all reads against a block of reads, which is collected: at most MOST_REFERENCES.
+
+    ``one_hot`` counts letters other than A, C, G, T as mismatches, even with themselves."""
     rows = other.select("read_id", "seq").limit(MOST_REFERENCES + 1).collect()
     if not rows:
         return df.select("read_id", F.col("read_id").alias("other_id"), F.lit(0).cast("long").alias("distance")).limit(0)
-    return hamming(df, info, [r.seq for r in rows], positions, ids=[r.read_id for r in rows]).withColumnRenamed("ref_id", "other_id")
+    seqs, ids = [r.seq for r in rows], [r.read_id for r in rows]
+    if one_hot:
+        both, _ = _pairs(df, info, seqs, positions, ids=ids)
+        miss = F.filter(F.zip_with("__s", "__r", lambda a, b: (a != b) | ~a.isin(*"ACGT")), lambda x: x)
+        return both.select("read_id", F.col("ref_id").alias("other_id"), F.size(miss).cast("long").alias("distance"))
+    return hamming(df, info, seqs, positions, ids=ids).withColumnRenamed("ref_id", "other_id")
 
 
 def error_rate(df, info, seqs, positions=None, **options) -> DataFrame:
@@ -156,14 +164,32 @@ def pwm(df, info, matrix: list[list[float]], letters="ACGT", positions=None, *,
 
 def words(df, info, k: int, positions=None, *, weight=None) -> DataFrame:
     """(positions, word, value): for every k of the positions, in order, how often each word stands there."""
-    from itertools import combinations
-
     where = checked(info, positions)
-    if k > len(where):
-        warnings.warn("word longer than the positions", stacklevel=2)
-    combos = list(combinations(where, k))
-    lists = F.array(*(F.array(*(F.lit(p) for p in c)) for c in combos)) if combos else F.array().cast("array<array<int>>")
-    long = df.select(*([weight] if weight else []), "seq", F.explode(lists).alias("positions"))
-    word = F.array_join(F.transform("positions", lambda p: F.substring(F.col("seq"), p - info.first + 1, F.lit(1))), "")
+    letters = F.transform("positions", lambda p: F.substring(F.col("seq"), p - info.first + 1, F.lit(1)))
+    return _words(df, "seq", k, [F.lit(p) for p in where], "array<array<int>>", letters, weight)
+
+
+def words_with_insertions(df, info, k: int, positions=None, *, weight=None, least=0, lower=True, gap="-") -> DataFrame:
+    """The same over base and insertion columns: positions are structs of position and loc."""
+    from strandloom.operators.insertions import exploded, strings
+
+    # Columns are few: positions of a read and what is inserted before them.
+    count = exploded(df, info, positions, keep=()).groupBy("position", "loc").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()
+    where = sorted([(p, 0) for p in checked(info, positions)] + [(r.position, r.loc) for r in count])
+    text = strings(df, info, positions=positions, least=least, lower=lower, gap=gap)
+    if weight:
+        text = text.join(df.select("read_id", weight), "read_id")
+    number = F.create_map(*(x for i, (p, loc) in enumerate(where) for x in (F.struct(F.lit(p).alias("position"), F.lit(loc).alias("loc")), F.lit(i + 1))))
+    letters = F.transform("positions", lambda c: F.substring(F.col("seqs"), F.try_element_at(number, c), F.lit(1)))
+    columns = [F.struct(F.lit(p).alias("position"), F.lit(loc).alias("loc")) for p, loc in where]
+    return _words(text, "seqs", k, columns, "array<array<struct<position:int,loc:int>>>", letters, weight)
+
+
+def _words(df, seq, k, columns, kind, letters, weight):
+    if k > len(columns):
+        warnings.warn("word longer than the positions", stacklevel=3)
+    combos = [F.array(*c) for c in combinations(columns, k)]
+    lists = F.array(*combos) if combos else F.array().cast(kind)
+    long = df.select(*([weight] if weight else []), seq, F.explode(lists).alias("positions"))
     value = F.sum(F.col(weight).cast("double")) if weight else F.count("*")
-    return long.groupBy("positions", word.alias("word")).agg(value.alias("value"))
+    return long.groupBy("positions", F.array_join(letters, "").alias("word")).agg(value.alias("value"))

@@ -125,3 +125,40 @@ def fill_mates(df: DataFrame) -> DataFrame:
     other = F.coalesce(F.lead(F.struct("rname", "pos")).over(w), F.lag(F.struct("rname", "pos")).over(w))
     e = e.withColumn("__m", other)
     return e.withColumns({"rnext": F.when(F.col("__m").isNull(), "*").when(F.col("__m.rname") == F.col("rname"), "=").otherwise(F.col("__m.rname")), "pnext": F.coalesce("__m.pos", F.lit(0))}).drop("__m", "read")
+
+
+def to_fastq(df: DataFrame) -> DataFrame:
+    """(header, seq, qual) as sequenced: reads of the reverse strand are turned back; secondary records are left out."""
+    back = F.col("flag").bitwiseAND(16) != 0
+    return df.where(F.col("flag").bitwiseAND(0x900) == 0).select(
+        "header", F.when(back, S.reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"), F.when(back, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"))
+
+
+def unaligned(reads: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Reads whose header has no mapped alignment, say to a control genome."""
+    return reads.join(alignments.where(F.col("flag").bitwiseAND(4) == 0).select("header"), "header", "left_anti")
+
+
+def mismatch_tag(df: DataFrame, reference: str) -> DataFrame:
+    """``df`` with nm: mismatches, inserted and deleted letters of each alignment against one reference sequence."""
+    start = F.struct(F.lit(0).alias("s"), F.col("pos").cast("int").alias("r"), F.lit(0).alias("nm"))
+    ref = F.lit(reference)
+
+    def step(a, x):
+        miss = F.size(F.filter(F.zip_with(S.letters(F.substring(F.col("seq"), a["s"] + 1, x["n"])), S.letters(F.substring(ref, a["r"], x["n"])), lambda p, q: p != q), lambda v: v))
+        move = lambda s, r, n: F.struct((a["s"] + s).alias("s"), (a["r"] + r).alias("r"), (a["nm"] + n).alias("nm"))
+        zero = F.lit(0)
+        return F.when(x["op"].isin("M", "=", "X"), move(x["n"], x["n"], miss)).when(x["op"] == "I", move(x["n"], zero, x["n"])).when(x["op"] == "D", move(zero, x["n"], x["n"])).when(
+            x["op"] == "N", move(zero, x["n"], zero)).when(x["op"] == "S", move(x["n"], zero, zero)).otherwise(a)
+
+    return df.withColumn("nm", F.aggregate(S.cigar_ops("cigar"), start, step)["nm"])
+
+
+def fetch(fasta: DataFrame, regions: DataFrame) -> DataFrame:
+    """(id, start, stop, seq): stretches of sequences, positions from 1, both ends included."""
+    return regions.join(fasta, "id").select("id", "start", "stop", F.expr("substring(seq, start, stop - start + 1)").alias("seq"))
+
+
+def dictionary(fasta: DataFrame) -> DataFrame:
+    """(id, length, md5) of each sequence."""
+    return fasta.select("id", F.length("seq").alias("length"), F.md5(F.upper("seq")).alias("md5"))

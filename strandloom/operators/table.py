@@ -233,9 +233,10 @@ class SeqTable:
     def pwm(self, matrix, **options) -> DataFrame:
         return compare.pwm(self.df, self.info, matrix, **options)
 
-    def substrings(self, k, positions=None, *, subsample=None, weight=None, seed=None) -> DataFrame:
+    def substrings(self, k, positions=None, *, subsample=None, weight=None, seed=None, with_insertions=False, **options) -> DataFrame:
         t = self.subsample(subsample, seed=seed) if subsample else self
-        return compare.words(t.df, self.info, k, positions, weight=weight)
+        count = compare.words_with_insertions if with_insertions else compare.words
+        return count(t.df, self.info, k, positions, weight=weight, **options)
 
     # quality
 

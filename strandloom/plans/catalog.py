@@ -179,6 +179,12 @@ query(f"{BASE}, w AS (SELECT k, a, b FROM (SELECT k, seq, a, b FROM reads, (SELE
     lambda s, d: derive.reads(s, d).substrings(2, list(range(1, 8))).select(F.col("positions")[0].alias("p1"), F.col("positions")[1].alias("p2"), "word", "value"))
 query(f"WITH {READS} SELECT seq[1:3] AS word, round(sum(weight), 2) AS value FROM reads GROUP BY ALL", "substrings_weighted")(
     lambda s, d: derive.reads(s, d).substrings(3, [1, 2, 3], weight="weight").select("word", F.round("value", 2).alias("value")))
+query(f"""{WALK}, col AS (SELECT position, loc FROM ins GROUP BY ALL),
+v AS (SELECT read_id, position, 0 AS loc, base FROM full_ WHERE position IN (11, 12) UNION ALL
+SELECT u.read_id, c.position, c.loc, coalesce(lower(i.base), '-') FROM used u CROSS JOIN col c LEFT JOIN ins i ON i.read_id = u.read_id AND i.position = c.position AND i.loc = c.loc WHERE c.position IN (11, 12))
+SELECT a.position AS p1, a.loc AS l1, b.position AS p2, b.loc AS l2, a.base || b.base AS word, count(*) AS value FROM v a JOIN v b ON a.read_id = b.read_id AND (a.position, a.loc) < (b.position, b.loc) GROUP BY ALL""", "substrings_with_insertions")(
+    lambda s, d: derive.projected(s, d).substrings(2, [11, 12], with_insertions=True).select(
+        F.col("positions")[0]["position"].alias("p1"), F.col("positions")[0]["loc"].alias("l1"), F.col("positions")[1]["position"].alias("p2"), F.col("positions")[1]["loc"].alias("l2"), "word", "value"))
 query(f"WITH {READS} SELECT read_id, [[(seq[p] = 'A')::INT, (seq[p] = 'C')::INT, (seq[p] = 'G')::INT, (seq[p] = 'T')::INT] for p in [1, 2]]::VARCHAR AS one_hot FROM reads", "one_hot")(
     lambda s, d: derive.reads(s, d).window(1, 2).one_hot().withColumn("one_hot", F.concat(F.lit("["), F.array_join(F.transform("one_hot", lambda a: F.concat(F.lit("["), F.array_join(a.cast("array<string>"), ", "), F.lit("]"))), ", "), F.lit("]"))))
 query(f"WITH {READS}, s AS (SELECT read_id, seq[1:4] AS seq FROM reads) SELECT read_id, seq FROM s WHERE seq IN (SELECT seq FROM s GROUP BY seq HAVING count(*) > 40)", "filter_by_count")(
@@ -259,6 +265,13 @@ query(f"WITH {SAM}, n AS (SELECT header, rname, pos, mapq, row_number() OVER (PA
     lambda s, d: samtools.without_duplicates(derive.sam(s, d)).select("header", "rname", "pos", "mapq"))
 
 
+query(f"WITH {SAM} SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT header::BIGINT FROM sam WHERE flag & 4 = 0)", "unaligned_reads")(
+    lambda s, d: samtools.unaligned(derive.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("header")), derive.sam(s, d)).select(F.col("header").cast("long").alias("k")))
+query(f"""{WALK.replace("WHERE rname <> '*'", "WHERE true")}, w AS (SELECT '{WT * 2}' AS r) SELECT read_id, (coalesce(sum((base <> r[position])::INT), 0) + coalesce(any_value(i.n), 0))::INT AS nm
+FROM bases JOIN w ON true LEFT JOIN (SELECT read_id, count(*) AS n FROM ins GROUP BY read_id) i USING (read_id) GROUP BY read_id""", "mismatch_tag")(
+    lambda s, d: samtools.mismatch_tag(derive.sam(s, d), WT * 2).select("read_id", "nm"))
+
+
 # Codons.
 
 _STD = codon.codon_table()

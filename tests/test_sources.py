@@ -111,3 +111,38 @@ def test_stream(spark, tmp_path):
 
 def test_catalog_is_paired():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_external_aligner(spark):
+    import sys
+
+    from strandloom.operators import external
+
+    fake = "import sys\nprint('@HD')\nls=sys.stdin.read().split('\\n')\nfor i in range(0,len(ls)-1,4): print('\\t'.join([ls[i][1:],'0' if 'C' in ls[i+1] else '4','ref','1','9',str(len(ls[i+1]))+'M','*','0','0',ls[i+1],ls[i+3]]))"
+    reads = spark.createDataFrame([(f"h{i}", "ACGT" if i % 2 else "GGGG", "IIII") for i in range(20)], "header string, seq string, qual string")
+    out = external.align(reads, [sys.executable, "-c", fake])
+    assert out.count() == 20 and samtools.unaligned(reads, out).count() == 10
+    import pytest
+
+    with pytest.raises(Exception, match="ended with 3"):
+        external.align(reads, [sys.executable, "-c", "import sys; sys.exit(3)"]).collect()
+    with pytest.raises(RuntimeError):
+        external.run_tool([sys.executable, "-c", "raise SystemExit(1)"])
+
+
+def test_back_to_fastq_and_fasta_tools(spark):
+    df = spark.createDataFrame([("a", 16, "AACG", "ABCD"), ("b", 0, "AC", "IJ"), ("c", 256, "A", "I")], "header string, flag int, seq string, qual string")
+    assert [tuple(r) for r in samtools.to_fastq(df).collect()] == [("a", "CGTT", "DCBA"), ("b", "AC", "IJ")]
+    fa = spark.createDataFrame([("x", "ACGTACGT")], "id string, seq string")
+    assert samtools.fetch(fa, spark.createDataFrame([("x", 3, 5)], "id string, start int, stop int")).first().seq == "GTA"
+    assert samtools.dictionary(fa).first().length == 8
+    v = spark.createDataFrame([("1.0.post1",), ("1.0-x",)], "v string").select(scalar.canonical_version("v")).collect()
+    assert [r[0] for r in v] == [True, False]
+
+
+def test_one_hot_pairs(spark):
+    from strandloom.operators import compare
+
+    t = SeqTable.from_list(spark, ["ACGN", "ACGT"])
+    got = {(r.read_id, r.other_id): r.distance for r in compare.pairwise(t.df, t.info, t.df, one_hot=True).collect()}
+    assert got == {(1, 1): 1, (1, 2): 1, (2, 1): 1, (2, 2): 0}
