@@ -81,8 +81,55 @@ def compare(df, info, seqs, positions=None, *, ref_positions=None, set_diff=Fals
     return out.select("read_id", "ref_id", "position", is_match(F.col("a"), F.col("b"), flip, treat, ignore).alias("is_match"))
 
 
+_LOW_BITS = 0x0101010101010101
+_INLINE = 64  # blocks of 8 letters compared in generated code; longer reads fold over arrays
+
+
+def _blocks(seq: Column, n: int) -> list[Column]:
+    """Eight ASCII letters to a 64-bit number."""
+    return [F.conv(F.hex(F.substring(seq, i + 1, 8)), 16, 10).cast("long") for i in range(0, n, 8)]
+
+
+def _unequal_bytes(a: Column, b: Column) -> Column:
+    x = a.bitwiseXOR(b)
+    for k in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(_LOW_BITS))).cast("long")
+
+
+def _packed_hamming(df, info, seqs, wanted, ref_positions, set_diff, ids) -> DataFrame:
+    """Plain mismatches, eight letters at a time."""
+    refs, where = reference_table(df.sparkSession, seqs, info, ref_positions, ids)
+    positions = shared(info, where, wanted, set_diff)
+    at = {p: i for i, p in enumerate(where)}
+    mine = F.concat(*(F.substring("seq", a - info.first + 1, b - a + 1) for a, b in runs(positions))) if positions else F.lit("")
+    theirs = F.concat(*(F.substring("ref", at[a] + 1, b - a + 1) for a, b in _joint_runs(positions, at))) if positions else F.lit("")
+    n = len(positions)
+    reads = df.select("read_id", F.array(*_blocks(mine, n)).alias("__s") if n else F.array().cast("array<long>").alias("__s"))
+    refs = refs.select("ref_id", F.array(*_blocks(theirs, n)).alias("__r") if n else F.array().cast("array<long>").alias("__r"))
+    both = reads.crossJoin(F.broadcast(refs))
+    if n <= 8 * _INLINE:
+        distance = sum((_unequal_bytes(F.get("__s", i), F.get("__r", i)) for i in range(-(-n // 8))), F.lit(0).cast("long"))
+    else:
+        distance = F.aggregate(F.zip_with("__s", "__r", _unequal_bytes), F.lit(0).cast("long"), lambda a, x: a + x)
+    return both.select("read_id", "ref_id", distance.alias("distance"))
+
+
+def _joint_runs(positions: list[int], at: dict[int, int]) -> list[tuple[int, int]]:
+    """Runs of positions that are consecutive in the table and in the reference."""
+    out: list[list[int]] = []
+    for p in positions:
+        if out and p == out[-1][1] + 1 and at[p] == at[out[-1][1]] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return [(a, b) for a, b in out]
+
+
 def hamming(df, info, seqs, positions=None, *, ref_positions=None, set_diff=False, ignore=(), treat=(), normalized=False, ids=None) -> DataFrame:
     """(read_id, ref_id, distance): mismatches, or their share of the comparable bases."""
+    if not (ignore or treat or normalized):
+        return _packed_hamming(df, info, seqs, positions, ref_positions, set_diff, ids)
     both, _ = _pairs(df, info, seqs, positions, ref_positions, set_diff, ids)
     miss = F.zip_with("__s", "__r", lambda a, b: is_match(a, b, True, treat, ignore))
     n = F.size(F.filter(miss, lambda x: x)).cast("long")

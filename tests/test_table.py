@@ -179,3 +179,17 @@ def test_properties(six):
     assert all(math.isclose(r.s, 1) for r in six.seq_dist(method="freq").groupBy("position").agg(F.sum("value").alias("s")).collect())
     own = {(r.read_id, r.other_id): r.distance for r in __import__("strandloom.operators.compare", fromlist=["x"]).pairwise(six.df, six.info, six.df).collect()}
     assert all(own[a, b] == own[b, a] for a, b in own) and all(own[i, i] == 0 for i in range(1, 7))
+
+
+def test_packed_hamming_agrees(spark):
+    import random
+
+    rng = random.Random(4)
+    for width in (1, 7, 8, 31, 600):
+        seqs = ["".join(rng.choice("ACGTN-$") for _ in range(width)) for _ in range(12)]
+        t = SeqTable.from_list(spark, seqs, seq_type="NT")
+        got = {(r.read_id, r.ref_id): r.distance for r in t.hamming_distance(seqs[:3]).collect()}
+        assert got == {(i + 1, j + 1): sum(a != b for a, b in zip(seqs[i], seqs[j], strict=True)) for i in range(12) for j in range(3)}
+    t = SeqTable.from_list(spark, ["ACGTACGT"], seq_type="NT")
+    assert t.hamming_distance("TTTT", [2, 3, 9], ref_positions=[1, 2, 3, 8]).first().distance == 2
+    assert t.hamming_distance("AAAA", [2], ref_positions=[8, 2, 4, 1], set_diff=True).first().distance == 2
