@@ -10,8 +10,8 @@ they take from each source: multinomial draws under the condition that all shard
 together use up the targets exactly.  Slots then meet the blocks by index.
 
 Only the table of sources (one row each, at most ``max_sources``) and the draws go
-through the driver.  Streams are cut by hash into buckets, so that a source with a
-third of all rows is never one task; equal rows are counted before they are shuffled.
+through the driver.  A source's stream is cut by hash into as many buckets as its rows
+ask for, so that a source with a third of all rows is never one task; equal rows are counted before they are shuffled.
 
 Defined cases: null texts have no words and are taken 0 times; a null source is a
 source, the last; repeated rows are documents of their own; an empty table gives no
@@ -58,7 +58,7 @@ class Mix:
     """The tables of one mix: ``docs`` (one row per distinct row, with copies), ``sources``, ``slots``."""
 
     def __init__(self, docs: DataFrame, *, text="text", source="source", ident="doc_id", block=1024, shard_slots=4096,
-                 weights=(1, 2, 3), most=3, seed=SEED, max_sources=100_000, bucket_rows=10_000):
+                 weights=(1, 2, 3), most=3, seed=SEED, max_sources=100_000, bucket_rows=2_000):
         spark = docs.sparkSession
         self.block, self.most, self.seed = block, most, seed
         keyed = docs.select(F.col(f"`{ident}`").alias("__id"), F.col(f"`{source}`").alias("__source"),
@@ -70,20 +70,19 @@ class Mix:
         rows.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
         self.names, sizes = [r[0] for r in rows], [r.n for r in rows]
         targets = shares(sizes, weights, most)
-        self.buckets = max(1, math.ceil(sum(r.rows for r in rows) / bucket_rows))
         plan, slots = [], []
         for k, (size, target) in enumerate(zip(sizes, targets, strict=True)):
             words = min(int(target), most * size)
             each = -(-size // block)
             slots.append((words // size) * each + -(-(words % size) // block) if size else 0)
-            plan.append((k, self.names[k], size, target, words, each))
-        self.sources = spark.createDataFrame(plan, "__k int, __source string, source_size long, target double, __words long, __each long")
+            plan.append((k, self.names[k], size, target, words, each, max(1, math.ceil(rows[k].rows / bucket_rows))))
+        self.sources = spark.createDataFrame(plan, "__k int, __source string, source_size long, target double, __words long, __each long, __buckets long")
         self.drawn = draw(slots, shard_slots, seed)
 
     def streams(self) -> DataFrame:
         """Each document copy with its source number and the place of its first word in the stream."""
-        d = self.docs.withColumn("__bucket", F.pmod("__a", F.lit(self.buckets)).cast("int"))
-        d = d.join(F.broadcast(self.sources), d["__source"].eqNullSafe(self.sources["__source"])).drop(self.sources["__source"])
+        d = self.docs.join(F.broadcast(self.sources), self.docs["__source"].eqNullSafe(self.sources["__source"])).drop(self.sources["__source"])
+        d = d.withColumn("__bucket", F.pmod("__a", "__buckets").cast("int"))
         length = F.col("__size") * F.col("__copies")
         # One row per source and bucket.
         ahead = d.groupBy("__k", "__bucket").agg(F.sum(length).alias("__n"))
@@ -92,7 +91,7 @@ class Mix:
         d = d.withColumn("__at", F.sum(length).over(run) - length)
         d = d.join(ahead.drop("__n"), ["__k", "__bucket"])
         copies = d.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
-        return copies.withColumn("__at", F.col("__base") + F.col("__at") + F.col("__copy") * F.col("__size")).drop("__base", "__bucket", "__copies")
+        return copies.withColumn("__at", F.col("__base") + F.col("__at") + F.col("__copy") * F.col("__size")).drop("__base", "__bucket", "__buckets", "__copies")
 
     def pieces(self) -> DataFrame:
         """The part of each document copy in each block: __o words into the block, __from words into the document."""
@@ -109,7 +108,7 @@ class Mix:
         """Every slot: shard, its place there, source number, epoch, block, and the words it takes of the block."""
         spark = self.docs.sparkSession
         drawn = spark.createDataFrame(self.drawn or [], "shard long, __k int, __first long, __count long, __off long, __full long")
-        s = drawn.where("__count > 0").repartition("shard", "__k").join(F.broadcast(self.sources.drop("__source")), "__k")
+        s = drawn.where("__count > 0").repartition("shard", "__k").join(F.broadcast(self.sources.drop("__source", "__buckets")), "__k")
         s = s.withColumn("__j", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__count") - 1)))
         block = F.lit(self.block).cast("long")
         s = s.withColumns({
