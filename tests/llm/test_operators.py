@@ -203,6 +203,11 @@ def test_sharding(docs, rows, none):
     assert kept.count() == len(rows) and "text" in kept.columns
 
 
+def test_sharding_runs_no_python(docs):
+    plan = sharding.digest(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Window|Sort", plan) and plan.count("Exchange") <= 3
+
+
 # op5
 
 
