@@ -1,6 +1,6 @@
 """A gated recurrent language model with a class-factored softmax, in numpy.
 
-Symbols 0..K-1 are frequent words, CLASS in a class; symbols from K on are tail
+Symbols 0..K-1 are frequent words, as many in a class as ``W`` is wide; symbols from K on are tail
 classes, which stand for all their words.  p(symbol) = p(class) * p(word | class); a
 tail class has no second factor here, its words share it by their counts elsewhere.
 
@@ -15,22 +15,23 @@ import heapq
 import numpy as np
 
 HIDDEN, CLASS, STEPS, LANES = 16, 32, 32, 256
+_ROWS = 256  # whose class scores stay in a core's cache
 _F = np.float32
 
 
-def initial(word_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
+def initial(word_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 1, width: int = CLASS) -> dict[str, np.ndarray]:
     """Weights whose biases alone give the unigram distribution; ``word_counts`` fill whole classes."""
     rng = np.random.default_rng(seed)
     words, tails = len(word_counts), len(tail_counts)
-    heads = words // CLASS
-    grid = word_counts.reshape(heads, CLASS) + 0.5
+    heads = words // width
+    grid = word_counts.reshape(heads, width) + 0.5
     classes = np.concatenate([grid.sum(1), tail_counts + 0.5])
     return {
         "X": (rng.standard_normal((words + tails, 3 * HIDDEN)) * 0.3).astype(_F),
         "U": (rng.standard_normal((HIDDEN, 3 * HIDDEN)) * 0.25).astype(_F),
         "C": (rng.standard_normal((HIDDEN, heads + tails)) * 0.02).astype(_F),
         "c": np.log(classes / classes.sum()).astype(_F),
-        "W": (rng.standard_normal((heads, HIDDEN, CLASS)) * 0.02).astype(_F),
+        "W": (rng.standard_normal((heads, HIDDEN, width)) * 0.02).astype(_F),
         "w": np.log(grid / grid.sum(1, keepdims=True)).astype(_F),
     }
 
@@ -145,16 +146,16 @@ def _error(x, picked):
 
 def _heads(p, target):
     """Rows by head class: (class, row numbers)."""
-    heads = len(p["W"])
-    kind = np.where(target < heads * CLASS, target // CLASS, heads)
+    heads, _, width = p["W"].shape
+    kind = np.where(target < heads * width, target // width, heads)
     order = np.argsort(kind, kind="stable")
     bounds = np.searchsorted(kind[order], np.arange(heads + 1))
     return [(k, order[bounds[k] : bounds[k + 1]]) for k in range(heads) if bounds[k] < bounds[k + 1]]
 
 
 def _class_of(p, target):
-    heads = len(p["W"])
-    return np.where(target < heads * CLASS, target // CLASS, target - heads * CLASS + heads)
+    heads, _, width = p["W"].shape
+    return np.where(target < heads * width, target // width, target - heads * width + heads)
 
 
 def log_likelihood(p, docs: list[np.ndarray], end: int) -> np.ndarray:
@@ -168,9 +169,11 @@ def log_likelihood(p, docs: list[np.ndarray], end: int) -> np.ndarray:
     for s, active in lanes.windows():
         h, out, _ = _forward(p, lanes, s, active, h, False)
         state, target = _states(out), _symbols(lanes, s, active, lanes.target)
-        score = _softmax(state @ classes, _class_of(p, target))[2].astype(np.float64)
+        kind, score = _class_of(p, target), np.empty(len(target))
+        for i in range(0, len(target), _ROWS):
+            score[i : i + _ROWS] = _softmax(state[i : i + _ROWS] @ classes, kind[i : i + _ROWS])[2]
         for k, rows in _heads(p, target):
-            score[rows] += _softmax(state[rows] @ inner[k], target[rows] % CLASS)[2]
+            score[rows] += _softmax(state[rows] @ inner[k], target[rows] % p["W"].shape[2])[2]
         total += np.bincount(_symbols(lanes, s, active, lanes.doc), score, len(docs))
     return total
 
@@ -194,13 +197,17 @@ class Trainer:
         state, target = _states(out), _symbols(lanes, s, active, lanes.target)
         scale = _F(1 / len(target))
         classes, inner = _joined(p)
-        d = _error(state @ classes, _class_of(p, target))
-        both = state.T @ d * scale
+        kind, both, ds = _class_of(p, target), np.zeros_like(classes), np.empty((len(target), H), _F)
+        for i in range(0, len(target), _ROWS):
+            some = state[i : i + _ROWS]
+            d = _error(some @ classes, kind[i : i + _ROWS])
+            both += some.T @ d
+            np.matmul(d, p["C"].T, out=ds[i : i + _ROWS])
+        both *= scale
         g = {"C": both[:H], "c": both[H], "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
-        ds = d @ p["C"].T
         for k, rows in _heads(p, target):
             mine = state[rows]
-            d = _error(mine @ inner[k], target[rows] % CLASS)
+            d = _error(mine @ inner[k], target[rows] % p["W"].shape[2])
             both = mine.T @ d * scale
             g["W"][k], g["w"][k] = both[:H], both[H]
             ds[rows] += d @ p["W"][k].T

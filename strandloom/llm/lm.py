@@ -5,9 +5,10 @@
 2. A gated recurrent network with a class-factored softmax (``gru``) learns from every
    training document: in ``rounds``, each on another part of them, map tasks train
    from the current weights on what they hold, and their weights are averaged, by
-   tokens, in groups of ``GROUP`` until one is left.  The most frequent words are
-   symbols; all others belong to tail classes, by their last bytes, and share a class
-   by their counts, so the model gives every word, and unknown ones, a probability.
+   tokens, in groups of at most ``GROUP`` until one is left.  The most frequent words are
+   symbols, ``SHORT`` at least and more as the vocabulary grows (``sizes``); all others
+   belong to tail classes, by their last bytes, and share a class by their counts, so the
+   model gives every word, and unknown ones, a probability.
 3. Documents are scored whole, the state carried from window to window.
 
 Counts of at most ``HEAD`` words are broadcast.  Words beyond meet their counts in a
@@ -33,17 +34,29 @@ from pyspark.sql import functions as F
 from strandloom.llm import common, gru
 
 END = b"\n"  # can't be a word
-HEAD, SHORT, TAILS, GROUP = 1 << 18, 512, 16, 32
+HEAD, SHORT, GROUP = 1 << 18, 1024, 32
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BATCH = 32 << 20
+_HELD = 64 << 20  # bytes of weights that meet in a reducer
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
 
 
-def tail_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % TAILS
+def tail_of(word: bytes, tails: int) -> int:
+    return zlib.crc32(word[-3:]) % tails
+
+
+def sizes(distinct: int, head: int) -> tuple[int, int]:
+    """Symbols, and words in a class, of a vocabulary: four times its root, in square classes.
+
+    There are as many tail classes as words in a class."""
+    symbols = min(max(SHORT, 4 * math.isqrt(distinct)), head)
+    width = gru.CLASS
+    while width * width < symbols:
+        width *= 2
+    return symbols // width * width, width
 
 
 def held_out(ident: str):
@@ -66,17 +79,18 @@ def _counts(count):
     return pa.RecordBatch.from_arrays([pa.array(list(count.keys()), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "c"])
 
 
-def _tails(skip):
+def _tails(skip, tails):
     """Of (word, c): words and counts by tail class, without the words in ``skip``."""
 
     def run(batches):
-        total, kinds = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
+        total, kinds = np.zeros(tails, np.int64), np.zeros(tails, np.int64)
         for batch in batches:
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if w not in skip.value:
-                    total[tail_of(w)] += c
-                    kinds[tail_of(w)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(TAILS), pa.int32()), pa.array(total), pa.array(kinds)], names=["tail", "c", "n"])
+                    k = tail_of(w, tails)
+                    total[k] += c
+                    kinds[k] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(tails), pa.int32()), pa.array(total), pa.array(kinds)], names=["tail", "c", "n"])
 
     return run
 
@@ -88,6 +102,7 @@ class Vocabulary:
         self.words, self.counts = [w for w, _ in head], np.array([c for _, c in head], np.int64)
         self.symbols, self.total, self.distinct = symbols, total, distinct
         self.tail_total, self.tail_kinds = tails
+        self.tails = len(self.tail_total)
         self.table = None
 
     def __getstate__(self):
@@ -98,10 +113,10 @@ class Vocabulary:
 
     def open(self):
         if self.table is None:
-            self.table = _Numbers((w, i) for i, w in enumerate(self.words))
+            self.table = _Numbers(((w, i) for i, w in enumerate(self.words)), tails=self.tails)
             # Symbols by number; those of tail classes from the end, so that -1 - class finds them.
-            head = [i if i < self.symbols else self.symbols + tail_of(w) for i, w in enumerate(self.words)]
-            self.symbol = np.array([*head, *(self.symbols + t for t in range(TAILS - 1, -1, -1))], np.int32)
+            head = [i if i < self.symbols else self.symbols + tail_of(w, self.tails) for i, w in enumerate(self.words)]
+            self.symbol = np.array([*head, *(self.symbols + t for t in range(self.tails - 1, -1, -1))], np.int32)
         return self
 
     @property
@@ -117,8 +132,12 @@ class Vocabulary:
 
 
 class _Numbers(dict):
+    def __init__(self, items, tails: int):
+        super().__init__(items)
+        self.tails = tails
+
     def __missing__(self, word: bytes) -> int:
-        return -1 - zlib.crc32(word[-3:]) % TAILS
+        return -1 - zlib.crc32(word[-3:]) % self.tails
 
 
 def _chunks(batches, column=0):
@@ -152,21 +171,25 @@ def _weights(rows):
                                       names=["k", "n", "w"])
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(w, "<f4").astype(np.float64) for w in table.column("w").to_pylist())
-    k = table.column("k")[0].as_py() // GROUP
-    return pa.Table.from_batches([_weights([(k, sum(table.column("n").to_pylist()), total)])])
+def _sum(group):
+    def run(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(w.as_py(), "<f4").astype(np.float64) for w in table.column("w"))
+        k = table.column("k")[0].as_py() // group
+        return pa.Table.from_batches([_weights([(k, sum(table.column("n").to_pylist()), total)])])
+
+    return run
 
 
 _SCHEMA = "k long, n long, w binary"
 
 
 def averaged(parts: DataFrame, tasks: int, like):
-    """The token-weighted mean of the tasks' weights; a reducer holds ``GROUP`` of them at most."""
+    """The token-weighted mean of the tasks' weights; a reducer holds ``GROUP`` of them at most, fewer if they are large."""
+    group = max(2, min(GROUP, _HELD // (4 * sum(x.size for x in like.values()))))
     parts = common.written(parts, "weights")
-    while tasks > GROUP:
-        parts = common.written(parts.groupBy(F.expr(f"k div {GROUP}")).applyInArrow(_sum, _SCHEMA), "weights")
-        tasks = -(-tasks // GROUP)
+    while tasks > 1:  # the driver receives one row
+        parts = common.written(parts.groupBy(F.expr(f"k div {group}")).applyInArrow(_sum(group), _SCHEMA), "weights")
+        tasks = -(-tasks // group)
     rows = parts.collect()
     n = sum(r.n for r in rows)
     return gru.shaped(sum(np.frombuffer(r.w, "<f4").astype(np.float64) for r in rows) / n, like) if n else like
@@ -220,11 +243,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         end = next(x for x in head if x[0] == END)
         head.remove(end)
         head.insert(0, end)
-    symbols = min(SHORT, len(head) // gru.CLASS * gru.CLASS)
+    symbols, width = sizes(totals[1], len(head))
     skip = spark.sparkContext.broadcast({w for w, _ in head[:symbols]})
-    tails = counts.select("word", "c").mapInArrow(_tails(skip), "tail int, c long, n long").groupBy("tail").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).orderBy("tail").collect()
+    tails = counts.select("word", "c").mapInArrow(_tails(skip, width), "tail int, c long, n long").groupBy("tail").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).orderBy("tail").collect()
     by = {r.tail: (r.c, r.n) for r in tails}
-    return Vocabulary(head, symbols, totals[0] or 0, totals[1], (np.array([by.get(t, (0, 0))[0] for t in range(TAILS)]), np.array([by.get(t, (0, 0))[1] for t in range(TAILS)])))
+    return Vocabulary(head, symbols, totals[0] or 0, totals[1], (np.array([by.get(t, (0, 0))[0] for t in range(width)]), np.array([by.get(t, (0, 0))[1] for t in range(width)])))
 
 
 def score(docs: DataFrame, *, text="text", ident="doc_id", rounds: int = 2, keep=None) -> DataFrame:
@@ -237,7 +260,7 @@ def score(docs: DataFrame, *, text="text", ident="doc_id", rounds: int = 2, keep
     counts = common.written(counts, "counts")
     v = vocabulary(counts)
     shared = spark.sparkContext.broadcast(v)
-    weights = gru.initial(v.counts[: v.symbols].astype(float), v.tail_total.astype(float))
+    weights = gru.initial(v.counts[: v.symbols].astype(float), v.tail_total.astype(float), width=v.tails)
     for r in range(rounds if v.symbols else 0):
         mine = training.where(F.pmod(F.xxhash64(col, F.col(f"`{ident}`")), F.lit(rounds)) == r).select(col.alias("t"))
         parts = mine.mapInArrow(_train(shared, spark.sparkContext.broadcast(weights)), _SCHEMA)

@@ -96,6 +96,37 @@ def test_model_is_a_distribution_and_learns():
     assert gru.log_likelihood(t.p, docs, 0).sum() > before.sum() + 100
 
 
+def test_symbols_and_classes_grow_with_the_vocabulary(spark):
+    def made(distinct):
+        counts = spark.range(distinct).select(F.concat(F.lit("w"), F.col("id")).cast("binary").alias("word"), (F.lit(2_000_000) - F.col("id")).alias("c"))
+        return lm.vocabulary(counts)
+
+    small, large = made(3000), made(200_000)
+    assert small.symbols == 1024 and len(small.tail_total) == 32
+    assert large.symbols >= 1700 and len(large.tail_total) > 32
+    assert lm.sizes(3_000_000, lm.HEAD)[0] > 4 * lm.sizes(100_000, lm.HEAD)[0]
+    # Words beyond rank 512, and words of all tail classes, are told apart.
+    ids = large.open().model_symbols(large.ids([b"w600", b"w1500", b"w199999", b"unknown"]))
+    assert ids[0] != ids[1] and ids[:2].max() < large.symbols <= ids[2:].min() and ids.max() < large.symbols + len(large.tail_total)
+    assert large.tail_kinds.sum() == 200_000 - large.symbols
+
+
+def test_wide_classes_are_a_distribution():
+    rng = np.random.default_rng(2)
+    p = gru.initial(rng.integers(1, 50, 128).astype(float), np.ones(3), width=64)
+    total = np.logaddexp.reduce([gru.log_likelihood(p, [np.array([3, 9, k], np.int32)], 0)[0] for k in range(131)])
+    assert abs(total - gru.log_likelihood(p, [np.array([3, 9], np.int32)], 0)[0]) < 1e-4
+
+
+def test_weights_are_averaged_in_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_HELD", 1)
+    like = {"a": np.zeros(3, np.float32)}
+    rows = [(k, k + 1, (np.arange(3) + k).astype("<f4") * (k + 1)) for k in range(7)]
+    parts = spark.createDataFrame([(k, n, bytearray(w.tobytes())) for k, n, w in rows], lm._SCHEMA)
+    got = lm.averaged(parts, 7, like)["a"]
+    assert np.allclose(got, sum(w for *_, w in rows) / sum(n for _, n, _ in rows))
+
+
 def test_gradient():
     rng = np.random.default_rng(1)
     p = gru.initial(rng.integers(1, 9, 32).astype(float), np.ones(2))
