@@ -58,4 +58,4 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(id, seq): first word of the description line; sequence lines joined, in capitals."""
     records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
     lines = F.split("value", "\r?\n")
-    return records.select(F.regexp_extract(F.get(lines, 0), r"^\s*(\S*)", 1).alias("id"), F.upper(F.regexp_replace(F.array_join(F.slice(lines, 2, 1 << 20), ""), r"\s", "")).alias("seq"))
+    return records.select(F.regexp_extract(F.get(lines, 0), r"^\s*(\S*)", 1).alias("id"), F.upper(F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", "")).alias("seq"))

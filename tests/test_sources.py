@@ -68,6 +68,14 @@ def test_fasta(spark, tmp_path):
     assert [tuple(r) for r in text.read_fasta(spark, str(p)).orderBy("id").collect()] == [("one", "ACGTAC"), ("two", "TTT")]
 
 
+def test_fasta_keeps_every_line(spark, tmp_path):
+    p = tmp_path / "long.fa"
+    n = (1 << 20) + 5
+    p.write_text(">long\n" + "A\n" * n + "C\n>none\n")
+    got = text.read_fasta(spark, str(p)).select("id", F.length("seq").alias("n"), F.right("seq", F.lit(2)).alias("end")).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [("long", n + 1, "AC"), ("none", 0, "")]
+
+
 def test_flags_and_cigars(spark):
     df = spark.createDataFrame([(99, "5S3M1I2M4S"), (147, "bad"), (0, "3M")], "flag int, cigar string")
     rows = df.select(scalar.flag_bits("flag").alias("b"), scalar.read_number("flag").alias("n"), scalar.leading_clip("cigar").alias("l"), scalar.trailing_clip("cigar").alias("t"),
