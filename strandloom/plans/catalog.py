@@ -91,6 +91,11 @@ query(FREQ + _BITS, "seq_dist_bits")(lambda s, d: r6(derive.reads(s, d).seq_dist
 _AA = """WITH reads AS (SELECT doc_id AS read_id, rpad(regexp_replace(translate(substr(text, 1, 40), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', 'X', 'g'), 40, 'X') AS seq FROM documents),
 n AS (SELECT p::INT AS position, seq[p] AS letter, count(*) AS value FROM reads, (SELECT unnest(range(1, 41)) AS p) GROUP BY ALL), f AS (SELECT position, letter, value / sum(value) OVER (PARTITION BY position) AS value FROM n)"""
 query(_AA + _BITS, "seq_dist_bits_aa")(lambda s, d: r6(derive.amino_reads(s, d).seq_dist(method="bits"), "value"))
+# Whole texts, in consecutive reads of 40 letters.
+_AA_WHOLE = """WITH d AS (SELECT doc_id, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', 'X', 'g') AS s FROM documents WHERE text IS NOT NULL),
+reads AS (SELECT doc_id || ':' || i AS read_id, rpad(substr(s, i * 40 + 1, 40), 40, 'X') AS seq FROM (SELECT *, unnest(range(0, greatest(length(s) - 1, 0) // 40 + 1)) AS i FROM d)),
+n AS (SELECT p::INT AS position, seq[p] AS letter, count(*) AS value FROM reads, (SELECT unnest(range(1, 41)) AS p) GROUP BY ALL), f AS (SELECT position, letter, value / sum(value) OVER (PARTITION BY position) AS value FROM n)"""
+query(_AA_WHOLE + _BITS, "seq_dist_bits_aa_whole")(lambda s, d: r6(derive.amino_pieces(s, d).seq_dist(method="bits"), "value"))
 query(f"""{WALK} SELECT position, base AS letter, count(*) AS value FROM full_ GROUP BY ALL UNION ALL SELECT position, '^', count(*) FROM ins WHERE loc = -1 GROUP BY position""", "seq_dist_insertion_row")(
     lambda s, d: derive.projected(s, d).seq_dist(insertions=True))
 query(f"{FREQ} SELECT position, round(-sum(value * log2(value)), 6) AS entropy FROM f GROUP BY position", "pos_entropy")(lambda s, d: r6(derive.reads(s, d).pos_entropy(), "entropy"))

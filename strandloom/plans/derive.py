@@ -69,3 +69,12 @@ def amino_reads(spark, sf_dir) -> SeqTable:
     seq = F.rpad(F.regexp_replace(F.translate(F.substring("text", 1, 40), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "[^A-Z]", "X"), 40, "X")
     df = d.select(F.col("doc_id").alias("read_id"), F.col("doc_id").alias("read_ord"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"), F.array().cast(INSERTIONS).alias("insertions"))
     return SeqTable(df, TableInfo("AA", 1, 40, has_quality=False))
+
+
+def amino_pieces(spark, sf_dir) -> SeqTable:
+    """Whole documents as consecutive reads of 40 letters; the last one is filled up with X, null texts have none."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    letters = d.select("doc_id", F.regexp_replace(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "[^A-Z]", "X").alias("s"))
+    pieces = letters.select("doc_id", F.explode(F.expr("transform(sequence(0, greatest(length(s) - 1, 0) div 40), i -> struct(i, rpad(substring(s, int(i * 40 + 1), 40), 40, 'X') as seq))")).alias("x"))
+    df = pieces.select(F.concat_ws(":", "doc_id", "x.i").alias("read_id"), F.struct("doc_id", "x.i").alias("read_ord"), F.col("x.seq").alias("seq"), F.lit(None).cast("string").alias("qual"), F.array().cast(INSERTIONS).alias("insertions"))
+    return SeqTable(df, TableInfo("AA", 1, 40, has_quality=False))

@@ -193,3 +193,13 @@ def test_packed_hamming_agrees(spark):
     t = SeqTable.from_list(spark, ["ACGTACGT"], seq_type="NT")
     assert t.hamming_distance("TTTT", [2, 3, 9], ref_positions=[1, 2, 3, 8]).first().distance == 2
     assert t.hamming_distance("AAAA", [2], ref_positions=[8, 2, 4, 1], set_diff=True).first().distance == 2
+
+
+def test_amino_reads_of_whole_texts(spark, tmp_path):
+    from strandloom.plans import catalog, derive
+
+    rows = [(1, "ac" * 20 + "W" * 40 + "d!y"), (2, "x" * 40), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.read_id: r.seq for r in derive.amino_pieces(spark, str(tmp_path)).df.collect()}
+    assert got == {"1:0": "AC" * 20, "1:1": "W" * 40, "1:2": "DXY" + "X" * 37, "2:0": "X" * 40, "3:0": "X" * 40}
+    assert "W" in {r.letter for r in catalog.QUERIES["seq_dist_bits_aa_whole"](spark, str(tmp_path)).collect()}
