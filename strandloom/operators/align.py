@@ -88,9 +88,11 @@ def place(df: DataFrame, *, seq="seq", qual: str | None = "qual", pos="pos", fir
     return df.withColumns(made), first, last
 
 
-def guess_type(df: DataFrame, seq="seq", rows: int = 1000) -> str:
-    """NT or AA, from the letters of the first ``rows`` sequences."""
-    used = df.select(F.upper(F.col(seq)).alias("s")).limit(rows).select(F.explode(F.array_distinct(S.letters("s"))).alias("c")).distinct().collect()
+def guess_type(df: DataFrame, seq="seq", rows: int | None = None) -> str:
+    """NT or AA, from the letters of all sequences, or of any ``rows`` of them."""
+    some = df.select(F.upper(F.col(seq)).alias("s"))
+    some = some if rows is None else some.limit(rows)
+    used = some.select(F.explode(F.array_distinct(S.letters("s"))).alias("c")).distinct().collect()
     return seq_type_of({r.c for r in used if r.c})
 
 

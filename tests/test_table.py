@@ -203,3 +203,9 @@ def test_amino_reads_of_whole_texts(spark, tmp_path):
     got = {r.read_id: r.seq for r in derive.amino_pieces(spark, str(tmp_path)).df.collect()}
     assert got == {"1:0": "AC" * 20, "1:1": "W" * 40, "1:2": "DXY" + "X" * 37, "2:0": "X" * 40, "3:0": "X" * 40}
     assert "W" in {r.letter for r in catalog.QUERIES["seq_dist_bits_aa_whole"](spark, str(tmp_path)).collect()}
+
+
+def test_type_is_judged_by_all_reads(spark):
+    df = spark.range(3000, numPartitions=1).select(F.when(F.col("id") == 2500, "ACGE").otherwise("ACGT").alias("seq"))
+    assert align.guess_type(df) == "AA"
+    assert align.guess_type(df, rows=1000) == "NT"
