@@ -62,6 +62,31 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def q(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(columns, made) -> list[str]:
+    """``columns`` without those that the new columns ``made`` replace, whatever their case."""
+    made = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in made]
+
+
+def numbered(columns) -> list[Column]:
+    """The columns under names of their own (in_0, in_1 ...), so that an operator's inner names can't clash."""
+    return [q(c).alias(f"in_{i}") for i, c in enumerate(columns)]
+
+
+def restored(columns) -> list[Column]:
+    """What ``numbered`` renamed, under the names it had."""
+    return [F.col(f"in_{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def numbered_fields(schema: T.StructType, columns) -> list[T.StructField]:
+    return [T.StructField(f"in_{i}", schema[c].dataType) for i, c in enumerate(columns)]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until it clashes with no column of ``df``."""
     have = {c.lower() for c in df.columns}

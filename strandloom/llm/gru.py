@@ -15,7 +15,7 @@ import heapq
 import numpy as np
 
 HIDDEN, CLASS, STEPS, LANES = 16, 32, 32, 256
-_ROWS = 256  # whose class scores stay in a core's cache
+_ROWS = 512  # whose class scores stay in a core's cache
 _F = np.float32
 
 
@@ -83,52 +83,59 @@ class Lanes:
 
 
 def _forward(p, lanes: Lanes, s: int, active: list[int], h: np.ndarray, keep: bool):
-    X, U, H = p["X"], p["U"], HIDDEN
-    out, tape = [], []
+    """States of a window, (HIDDEN + 1) x tokens, the last row of ones; a lane is a column, so that gates are whole rows."""
+    U, H = np.ascontiguousarray(p["U"].T), HIDDEN
+    inputs = np.ascontiguousarray(p["X"].take(_symbols(lanes, s, active, lanes.source), 0).T)
+    state = np.ones((H + 1, inputs.shape[1]), _F)  # the ones meet the biases
+    tape, at = [], 0
     for t, n in enumerate(active, s):
-        h = h[:n]
+        h = h[:, :n]
         if lanes.fresh[t, :n].any():
-            h = h * ~lanes.fresh[t, :n, None]
-        x = X[lanes.source[t, :n]]
-        a = h @ U
-        g = x[:, : 2 * H] + a[:, : 2 * H]
+            h = h * ~lanes.fresh[t, :n]
+        x = inputs[:, at : at + n]
+        a = U @ h
+        g = x[: 2 * H] + a[: 2 * H]
         np.negative(g, g)
         np.exp(g, g)
         g += 1
         np.reciprocal(g, g)
-        r, z = g[:, :H], g[:, H:]
-        c = np.tanh(x[:, 2 * H :] + r * a[:, 2 * H :])
-        new = c + z * (h - c)
+        r, z = g[:H], g[H:]
+        c = r * a[2 * H :]
+        c += x[2 * H :]
+        np.tanh(c, c)
+        new = h - c
+        new *= z
+        new += c
         if keep:
-            tape.append((h, a[:, 2 * H :], r, z, c))
+            tape.append((h, a[2 * H :], r, z, c))
         h = new
-        out.append(h)
-    return h, out, tape
+        state[:H, at : at + n] = h
+        at += n
+    return h, state, tape
 
 
 def _symbols(lanes, s, active, what):
     return np.concatenate([what[t, :n] for t, n in enumerate(active, s)])
 
 
-def _softmax(x, picked):
-    """Exponentials (in place), their sums, and the log probability of the picked one of each row."""
-    at = np.arange(len(x)), picked
-    log = x[at]
+def _exponentials(state, weights):
+    """exp of the scores and its row sums; scores are shifted by rows if they leave the range."""
+    e = state.T @ weights
     with np.errstate(over="ignore"):
-        e = np.exp(x)
-    total = e.sum(1)
-    if not (np.isfinite(total).all() and total.all()):  # scores out of range: shift them
-        x = x - x.max(1, keepdims=True)
-        log, e = x[at], np.exp(x)
-        total = e.sum(1)
-    return e, total, log - np.log(total)
+        np.exp(e, e)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    if not (np.isfinite(total.sum()) and total.all()):
+        e = state.T @ weights
+        e -= e.max(1, keepdims=True)
+        np.exp(e, e)
+        total = e @ np.ones(e.shape[1], e.dtype)
+    return e, total
 
 
-def _states(out):
-    """Hidden states with a last column of ones, which meets the biases."""
-    s = np.ones((sum(map(len, out)), HIDDEN + 1), _F)
-    np.concatenate(out, out=s[:, :HIDDEN])
-    return s
+def _log_softmax(state, weights, picked):
+    """Log probability of the picked word of each state."""
+    e, total = _exponentials(state, weights)
+    return np.log(np.maximum(e[np.arange(len(e)), picked], 1e-35) / total)
 
 
 def _joined(p):
@@ -136,21 +143,21 @@ def _joined(p):
     return np.vstack([p["C"], p["c"]]), np.concatenate([p["W"], p["w"][:, None]], 1)
 
 
-def _error(x, picked):
-    """Gradient of the mean negative log likelihood with respect to the scores."""
-    e, total, _ = _softmax(x, picked)
-    e /= total[:, None]
-    e[np.arange(len(e)), picked] -= 1
-    return e
+def _descend(state, weights, picked, ds):
+    """Gradient of the summed negative log likelihood: with respect to ``weights`` (returned) and the state (into ``ds``)."""
+    e, total = _exponentials(state, weights)
+    e[np.arange(len(e)), picked] -= total
+    share = 1 / total  # scales the narrow side, not the scores
+    np.multiply(weights[:-1] @ e.T, share, out=ds)
+    return (state * share) @ e
 
 
-def _heads(p, target):
-    """Rows by head class: (class, row numbers)."""
-    heads, _, width = p["W"].shape
-    kind = np.where(target < heads * width, target // width, heads)
-    order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(heads + 1))
-    return [(k, order[bounds[k] : bounds[k + 1]]) for k in range(heads) if bounds[k] < bounds[k + 1]]
+def _heads(p, kind):
+    """Rows of head classes in the order of their class, and each class's stretch: (rows, [(class, begin, end)])."""
+    heads = len(p["W"])
+    rows = np.argsort(kind.astype(np.int16 if heads + len(p["c"]) < 1 << 15 else np.int32), kind="stable")
+    bounds = np.searchsorted(kind[rows], np.arange(heads + 1)).tolist()
+    return rows[: bounds[-1]], [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
 
 
 def _class_of(p, target):
@@ -165,15 +172,19 @@ def log_likelihood(p, docs: list[np.ndarray], end: int) -> np.ndarray:
         return total
     lanes = Lanes(docs, end)
     classes, inner = _joined(p)
-    h = np.zeros((lanes.target.shape[1], HIDDEN), _F)
+    h = np.zeros((HIDDEN, lanes.target.shape[1]), _F)
+    width = p["W"].shape[2]
     for s, active in lanes.windows():
-        h, out, _ = _forward(p, lanes, s, active, h, False)
-        state, target = _states(out), _symbols(lanes, s, active, lanes.target)
-        kind, score = _class_of(p, target), np.empty(len(target))
+        h, state, _ = _forward(p, lanes, s, active, h, False)
+        target = _symbols(lanes, s, active, lanes.target)
+        kind, score = _class_of(p, target), np.empty(len(target), _F)
         for i in range(0, len(target), _ROWS):
-            score[i : i + _ROWS] = _softmax(state[i : i + _ROWS] @ classes, kind[i : i + _ROWS])[2]
-        for k, rows in _heads(p, target):
-            score[rows] += _softmax(state[rows] @ inner[k], target[rows] % p["W"].shape[2])[2]
+            score[i : i + _ROWS] = _log_softmax(state[:, i : i + _ROWS], classes, kind[i : i + _ROWS])
+        rows, stretches = _heads(p, kind)
+        state, word, part = state.take(rows, 1), target[rows] % width, np.empty(len(rows), _F)
+        for k, a, b in stretches:
+            part[a:b] = _log_softmax(state[:, a:b], inner[k], word[a:b])
+        score[rows] += part
         total += np.bincount(_symbols(lanes, s, active, lanes.doc), score, len(docs))
     return total
 
@@ -187,55 +198,63 @@ class Trainer:
 
     def learn(self, docs: list[np.ndarray], end: int) -> None:
         lanes = Lanes(docs, end)
-        h = np.zeros((lanes.target.shape[1], HIDDEN), _F)
+        h = np.zeros((HIDDEN, lanes.target.shape[1]), _F)
         for s, active in lanes.windows():
-            h, out, tape = _forward(self.p, lanes, s, active, h, True)
-            self._update(lanes, s, active, out, tape)
+            h, state, tape = _forward(self.p, lanes, s, active, h, True)
+            self._update(lanes, s, active, state, tape)
 
-    def _update(self, lanes, s, active, out, tape):
+    def _update(self, lanes, s, active, state, tape):
         p, H = self.p, HIDDEN
-        state, target = _states(out), _symbols(lanes, s, active, lanes.target)
-        scale = _F(1 / len(target))
+        target = _symbols(lanes, s, active, lanes.target)
+        n = len(target)
         classes, inner = _joined(p)
-        kind, both, ds = _class_of(p, target), np.zeros_like(classes), np.empty((len(target), H), _F)
-        for i in range(0, len(target), _ROWS):
-            some = state[i : i + _ROWS]
-            d = _error(some @ classes, kind[i : i + _ROWS])
-            both += some.T @ d
-            np.matmul(d, p["C"].T, out=ds[i : i + _ROWS])
+        kind, both, ds = _class_of(p, target), np.zeros_like(classes), np.empty((H, n), _F)
+        for i in range(0, n, _ROWS):
+            both += _descend(state[:, i : i + _ROWS], classes, kind[i : i + _ROWS], ds[:, i : i + _ROWS])
+        words = np.zeros_like(inner)
+        rows, stretches = _heads(p, kind)
+        mine, word, part = state.take(rows, 1), target[rows] % inner.shape[2], np.empty((H, len(rows)), _F)
+        for k, a, b in stretches:
+            words[k] = _descend(mine[:, a:b], inner[k], word[a:b], part[:, a:b])
+        ds[:, rows] += part
+        scale = _F(1 / n)
         both *= scale
-        g = {"C": both[:H], "c": both[H], "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
-        for k, rows in _heads(p, target):
-            mine = state[rows]
-            d = _error(mine @ inner[k], target[rows] % p["W"].shape[2])
-            both = mine.T @ d * scale
-            g["W"][k], g["w"][k] = both[:H], both[H]
-            ds[rows] += d @ p["W"][k].T
+        words *= scale
         ds *= scale
-        begin = np.cumsum([0, *active])
-        back = np.zeros((0, H), _F)
-        dx, da, before = [None] * len(active), [None] * len(active), [None] * len(active)
+        g = {"C": both[:H], "c": both[H], "W": words[:, :H], "w": words[:, H]}
+        dx, da, before = np.empty((3 * H, n), _F), np.empty((3 * H, n), _F), np.empty((H, n), _F)
+        U, back, end = p["U"], np.zeros((H, 0), _F), n
         for i in range(len(active) - 1, -1, -1):
-            dh = ds[begin[i] : begin[i + 1]]
-            dh[: len(back)] += back
+            at = slice(end - active[i], end)
+            end -= active[i]
+            dh = ds[:, at]
+            dh[:, : back.shape[1]] += back
             h, ac, r, z, c = tape[i]
-            dc = dh * (1 - z) * (1 - c * c)
-            dr = dc * ac * r * (1 - r)
-            dz = dh * (h - c) * z * (1 - z)
-            dx[i] = np.concatenate([dr, dz, dc], 1)
-            da[i] = np.concatenate([dr, dz, dc * r], 1)
-            before[i] = h
-            back = dh * z + da[i] @ p["U"].T
+            keep = dh * (1 - z)
+            dc = keep * (1 - c * c)
+            dac = dc * r
+            dx[2 * H :, at] = dc
+            da[2 * H :, at] = dac
+            dx[:H, at] = dac * ac * (1 - r)
+            keep *= z
+            keep *= h - c
+            dx[H : 2 * H, at] = keep
+            da[: 2 * H, at] = dx[: 2 * H, at]
+            before[:, at] = h
+            back = U @ da[:, at]
+            back += dh * z
             fresh = lanes.fresh[s + i, : active[i]]
             if fresh.any():
-                back *= ~fresh[:, None]
-        g["U"] = np.concatenate(before).T @ np.concatenate(da)
-        source, dx = _symbols(lanes, s, active, lanes.source), np.concatenate(dx)
-        order = np.argsort(source, kind="stable")
-        first = np.flatnonzero(np.diff(source[order], prepend=-1))
-        rows, sums = source[order[first]], np.add.reduceat(dx[order], first)
-        self.seen["X"][rows] += sums * sums
-        p["X"][rows] -= self.rate * sums / np.sqrt(self.seen["X"][rows])
+                back *= ~fresh
+        g["U"] = before @ da.T
+        source = _symbols(lanes, s, active, lanes.source)
+        rows, at = np.unique(source, return_inverse=True)
+        sums = np.empty((len(rows), 3 * H), _F)
+        for j in range(3 * H):
+            sums[:, j] = np.bincount(at, dx[j], len(rows))
+        seen = self.seen["X"][rows] + sums * sums
+        self.seen["X"][rows] = seen
+        p["X"][rows] -= self.rate * sums / np.sqrt(seen)
         for k, v in g.items():
             self.seen[k] += v * v
             p[k] -= self.rate * v / np.sqrt(self.seen[k])

@@ -15,21 +15,24 @@ Counts of at most ``HEAD`` words are broadcast.  Words beyond meet their counts
 join, so vocabularies of any size are exact.
 
 Defined cases: null and empty texts have the end token only; a null id counts as the
-empty text for the split; repeated rows are documents of their own; without training
-documents all counts are 0; clashing columns are replaced; an empty table gives no rows.
+empty text for the split; ids may have any type; very long texts are read whole, their
+state carried on; repeated rows are documents of their own, equal ones score alike;
+without training documents all counts are 0; input columns named like results are
+replaced, others may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.llm import common, gru
 
@@ -44,6 +47,26 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
 
 
+def tokenised(column) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts end to end (binary, ASCII letters lower), and how many each text has; as ``words`` finds them."""
+    texts = column.fill_null("")
+    lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts))
+    flat = lists.flatten().cast(pa.binary())
+    full = np.asarray(pa.compute.greater(pa.compute.binary_length(flat), 0))
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+    if not full.all():  # around the text's first and last word
+        flat, owner = flat.filter(pa.array(full)), owner[full]
+    return flat, np.bincount(owner, minlength=len(texts))
+
+
+def _pieces(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls, cut from its buffer."""
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2]
+    data = data.to_pybytes() if data is not None else b""
+    return [data[a:b] for a, b in zip(edges, edges[1:])]
+
+
 def tail_of(word: bytes, tails: int) -> int:
     return zlib.crc32(word[-3:]) % tails
 
@@ -51,32 +74,25 @@ def tail_of(word: bytes, tails: int) -> int:
 def sizes(distinct: int, head: int) -> tuple[int, int]:
     """Symbols, and words in a class, of a vocabulary: four times its root, in square classes.
 
-    There are as many tail classes as words in a class."""
+    There are as many tail classes as words in a class.  A vocabulary too small for one class leaves places in it empty."""
     symbols = min(max(SHORT, 4 * math.isqrt(distinct)), head)
     width = gru.CLASS
     while width * width < symbols:
         width *= 2
-    return symbols // width * width, width
+    return max(1, symbols // width) * width, width
 
 
 def held_out(ident: str):
-    return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    return F.crc32(F.coalesce(common.q(ident).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
 def _count(batches):
-    count: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            count.update(words(text))
-            count[END] += 1
-            if len(count) > 400_000:
-                yield _counts(count)
-                count.clear()
-    yield _counts(count)
-
-
-def _counts(count):
-    return pa.RecordBatch.from_arrays([pa.array(list(count.keys()), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "c"])
+    """Counts by chunk; Spark's partial sums join them."""
+    for chunk in _chunks(batches):
+        flat, _ = tokenised(chunk.column(0))
+        count = flat.value_counts()
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([count.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([count.field("counts"), pa.array([chunk.num_rows], pa.int64())])],
+                                         names=["word", "c"])
 
 
 def _tails(skip, tails):
@@ -121,7 +137,8 @@ class Vocabulary:
 
     @property
     def end(self) -> int:
-        return max(0, self.open().table[END])
+        """The end token's symbol."""
+        return int(self.symbol[self.open().table[END]])
 
     def ids(self, tokens: list[bytes]) -> np.ndarray:
         """Head numbers; -1 - tail class for other words."""
@@ -130,6 +147,20 @@ class Vocabulary:
     def model_symbols(self, ids) -> np.ndarray:
         return self.symbol[ids]
 
+    def read(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of all texts end to end, each closed by the end token: ids of the tokens, their places in the chunk's
+        dictionary, tokens of each text, and the dictionary.  Each distinct word is looked up once."""
+        flat, sizes = tokenised(column)
+        coded = flat.dictionary_encode()
+        dictionary = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
+        known = self.ids(_pieces(dictionary))
+        sizes = sizes + 1
+        place = np.full(int(sizes.sum()), len(dictionary) - 1, np.int64)
+        word = np.ones(len(place), bool)
+        word[np.cumsum(sizes) - 1] = False
+        place[word] = np.asarray(coded.indices)
+        return known[place], place, sizes, dictionary
+
 
 class _Numbers(dict):
     def __init__(self, items, tails: int):
@@ -154,12 +185,9 @@ def _train(vocabulary, weights):
         trainer = gru.Trainer({k: x.copy() for k, x in weights.value.items()})
         seen = 0
         for part in _chunks(batches):
-            docs = []
-            for text in part.column(0).to_pylist():
-                tokens = [*words(text), END]
-                docs.append(v.model_symbols(v.ids(tokens)))
-            seen += sum(map(len, docs))
-            trainer.learn(docs, v.end)
+            ids, _, sizes, _ = v.read(part.column(0))
+            seen += len(ids)
+            trainer.learn(np.split(v.model_symbols(ids), np.cumsum(sizes)[:-1]), v.end)
         if seen:
             yield _weights([(TaskContext.get().partitionId(), seen, gru.flat(trainer.p).astype(np.float64) * seen)])
 
@@ -204,24 +232,24 @@ def _score(vocabulary, weights):
         share = np.log10(v.tail_total + 0.5 * (v.tail_kinds + 1))
         part, k = TaskContext.get().partitionId(), 0
         for chunk in _chunks(batches):
-            docs, rows = [], []
-            for text in chunk.column(0).to_pylist():
-                tokens = [*words(text), END]
-                ids = v.ids(tokens)
-                symbols = v.model_symbols(ids)
-                docs.append(symbols)
-                known = ids >= 0
-                inner = known & (ids >= v.symbols)
-                spread = share[symbols[symbols >= v.symbols] - v.symbols].sum()
-                rest = Counter(tokens[i] for i in np.flatnonzero(~known).tolist())
-                rows.append((len(tokens), int(known.sum()), float(logs[ids[known]].sum()), float(logs[ids[inner]].sum() - spread), list(rest), list(rest.values())))
-            model = gru.log_likelihood(weights.value, docs, v.end) / math.log(10)
-            n = len(rows)
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            ids, place, sizes, dictionary = v.read(chunk.column(0))
+            n = len(sizes)
+            if not n:
+                continue
+            symbols, doc = v.model_symbols(ids), np.repeat(np.arange(n), sizes)
+            known, tail = ids >= 0, symbols >= v.symbols
+            base = np.bincount(doc[known], logs[ids[known]], n).astype(np.float64)
+            inner = known & tail
+            spread = np.bincount(doc[inner], logs[ids[inner]], n) - np.bincount(doc[tail], share[symbols[tail] - v.symbols], n)
+            # Words beyond the head, each once for a document.
+            rest, times = np.unique(doc[~known] * np.int64(len(dictionary)) + place[~known], return_counts=True)
+            offsets = pa.array(np.searchsorted(rest, np.arange(n + 1) * np.int64(len(dictionary))), pa.int32())
+            other = pa.ListArray.from_arrays(offsets, dictionary.take(pa.array(rest % len(dictionary))))
+            model = gru.log_likelihood(weights.value, np.split(symbols, np.cumsum(sizes)[:-1]), v.end) / math.log(10)
             yield pa.RecordBatch.from_arrays(
                 [chunk.column(i) for i in range(1, chunk.num_columns)]
-                + [pa.array(list(range(k, k + n)), pa.int64()), pa.array([part] * n, pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
-                   pa.array(np.array(cols[3]) + model, pa.float64()), pa.array(list(cols[4]), pa.list_(pa.binary())), pa.array(list(cols[5]), pa.list_(pa.int64()))],
+                + [pa.array(np.arange(k, k + n)), pa.array([part] * n, pa.int32()), pa.array(sizes.astype(np.int64)), pa.array(np.bincount(doc[known], minlength=n).astype(np.int64)), pa.array(base),
+                   pa.array((spread + model).astype(np.float64)), other, pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))],
                 names=[*chunk.schema.names[1:], "__k", "__part", "n_tokens", "__known", "__base", "__model", "__words", "__times"])
             k += n
 
@@ -254,23 +282,24 @@ def score(docs: DataFrame, *, text="text", ident="doc_id", rounds: int = 2, keep
     """``docs`` with held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
     common.ship(spark)
-    col = F.col(f"`{text}`")
+    col = common.q(text)
     training = docs.where(~held_out(ident))
     counts = training.select(col.alias("t")).mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = common.written(counts, "counts")
     v = vocabulary(counts)
     shared = spark.sparkContext.broadcast(v)
-    weights = gru.initial(v.counts[: v.symbols].astype(float), v.tail_total.astype(float), width=v.tails)
-    for r in range(rounds if v.symbols else 0):
-        mine = training.where(F.pmod(F.xxhash64(col, F.col(f"`{ident}`")), F.lit(rounds)) == r).select(col.alias("t"))
+    counted = np.zeros(v.symbols)
+    counted[: len(v.counts)] = v.counts[: v.symbols]
+    weights = gru.initial(counted, v.tail_total.astype(float), width=v.tails)
+    for r in range(rounds):
+        mine = training.where(F.pmod(F.xxhash64(col, common.q(ident)), F.lit(rounds)) == r).select(col.alias("t"))
         parts = mine.mapInArrow(_train(shared, spark.sparkContext.broadcast(weights)), _SCHEMA)
         parts = common.written(parts, "weights")
         weights = averaged(parts, (parts.agg(F.max("k")).first()[0] or 0) + 1, weights)
-    names = {"held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
-    out = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    rows = docs.select(col.alias("__text"), *(F.col(f"`{c}`") for c in out), held_out(ident).alias("held_out"))
-    inner = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    schema = ", ".join([*inner, "__k long, __part int, n_tokens long, __known long, __base double, __model double, __words array<binary>, __times array<long>"])
+    out = common.others(docs.columns if keep is None else keep, ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    rows = docs.select(col.alias("__text"), *common.numbered(out), held_out(ident).alias("held_out"))
+    made = T.StructType.fromDDL("__k long, __part int, n_tokens long, __known long, __base double, __model double, __words array<binary>, __times array<long>")
+    schema = T.StructType(rows.schema.fields[1:] + made.fields)
     done = common.written(rows.mapInArrow(_score(shared, spark.sparkContext.broadcast(weights)), schema), "scored")
     rest = done.select("__part", "__k", F.explode(F.arrays_zip(F.col("__words").alias("w"), F.col("__times").alias("n"))).alias("x")).select("__part", "__k", F.col("x.w").alias("word"), F.col("x.n").alias("n"))
     met = rest.join(counts, "word", "left").groupBy("__part", "__k").agg(
@@ -279,6 +308,6 @@ def score(docs: DataFrame, *, text="text", ident="doc_id", rounds: int = 2, keep
     rest_known, rest_sum = F.coalesce("__rest_known", F.lit(0)), F.coalesce("__rest_sum", F.lit(0.0))
     each = math.log10(v.total + 0.5 * (v.distinct + 1))
     return done.drop("__words", "__times").join(met, ["__part", "__k"], "left").select(
-        *(F.col(f"`{c}`") for c in out), "held_out", "n_tokens", (F.col("__known") + rest_known).cast("long").alias("n_known"),
+        *common.restored(out), "held_out", "n_tokens", (F.col("__known") + rest_known).cast("long").alias("n_known"),
         F.lit(v.total).cast("long").alias("train_tokens"), (F.col("__base") + rest_sum - F.col("n_tokens") * each).alias("base_score"),
         (F.col("__model") + rest_sum).alias("score"))

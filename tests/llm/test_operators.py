@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,38 @@ def test_language_model(docs, rows, none):
     assert lm.score(none).count() == 0
 
 
+def test_model_beats_the_base_on_held_out_documents(spark):
+    """Text with order in it: the model must gain over the counts on documents it hasn't seen."""
+    rng = random.Random(11)
+    nouns = [f"noun{i}" for i in range(40)]
+    rows = []
+    for i in range(600):
+        t = []
+        for _ in range(40):
+            n = rng.randrange(40)
+            t += ["the", nouns[n], f"verb{n}", "rare" + str(rng.randrange(10**6))]
+        rows.append((i, " ".join(t)))
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.3  # log10 a token
+
+
+def test_tokens_without_training_documents_and_few_words(spark):
+    held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = lm.score(spark.createDataFrame([(i, "Ab ab c\x0b") for i in held], "doc_id long, text string")).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(4, 0, 0)} and all(math.isfinite(r.score) and r.score < 0 and abs(r.base_score - 4 * math.log10(1)) < 1e-9 for r in got)
+    few = lm.score(spark.createDataFrame([(i, "ab ab c") for i in range(50)], "doc_id long, text string")).collect()
+    assert len({round(r.score, 9) for r in few}) == 1 and few[0].score > few[0].base_score  # three words: the model still runs
+
+
+def test_tokenised_finds_the_words():
+    rng = random.Random(3)
+    alphabet = [chr(i) for i in range(160)] + ["é", "  ", "Ä", "\u2003"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + [None, "", " \x0b"]
+    flat, sizes = lm.tokenised(pa.array(texts, pa.string()).slice(5))
+    want = [lm.words(t) for t in texts[5:]]
+    assert sizes.tolist() == [len(w) for w in want] and lm._pieces(flat) == [x for w in want for x in w]
+
+
 def test_rare_words_meet_their_counts_in_a_join(docs, monkeypatch):
     full = {r.doc_id: round(r.base_score, 6) for r in lm.score(docs).collect()}
     monkeypatch.setattr(lm, "HEAD", 64)
