@@ -15,6 +15,7 @@ import heapq
 import numpy as np
 
 HIDDEN, CLASS, STEPS, LANES = 16, 32, 32, 256
+_WIDE = 1024  # lanes where nothing is learnt
 _ROWS = 512  # whose class scores stay in a core's cache
 _F = np.float32
 
@@ -85,14 +86,13 @@ class Lanes:
 def _forward(p, lanes: Lanes, s: int, active: list[int], h: np.ndarray, keep: bool):
     """States of a window, (HIDDEN + 1) x tokens, the last row of ones; a lane is a column, so that gates are whole rows."""
     U, H = np.ascontiguousarray(p["U"].T), HIDDEN
-    inputs = np.ascontiguousarray(p["X"].take(_symbols(lanes, s, active, lanes.source), 0).T)
-    state = np.ones((H + 1, inputs.shape[1]), _F)  # the ones meet the biases
+    state = np.ones((H + 1, sum(active)), _F)  # the ones meet the biases
     tape, at = [], 0
     for t, n in enumerate(active, s):
         h = h[:, :n]
         if lanes.fresh[t, :n].any():
             h = h * ~lanes.fresh[t, :n]
-        x = inputs[:, at : at + n]
+        x = np.ascontiguousarray(p["X"].take(lanes.source[t, :n], 0).T)
         a = U @ h
         g = x[: 2 * H] + a[: 2 * H]
         np.negative(g, g)
@@ -148,7 +148,7 @@ def _descend(state, weights, picked, ds):
     e, total = _exponentials(state, weights)
     e[np.arange(len(e)), picked] -= total
     share = 1 / total  # scales the narrow side, not the scores
-    np.multiply(weights[:-1] @ e.T, share, out=ds)
+    np.multiply((e @ weights[:-1].T).T, share, out=ds)  # this order of factors is the fast one
     return (state * share) @ e
 
 
@@ -170,7 +170,7 @@ def log_likelihood(p, docs: list[np.ndarray], end: int) -> np.ndarray:
     total = np.zeros(len(docs))
     if not docs:
         return total
-    lanes = Lanes(docs, end)
+    lanes = Lanes(docs, end, _WIDE)
     classes, inner = _joined(p)
     h = np.zeros((HIDDEN, lanes.target.shape[1]), _F)
     width = p["W"].shape[2]
@@ -248,7 +248,9 @@ class Trainer:
                 back *= ~fresh
         g["U"] = before @ da.T
         source = _symbols(lanes, s, active, lanes.source)
-        rows, at = np.unique(source, return_inverse=True)
+        met = np.zeros(len(p["X"]), bool)
+        met[source] = True
+        rows, at = np.flatnonzero(met), (np.cumsum(met, dtype=np.int32) - 1)[source]
         sums = np.empty((len(rows), 3 * H), _F)
         for j in range(3 * H):
             sums[:, j] = np.bincount(at, dx[j], len(rows))
