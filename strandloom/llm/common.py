@@ -101,7 +101,7 @@ def guarded(df: DataFrame, text: str, made) -> tuple[DataFrame, str, list[str],
     away = {c: fresh(df, f"__{i}_{c}") for i, c in enumerate(df.columns) if c.lower() in {m.lower() for m in made}}
     inner = df.withColumnsRenamed(away)
     keep = [away.get(c, c) for c in df.columns]
-    return inner, away.get(text, text), keep, [F.col(f"`{k}`").alias(c) for k, c in zip(keep, df.columns, strict=True)]
+    return inner, away.get(text, text), keep, [q(k).alias(c) for k, c in zip(keep, df.columns, strict=True)]
 
 
 def text_map(df, fn, fields, text="text", keep=None):
@@ -112,26 +112,18 @@ def text_map(df, fn, fields, text="text", keep=None):
     """
     ship(df.sparkSession)
     new = T.StructType(fields)
-    names = set(new.names)
-    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    carry = [c for c in keep if c != text]
-    source = df.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text}`"))
-    schema = T.StructType([df.schema[c] for c in keep] + new.fields)
-    types = [f.name for f in new]
+    keep = others(df.columns if keep is None else keep, new.names)
+    at = keep.index(text) if text in keep else len(keep)
+    source = df.select(*numbered(keep), *([] if text in keep else [q(text).alias("t")]))
+    schema = T.StructType(numbered_fields(df.schema, keep) + new.fields)
 
     def run(batches):
         for batch in batches:
-            for start, stop in slices(batch.column(batch.num_columns - 1)):
+            for start, stop in slices(batch.column(at)):
                 part = batch.slice(start, stop - start)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                made = fn(texts)
-                at = {c: part.column(i) for i, c in enumerate(carry)}
-                at[text] = part.column(part.num_columns - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [at[c] for c in keep] + list(made), names=keep + types
-                )
-
-    return source.mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *fn(part.column(at).to_pylist())], names=schema.names)
+
+    return source.mapInArrow(run, schema).select(*restored(keep), *new.names)
 
 
 def slices(column, limit: int = 8 << 20):

@@ -133,29 +133,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text="text", item_id
                   window: int = 10, block_bytes: int = 4 << 20, keep=None) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_spans (word offsets, half-open) and hit_items (ids as strings, sorted)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    items = benchmark.select(common.q(item_id).cast("string").alias("i"), common.q(item_text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
+    out = common.others(docs.columns if keep is None else keep, (f.name for f in FIELDS))
+    rows = docs.select(*common.numbered(out), common.q(text).alias("t"))
     for k in range(blocks):
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()]
-        carry = None
-        if k:
-            carry = docs = common.written(docs, "decontam")
-        docs = _pass(docs, spark.sparkContext.broadcast(block), window, text, keep, carry is not None)
-    return docs
+        rows = _pass(common.written(rows, "decontam") if k else rows, spark.sparkContext.broadcast(block), window, k > 0)
+    return rows.select(*common.restored(out), *(f.name for f in FIELDS))
 
 
-def _pass(docs, block, window, text, keep, again):
+def _pass(rows, block, window, again):
+    """Rows of in_..., t and, ``again``, earlier results: with the results so far."""
     key = uuid.uuid4().hex
-    names = {f.name for f in FIELDS}
-    if keep is not None:
-        docs = docs.select(*dict.fromkeys([*(c for c in keep if c not in names), text, *(["hit_spans", "hit_items"] if again else [])]))
-    prior = docs.select(*docs.columns)
-    if again:
-        prior = prior.withColumnsRenamed({"hit_spans": "__spans", "hit_items": "__items"})
-    out = [c for c in docs.columns if c not in names]
-    common.ship(docs.sparkSession)
-    schema = T.StructType([docs.schema[c] for c in out] + FIELDS)
+    plain = [c for c in rows.columns if c not in {f.name for f in FIELDS}]
+    common.ship(rows.sparkSession)
+    schema = T.StructType([rows.schema[c] for c in plain] + FIELDS)
 
     def run(batches):
         if key not in _MATCHERS:
@@ -163,11 +157,11 @@ def _pass(docs, block, window, text, keep, again):
             _MATCHERS[key] = tiers(patterns(block.value, window))
         matchers = _MATCHERS[key]
         for batch in batches:
-            for start, stop in common.slices(batch.column(batch.schema.get_field_index(text))):
+            for start, stop in common.slices(batch.column("t")):
                 part = batch.slice(start, stop - start)
                 rows = []
-                before = (part.column("__spans").to_pylist(), part.column("__items").to_pylist()) if again else None
-                for i, t in enumerate(part.column(text).to_pylist()):
+                before = (part.column("hit_spans").to_pylist(), part.column("hit_items").to_pylist()) if again else None
+                for i, t in enumerate(part.column("t").to_pylist()):
                     n, spans, ids = scan(t, matchers)
                     ids = {x for x in ids if x is not None}
                     if before:
@@ -177,11 +171,11 @@ def _pass(docs, block, window, text, keep, again):
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
                 types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in out] + [pa.array(list(c), t) for c, t in zip(cols, types, strict=True)],
-                    names=out + [f.name for f in FIELDS],
+                    [part.column(c) for c in plain] + [pa.array(list(c), t) for c, t in zip(cols, types, strict=True)],
+                    names=plain + [f.name for f in FIELDS],
                 )
 
-    return prior.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -9,13 +9,14 @@ the target's whole words.  Output shards of ``shard_slots`` slots draw how many
 they take from each source: multinomial draws under the condition that all shards
 together use up the targets exactly.  Slots then meet the blocks by index.
 
-Only the table of sources (one row each, at most ``max_sources``) and the draws go
-through the driver.  A source's stream is cut by hash into as many buckets as its rows
+Only the table of sources (one row each, at most ``max_sources``) and the top of the
+tree of draws go through the driver.  A source's stream is cut by hash into as many buckets as its rows
 ask for, so that a source with a third of all rows is never one task; equal rows are counted before they are shuffled.
 
-Defined cases: null texts have no words and are taken 0 times; a null source is a
-source, the last; repeated rows are documents of their own; an empty table gives no
-rows; clashing columns are replaced.
+Defined cases: null and empty texts have no words and are taken 0 times; very long texts
+span blocks and are counted whole; a null source is a source, the last; a null id is an
+id; repeated rows are documents of their own; an empty table gives no rows; other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +63,8 @@ class Mix:
                  weights=(1, 2, 3), most=3, seed=SEED, max_sources=100_000, bucket_rows=2_000):
         spark = docs.sparkSession
         self.block, self.most, self.seed = block, most, seed
-        keyed = docs.select(F.col(f"`{ident}`").alias("__id"), F.col(f"`{source}`").alias("__source"),
-                            word_count(F.col(f"`{text}`")).alias("__size"), *row_keys(docs, ident, source, text))
+        keyed = docs.select(common.q(ident).alias("__id"), common.q(source).alias("__source"),
+                            word_count(common.q(text)).alias("__size"), *row_keys(docs, ident, source, text))
         self.docs = common.written(keyed.groupBy("__id", "__source", "__size", *_KEYS).agg(F.count("*").alias("__copies")), "mix")
         rows = self.docs.groupBy("__source").agg(F.sum(F.col("__size") * F.col("__copies")).alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
         if len(rows) > max_sources:
@@ -75,12 +77,18 @@ class Mix:
             words = min(int(target), most * size)
             each = -(-size // block)
             slots.append((words // size) * each + -(-(words % size) // block) if size else 0)
-            plan.append((k, self.names[k], size, target, words, each, max(1, math.ceil(rows[k].rows / bucket_rows))))
+            plan.append((k, self.names[k], size, target, words, each, min(1 << 20, max(1, math.ceil(rows[k].rows / bucket_rows)))))
         self.sources = spark.createDataFrame(plan, "__k int, __source string, source_size long, target double, __words long, __each long, __buckets long")
-        self.drawn = draw(slots, shard_slots, seed)
+        self.drawn = draws(spark, slots, shard_slots, seed)
+        self._streams = None
 
     def streams(self) -> DataFrame:
-        """Each document copy with its source number and the place of its first word in the stream."""
+        """Each document copy with its source number and the place of its first word in the stream; made once."""
+        if self._streams is None:
+            self._streams = common.written(self._laid_out(), "streams")
+        return self._streams
+
+    def _laid_out(self) -> DataFrame:
         d = self.docs.join(F.broadcast(self.sources), self.docs["__source"].eqNullSafe(self.sources["__source"])).drop(self.sources["__source"])
         d = d.withColumn("__bucket", F.pmod("__a", "__buckets").cast("int"))
         length = F.col("__size") * F.col("__copies")
@@ -106,9 +114,7 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """Every slot: shard, its place there, source number, epoch, block, and the words it takes of the block."""
-        spark = self.docs.sparkSession
-        drawn = spark.createDataFrame(self.drawn or [], "shard long, __k int, __first long, __count long, __off long, __full long")
-        s = drawn.where("__count > 0").repartition("shard", "__k").join(F.broadcast(self.sources.drop("__source", "__buckets")), "__k")
+        s = self.drawn.repartition("shard", "__k").join(F.broadcast(self.sources.drop("__source", "__buckets")), "__k")
         s = s.withColumn("__j", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__count") - 1)))
         block = F.lit(self.block).cast("long")
         s = s.withColumns({
@@ -134,26 +140,62 @@ class Mix:
         return out.select(F.col("__id"), F.col("__size").cast("long").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def draw(slots: list[int], shard_slots: int, seed: int) -> list[tuple]:
+def halves(lo: int, hi: int, left: list[tuple], shard_slots: int, seed: int):
+    """Split the shards lo..hi-1 and what they take, (source, count, first slot), in two halves.
+
+    The left half's counts are multivariate hypergeometric, so sources' counts in a shard
+    are multinomial under the condition that the shards together take all counts."""
+    mid = (lo + hi) // 2
+    rng, rest = np.random.default_rng([seed, lo, hi]), sum(c for _, c, _ in left)
+    n = min(shard_slots * (mid - lo), rest)
+    one, other = [], []
+    for k, m, first in left:
+        rest -= m
+        c = hypergeometric(rng, m, rest, n) if n else 0
+        n -= c
+        if c:
+            one.append((k, c, first))
+        if c < m:
+            other.append((k, m - c, first + c))
+    return (lo, mid, one), (mid, hi, other)
+
+
+_DRAWN = "shard long, __k int, __first long, __count long, __off long, __full long"
+
+
+def _leaves(shard_slots, seed):
+    """All draws of one group of shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        got = table.to_pydict()
+        todo, out = [(got["lo"][0], got["hi"][0], sorted(zip(got["k"], got["n"], got["first"], strict=True)))], []
+        while todo:
+            lo, hi, left = todo.pop()
+            if hi - lo > 1:
+                todo += halves(lo, hi, left, shard_slots, seed)
+                continue
+            off, full = 0, sum(c for _, c, _ in left)
+            for k, c, first in left:
+                out.append((lo, k, first, c, off, full))
+                off += c
+        types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
+        return pa.table({name.split()[0]: pa.array([r[i] for r in out], t) for i, (name, t) in enumerate(zip(_DRAWN.split(", "), types, strict=True))})
+
+    return run
+
+
+def draws(spark, slots: list[int], shard_slots: int, seed: int, most: int = 1 << 18) -> DataFrame:
     """(shard, source, first slot of the source, count, offset in the shard, slots of the shard) for every draw above 0.
 
-    Sources' counts in a shard are multinomial, under the condition that the shards
-    together take ``slots``.
+    A binary tree of draws: its top, at most about ``most`` numbers, is drawn here, each
+    group of shards below it in a task.  Every node has its own generator, so the cut doesn't show.
     """
-    rng, left, first, out = np.random.default_rng(seed), list(slots), [0] * len(slots), []
-    for g in range(-(-sum(slots) // shard_slots)):
-        n = full = min(shard_slots, sum(left))
-        rest, off = sum(left), 0
-        for k, m in enumerate(left):
-            rest -= m
-            c = hypergeometric(rng, m, rest, n) if n and m else 0
-            if c:
-                out.append((g, k, first[k], c, off, full))
-                left[k] -= c
-                first[k] += c
-                off += c
-                n -= c
-    return out
+    top = [(0, -(-sum(slots) // shard_slots), [(k, n, 0) for k, n in enumerate(slots) if n])]
+    while 2 * len(top) * len(slots) <= most and any(hi - lo > 64 for lo, hi, _ in top):
+        top = [x for lo, hi, left in top for x in (halves(lo, hi, left, shard_slots, seed) if hi - lo > 64 else [(lo, hi, left)])]
+    rows = [(lo, hi, k, n, first) for lo, hi, left in top if hi > lo for k, n, first in left]
+    common.ship(spark)
+    return spark.createDataFrame(rows, "lo long, hi long, k int, n long, first long").groupBy("lo", "hi").applyInArrow(_leaves(shard_slots, seed), _DRAWN)
 
 
 def word_count(text):
@@ -161,7 +203,7 @@ def word_count(text):
 
 
 def row_keys(docs, ident, source, text):
-    parts = [F.col(f"`{c}`") for c in (ident, source, text)]
+    parts = [common.q(c) for c in (ident, source, text)]
     return [F.xxhash64(*parts).alias("__a"), F.xxhash64(F.lit(SEED), *parts[::-1]).alias("__b")]
 
 
@@ -186,12 +228,14 @@ def mix_documents(docs: DataFrame, *, text="text", source="source", ident="doc_i
         .otherwise(F.concat(acc, F.array(x))))
     runs = runs.select(*_KEYS, "__copy", "__size", F.explode(spans).alias("__run"))
     # Copies of a row have equal keys and equal texts: each run needs the text once.
-    texts = docs.select(*row_keys(docs, ident, source, text), F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"))
+    texts = docs.select(*row_keys(docs, ident, source, text), F.struct(*common.numbered(names)).alias("__row"))
     texts = texts.dropDuplicates(_KEYS)
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(common.WORD), F.lit(0)),
+    at = f"in_{names.index(text)}"
+    body = F.col(f"__row.{at}")
+    cut = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(common.WORD), F.lit(0)),
                                (F.col("__run.s") + 1).cast("int"), (F.col("__run.e") - F.col("__run.s")).cast("int")), " ")
     whole = (F.col("__run.s") == 0) & (F.col("__run.e") == F.col("__size"))
-    out = texts.join(runs, _KEYS).select("__row.*", "__run", "__size").withColumn(text, F.when(whole, F.col(f"`{text}`")).otherwise(cut))
+    out = texts.join(runs, _KEYS).withColumn("__row", F.col("__row").withField(at, F.when(whole, body).otherwise(cut)))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in names))
+        out = out.withColumn("__row", F.col("__row").withField(f"in_{names.index('n_chars')}", F.length(body).cast(docs.schema["n_chars"].dataType)))
+    return out.select("__row.*").select(*common.restored(names))

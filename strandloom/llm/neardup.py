@@ -7,7 +7,8 @@
    ``LEAST`` equal leading values; classes alone in all trees are done.
 3. In a region, rows are paired with their neighbours by longest common prefix: a
    region of up to ``PAIRS`` rows whole, a larger one split by deeper prefixes until
-   its parts are that small, and every row with its next ``NEAR`` rows.  Pairs whose
+   its parts are that small (a part that no prefix splits is a candidate as a whole),
+   and every row with its next ``NEAR`` rows.  Pairs whose
    signatures agree in 60 % of the values are kept, reduced in place to a spanning
    forest, so a region of n rows sends less than n pairs.  Regions too large for one
    task go by the full depth, then by salt, with one edge to the region's least row.
@@ -21,8 +22,10 @@ Recall: a pair at similarity 0.8 shares no region with probability 3e-6, and fal
 below 60 % agreement with probability under 1e-9; whatever is confirmed is exact.
 
 Defined cases: texts without words and null texts have an empty set and link with
-nothing; fewer words than a shingle make one shingle; repeated rows are copies; a null
-id counts as the largest; clashing columns are replaced; an empty table gives no rows.
+nothing; fewer words than a shingle make one shingle; very long texts are read whole;
+repeated rows are copies; a null id counts as the largest, ids may have any type that
+has an order; an empty table gives no rows; input columns named like results are
+replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from strandloom.llm import common
 from strandloom.llm.substring import WordTable, rolling, scramble
 
 TREES, DEPTH, LEAST = 24, 8, 4
-PAIRS, NEAR, BLOCK, REGION = 512, 32, 3000, 100_000
+PAIRS, NEAR, BLOCK, REGION = 512, 32, 3000, 2048
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SALTS = scramble(np.arange(1, 2 * TREES * DEPTH + 1)).astype(np.uint32).reshape(2, -1)
 
@@ -151,6 +154,10 @@ def alike(sig: np.ndarray, least: float = 0.6) -> list[tuple[int, int]]:
             cut = np.flatnonzero(order[lo + 1 : hi, depth] != order[lo : hi - 1, depth]) + lo + 1
             for x, y in zip([lo, *cut.tolist()], [*cut.tolist(), hi], strict=True):
                 descend(x, y, depth + 1, order)
+        else:  # no prefix splits it further: all its rows are candidates of its first one, and confirmed
+            for i in range(lo + 1, hi):
+                if forest.join(lo, i):
+                    out.append((lo, i))
 
     descend(0, n, LEAST, sig[:, :DEPTH])
     if n > PAIRS:
@@ -270,7 +277,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _row_keys(ident, text):
-    key, col = F.col(f"`{ident}`"), F.col(f"`{text}`")
+    key, col = common.q(ident), common.q(text)
     return F.xxhash64(key, col), F.xxhash64(F.lit(7), col, key)
 
 
@@ -279,7 +286,7 @@ def classes_of(docs: DataFrame, *, text="text", ident="doc_id", size: int = 5, p
     least class of its component) and its least row as ``rep`` (id is null, id, a, b)."""
     common.ship(docs.sparkSession)
     a, b = _row_keys(ident, text)
-    rows = docs.select(a.alias("a"), b.alias("b"), F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("t"))
+    rows = docs.select(a.alias("a"), b.alias("b"), common.q(ident).alias("id"), common.q(text).alias("t"))
     id_type = docs.schema[ident].dataType.simpleString()
     seen = common.written(rows.mapInArrow(_describe(size), f"a long, b long, id {id_type}, n long, class binary, sig binary"), "signed")
     some = seen.where("class is not null")
@@ -319,31 +326,27 @@ def near_duplicates(docs: DataFrame, *, text="text", ident="doc_id", keep=None,
     """``docs`` with n_shingles, component_id (least id of the component) and kept (id = component_id)."""
     seen, member = classes_of(docs, text=text, ident=ident, **options)
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
-    label = member.join(least, "root").select("class", F.col("least.id").alias("component_id"))
-    names = {"n_shingles", "component_id", "kept"}
-    out = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    # Classes that are alone, most of them, need no label: their component is their least row's.
+    label = member.join(least, "root").select("class", F.col("least.id").alias("component"))
+    out = common.others(docs.columns if keep is None else keep, ("n_shingles", "component_id", "kept"))
+    # Rows without words are labelled before the join, so that they don't meet in one task.
+    full, bare = seen.where("class is not null"), seen.where("class is null")
+    described = full.join(label, "class").select("a", "b", "id", "n", "component").unionByName(bare.select("a", "b", "id", "n", F.col("id").alias("component")))
+    results = [F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")]
     if set(out) <= {ident}:
-        done = seen.join(label, "class", "left").withColumnRenamed("id", ident)
-    else:
-        a, b = _row_keys(ident, text)
-        described = seen.select("a", "b", "n", "class").dropDuplicates(["a", "b"]).join(label, "class", "left")
-        done = docs.withColumns({"__a": a, "__b": b}).join(described.withColumnsRenamed({"a": "__x", "b": "__y", "n": "__n", "class": "__class", "component_id": "__c"}),
-                                                            (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y")), "left")
-        component = F.when(F.col("__class").isNull(), F.col(f"`{ident}`")).otherwise(F.col("__c"))
-        return done.select(*(F.col(f"`{c}`") for c in out), F.col("__n").alias("n_shingles"), component.alias("component_id"), F.col(f"`{ident}`").eqNullSafe(component).alias("kept"))
-    component = F.when(F.col("class").isNull(), F.col(f"`{ident}`")).otherwise(F.col("component_id"))
-    return done.select(*(F.col(f"`{c}`") for c in out), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                       F.col(f"`{ident}`").eqNullSafe(component).alias("kept"))
+        return described.select(*(F.col("id").alias(c) for c in out), *results)
+    a, b = _row_keys(ident, text)
+    rows = docs.select(*common.numbered(out), a.alias("a"), b.alias("b"))
+    return rows.join(described.dropDuplicates(["a", "b"]), ["a", "b"]).select(*common.restored(out), *results)
 
 
 def one_of_each(docs: DataFrame, *, text="text", ident="doc_id", **options) -> DataFrame:
     """The documents, columns as they came, with the least row of each component; documents without words stay."""
     _, member = classes_of(docs, text=text, ident=ident, **options)
-    first = member.groupBy("root").agg(F.min("rep").alias("least")).select(F.col("least.a").alias("__x"), F.col("least.b").alias("__y"))
-    first = common.written(first, "first")
-    full = F.coalesce(F.col(f"`{text}`").rlike(common.WORD), F.lit(False))
+    first = common.written(member.groupBy("root").agg(F.min("rep").alias("least")).select("least.a", "least.b"), "first")
+    full = F.coalesce(common.q(text).rlike(common.WORD), F.lit(False))
     a, b = _row_keys(ident, text)
-    chosen = docs.where(full).withColumns({"__a": a, "__b": b}).join(first, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y")))
+    chosen = docs.where(full).select(*common.numbered(docs.columns), a.alias("a"), b.alias("b")).join(first, ["a", "b"])
     # Equal rows are side by side after the join.
-    chosen = chosen.dropDuplicates(["__a", "__b"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    chosen = chosen.dropDuplicates(["a", "b"]).select(*common.restored(docs.columns))
     return chosen.unionByName(docs.where(~full))

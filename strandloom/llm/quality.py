@@ -85,7 +85,7 @@ def _letters(d: Doc) -> bool:
 
 def _shouting(d: Doc) -> bool:
     """Over half of the words in capitals."""
-    return 2 * sum(1 for w in d.text.split() if w.isupper() and len(w) > 1) > d.n
+    return 2 * sum(1 for w in d.raw.split() if len(t := w.decode("utf-8", "replace")) > 1 and t.isupper()) > d.n
 
 
 def _top_word(d: Doc) -> bool:
@@ -135,7 +135,7 @@ def assess(docs: DataFrame, *, text="text", rules=RULES, sample_rows: int = 1000
     orders the rules.
     """
     if order is None:
-        picked = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null and octet_length(t) < 100000")
+        picked = docs.select(common.q(text).alias("t")).where("t is not null and octet_length(t) < 100000")
         picked = picked.select(F.xxhash64("t").alias("h"), "t").where("pmod(h, 64) = 0").limit(sample_rows)
         order = plan([r.t for r in picked.collect()], rules)
     ranked = sorted(rules, key=lambda r: order.index(r.name))

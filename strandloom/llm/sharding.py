@@ -15,7 +15,8 @@ Steps 3 and 4 are arithmetic on a row's own columns: no sort, no window and no k
 on which rows could pile up.  Row counts of shards differ by one at most.
 
 Defined cases: an empty table gives no rows; repeated rows are rows of their own;
-nulls in any column don't matter; clashing columns are replaced.
+nulls in any column, empty and very long texts don't matter; input columns named shard
+or slot are replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -75,12 +76,11 @@ def matrix(rows: list[int], columns: list[int], seed: int) -> list[list[int]]:
 def shard(docs: DataFrame, *, shards: int = 16, seed: int = 20240501, max_partitions: int = 4096) -> DataFrame:
     """``docs`` with shard (0..shards-1) and slot (0.. without gaps in each shard)."""
     spark = docs.sparkSession
-    place, own = common.fresh(docs, "__place"), common.fresh(docs, "__part")
-    base = docs.drop("shard", "slot").coalesce(max_partitions).withColumn(place, F.monotonically_increasing_id())
+    out = common.others(docs.columns, ("shard", "slot"))
+    base = docs.select(*common.numbered(out)).coalesce(max_partitions).withColumn("place", F.monotonically_increasing_id())
     base = common.written(base, "shard")
-    part = F.shiftright(place, 33)
-    base = base.withColumns({own: part, place: F.col(place).bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = sorted((r[0], r[1]) for r in base.groupBy(own).count().collect())
+    base = base.withColumns({"own": F.shiftright("place", 33), "place": F.col("place").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = sorted((r[0], r[1]) for r in base.groupBy("own").count().collect())
     total = sum(n for _, n in sizes)
     room = [total // shards + (j < total % shards) for j in range(shards)]
     drawn = matrix([n for _, n in sizes], room, seed)
@@ -92,15 +92,15 @@ def shard(docs: DataFrame, *, shards: int = 16, seed: int = 20240501, max_partit
         F.inline(F.from_json(F.lit(json.dumps(lines)), "array<struct<p:bigint,n:bigint,upto:array<bigint>,seen:array<bigint>>>"))
     ).withColumnsRenamed({"p": "__p", "n": "__n", "upto": "__upto", "seen": "__seen"})
     # At most max_partitions rows of 2 * shards numbers.
-    rows = base.join(F.broadcast(plan), F.col(own) == F.col("__p"))
-    rows = rows.withColumn("__r", permuted(F.col(place), F.col("__n"), seed, "local", F.col(own)))
+    rows = base.join(F.broadcast(plan), F.col("own") == F.col("__p"))
+    rows = rows.withColumn("__r", permuted(F.col("place"), F.col("__n"), seed, "local", F.col("own")))
     to = sum((F.when(F.col("__r") >= F.col("__upto")[j], 1).otherwise(0) for j in range(shards)), F.lit(0))
     rows = rows.withColumn("shard", to.cast("int"))
     before = F.when(F.col("shard") > 0, F.try_element_at("__upto", F.col("shard"))).otherwise(0)
     arrived = F.try_element_at("__seen", F.col("shard") + 1) + F.col("__r") - before
     full = F.lit(total // shards) + F.when(F.col("shard") < total % shards, 1).otherwise(0)
     rows = rows.withColumn("slot", permuted(arrived, full, seed, "shard", F.col("shard")))
-    rows = rows.drop("__p", "__n", "__upto", "__seen", "__r", own, place)
+    rows = rows.select(*common.restored(out), "shard", "slot")
     # The exchange: a shard's rows travel in spans, so that a large shard isn't one task.
     return rows.repartition("shard", F.shiftright("slot", 16))
 

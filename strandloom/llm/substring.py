@@ -14,11 +14,14 @@ windows mostly share one; the windows around one occurrence of it are a super-k-
 A map batch folds equal strings: one goes out, marked as repeated.  So a passage in a third of all documents reaches its bucket once per map batch.  Around
 a minimiser that occurs over ``crowded`` times, where strings differ in the words next
 to a very common passage, windows travel as 128-bit fingerprints dealt by fingerprint,
-so that no bucket has to hold them all.
+so that no bucket has to hold them all.  Rows with the same id and text are counted by
+their keys: every window of theirs is repeated, so one of them goes out for all.
 
 Defined cases: null and empty texts have no words and keep none; documents shorter
-than a window lose nothing; repeated rows are each other's copies; an empty table
-gives no rows; clashing columns are replaced.
+than a window lose nothing; very long texts are read whole; repeated rows are each
+other's copies, and lose every word if they have a window at all; ids may have any type
+or be null; an empty table gives no rows; input columns named like results are
+replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -126,9 +129,13 @@ _NAMES = ["bucket", "a", "b", "data", "meta"]
 
 
 def _by_document(a, b, values):
-    """Rows of int64 ``values`` grouped by their document: (a, b, data)."""
-    order = np.lexsort((b, a))
+    """Rows of int64 ``values`` grouped by their document: (a, b, data); of equal first values in one, which copies of a row give, one."""
+    order = np.lexsort((values[:, 0], b, a))
     a, b, values = a[order], b[order], values[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (values[1:, 0] != values[:-1, 0])
+    if not new.all():
+        a, b, values = a[new], b[new], values[new]
     for i, j in zip(*_runs(a, b), strict=True):
         yield int(a[i]), int(b[i]), values[i:j].tobytes()
 
@@ -147,6 +154,8 @@ def _survey(window, seed, buckets):
                 sizes = np.array([len(d) for d in docs], np.int64)
                 hashes = table.of([w for d in docs for w in d])
                 doc, first, count, least = super_kmers(hashes, sizes, window, seed)
+                if not len(doc):
+                    continue
                 a, b = (part.column(i).to_numpy(zero_copy_only=False)[doc] for i in (0, 1))
                 _, one, inverse, times = np.unique(least, return_index=True, return_inverse=True, return_counts=True)
                 often = times[inverse] > 1
@@ -199,7 +208,9 @@ def _common(crowded):
         total = np.zeros(len(value), np.int64)
         np.add.at(total, inverse, times)
         live = (total[inverse] > 1) & (first >= 0)
-        rows += _by_document(a[live], b[live], np.stack([first, count, least], 1)[live])
+        rows = list(dict.fromkeys(rows))
+        if live.any():
+            rows += _by_document(a[live], b[live], np.stack([first, count, least], 1)[live])
         if (total > crowded).any():
             rows.append((None, None, value[total > crowded].tobytes()))
         return pa.table(dict(zip(("a", "b", "data"), _columns(rows, [pa.int64(), pa.int64(), pa.binary()]), strict=True)))
@@ -208,28 +219,42 @@ def _common(crowded):
 
 
 def _pack_strings(window, buckets, crowded):
-    """(a, b, text, places) -> packed strings and fingerprints by bucket; spans known to be repeated by document."""
+    """(a, b, text, copies, places) -> packed strings and fingerprints by bucket; spans known to be repeated by document."""
 
     def run(batches):
-        table, often = WordTable(), crowded.value
+        table, often, copied = WordTable(), crowded.value, set()
         for batch in batches:
             for start, stop in common.slices(batch.column(2)):
                 part = batch.slice(start, stop - start)
                 seen: dict[bytes, list] = {}
                 twice: dict[tuple, list] = defaultdict(list)
                 prints = []
-                docs = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens(part.column(2)), part.column(3).to_pylist(), strict=True)
-                for a, b, words, places in docs:
-                    places = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 3) for p in places])
-                    for first, count, least in places.tolist():
+                a_, b_, n_ = (part.column(i).to_pylist() for i in (0, 1, 3))
+                fresh = [i for i, key in enumerate(zip(a_, b_, strict=True)) if n_[i] is None or key not in copied]
+                copied.update((a_[i], b_[i]) for i in fresh if n_[i] is not None)
+                if len(copied) > 1_000_000:  # at worst a copy goes out again, which changes nothing
+                    copied.clear()
+                part = part.take(pa.array(fresh, pa.int64()))
+                sent = set()
+                for i, words, places in zip(fresh, tokens(part.column(2)), part.column(4).to_pylist(), strict=True):
+                    a, b, many = a_[i], b_[i], n_[i] is not None
+                    if many and (a, b) in sent:
+                        continue
+                    if many:
+                        sent.add((a, b))
+                    places = np.unique(np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 3) for p in places]), axis=0)
+                    hot = _among(places[:, 2], often).tolist()
+                    for (first, count, least), crowd in zip(places.tolist(), hot, strict=True):
                         inside = words[first : first + count + window - 1]
-                        if least in often:
-                            prints.append((a, b, first, fingerprints(table.of(inside), window)))
+                        if many:  # its copies have the same windows
+                            twice[a, b].append((first, first + count))
+                        if crowd:
+                            prints += [(a, b, first, fingerprints(table.of(inside), window))] * (1 + many)
                             continue
                         string = b" ".join(inside)
                         got = seen.get(string)
                         if got is None:
-                            seen[string] = [least, a, b, first, count]
+                            seen[string] = [least, a, b, first, count, *([True] if many else [])]
                             continue
                         if len(got) == 5:
                             twice[got[1], got[2]].append((got[3], got[3] + got[4]))
@@ -246,6 +271,13 @@ def _pack_strings(window, buckets, crowded):
     return run
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def fingerprints(hashes: np.ndarray, window: int) -> np.ndarray:
     """128 bits for each window."""
     return np.stack([scramble(rolling(hashes, window)), scramble(rolling(scramble(hashes + _ODD), window))], 1)
@@ -342,35 +374,36 @@ def deduplicate(docs: DataFrame, *, text="text", ident="doc_id", window: int = 3
                 bucket_bytes: int = 8 << 20, crowded: int = 200_000, keep=None) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (the words outside every repeated window, joined by one space)."""
     common.ship(docs.sparkSession)
-    col = F.col(f"`{text}`")
-    a, b = F.xxhash64(F.col(f"`{ident}`"), col), F.xxhash64(F.lit(7), col, F.col(f"`{ident}`"))
+    col = common.q(text)
+    a, b = F.xxhash64(common.q(ident), col), F.xxhash64(F.lit(7), col, common.q(ident))
     rows = docs.select(a.alias("a"), b.alias("b"), col.alias("t"))
     size = docs.agg(F.sum(F.octet_length(col))).first()[0] or 0
-    buckets = max(1, min(1 << 20, size // bucket_bytes))
+    buckets = max(1, min(1 << 24, size // bucket_bytes))
+    copies = common.written(rows.where("t is not null").groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     survey = rows.mapInArrow(_survey(window, seed, buckets), _PACKED)
-    crowded = max(crowded, size >> 25)  # so at most a few 2**18 of about size / 100 super-k-mers are
+    # The same up to 100 TB; beyond, so that at most some 2**29 / 100 minimisers (of size / 100 super-k-mers) are broadcast.
+    crowded = max(crowded, size >> 29)
     places = survey.groupBy("bucket").applyInArrow(_common(crowded), "a long, b long, data binary")
     places = common.written(places.groupBy("a", "b").agg(F.collect_list("data").alias("places")), "places")
-    often = {x for r in places.where("a is null").collect() for p in r.places for x in np.frombuffer(p, np.int64).tolist()}
-    often = docs.sparkSession.sparkContext.broadcast(often)
-    sent = rows.join(places.where("a is not null"), ["a", "b"]).mapInArrow(_pack_strings(window, buckets, often), _PACKED)
+    often = [np.frombuffer(p, np.int64) for r in places.where("a is null").select(F.explode("places")).collect() for p in r]
+    often = docs.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, np.int64), *often])))
+    met = rows.join(places.where("a is not null").join(copies, ["a", "b"], "left"), ["a", "b"])
+    sent = met.select("a", "b", "t", "copies", "places").mapInArrow(_pack_strings(window, buckets, often), _PACKED)
     spans = sent.groupBy("bucket").applyInArrow(_count(window), "a long, b long, data binary")
-    spans = spans.groupBy(F.col("a").alias("__x"), F.col("b").alias("__y")).agg(F.collect_list("data").alias("__spans"))
-    spans = common.written(spans, "spans")
-    names = {f.name for f in FIELDS}
-    out = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    full = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*out, text])), a.alias("__a"), b.alias("__b"))
-    joined = full.join(spans, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y")), "left").drop("__x", "__y", "__a", "__b")
-    schema = T.StructType([docs.schema[c] for c in out] + FIELDS)
+    spans = common.written(spans.groupBy("a", "b").agg(F.collect_list("data").alias("spans")), "spans")
+    out = common.others(docs.columns if keep is None else keep, (f.name for f in FIELDS))
+    full = docs.select(*common.numbered(out), col.alias("t"), a.alias("a"), b.alias("b"))
+    joined = full.join(spans, ["a", "b"], "left").select(*(f"in_{i}" for i in range(len(out))), "t", "spans")
+    schema = T.StructType(common.numbered_fields(docs.schema, out) + FIELDS)
 
     def cut(batches):
         for batch in batches:
-            for start, stop in common.slices(batch.column(batch.schema.get_field_index(text))):
+            for start, stop in common.slices(batch.column("t")):
                 part = batch.slice(start, stop - start)
-                done = [_cut(w, s, window) for w, s in zip(tokens(part.column(text)), part.column("__spans").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in out] + _columns(done, [pa.int64(), pa.int64(), pa.string()]), names=schema.names)
+                done = [_cut(w, s, window) for w, s in zip(tokens(part.column("t")), part.column("spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(part.columns[:-2] + _columns(done, [pa.int64(), pa.int64(), pa.string()]), names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).select(*common.restored(out), *(f.name for f in FIELDS))
 
 
 def _cut(words, spans, window):

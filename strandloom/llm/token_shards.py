@@ -14,8 +14,9 @@
 
 Defined cases: null and empty texts give no tokens; documents longer than a sequence
 continue in the next; the last sequence of a part is padded with the end token and
-says how many tokens it holds; repeated rows are documents of their own; an empty
-table writes no shard.
+says how many tokens it holds; repeated rows are documents of their own; integer ids are
+listed as they are, others as text, null ones as null; other columns are ignored; very
+long texts are tokenised whole; an empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import uuid
 from array import array
 
@@ -38,7 +40,8 @@ from strandloom.llm.permute import permuted
 
 # Fixed value: the pre-tokenisation pattern of the byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Where the registered query finds its vocabulary; an option everywhere else.
+TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 _OPEN: dict[str, object] = {}
 
 
@@ -75,7 +78,7 @@ def pack(docs, length: int, end: int, kind: str):
         yield n, buffer, owners
 
 
-def _tokenise(shared, length, end, kind):
+def _tokenise(shared, length, end, kind, kept):
     key = uuid.uuid4().hex
 
     def run(batches):
@@ -96,27 +99,31 @@ def _tokenise(shared, length, end, kind):
             rows.append((part, k, n, [d for d, _ in owners], [s for _, s in owners], tokens.tobytes()))
             k += 1
             if len(rows) == 1024:
-                yield _sequences(rows)
+                yield _sequences(rows, kept)
                 rows = []
         if rows:
-            yield _sequences(rows)
+            yield _sequences(rows, kept)
 
     return run
 
 
-_SCHEMA = "part int, k long, n_tokens int, doc_ids array<long>, starts array<int>, data binary"
+_SCHEMA = "part int, k long, n_tokens int, doc_ids array<{}>, starts array<int>, data binary"
 
 
-def _sequences(rows):
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+def _id(kept):
+    return pa.int64() if kept == "long" else pa.string()
+
+
+def _sequences(rows, kept):
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(_id(kept)), pa.list_(pa.int32()), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
                                       names=["part", "k", "n_tokens", "doc_ids", "starts", "data"])
 
 
-_PACKED = "shard int, slots array<long>, n_tokens array<int>, doc_ids array<array<long>>, starts array<array<int>>, data binary"
+_PACKED = "shard int, slots array<long>, n_tokens array<int>, doc_ids array<array<{}>>, starts array<array<int>>, data binary"
 
 
-def _shrink(batches):
+def _shrink(batches, kept):
     """Sequences of a batch that go to the same shard travel together, compressed."""
     shrink = zstandard.ZstdCompressor(level=6).compress
     for batch in batches:
@@ -125,11 +132,11 @@ def _shrink(batches):
         for i, k in enumerate(shard):
             by.setdefault(k, []).append(i)
         rows = [(k, *([v[i] for i in at] for v in (slot, n, ids, starts)), shrink(b"".join(data[i] for i in at))) for k, at in by.items()]
-        types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.binary()]
+        types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(_id(kept))), pa.list_(pa.list_(pa.int32())), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["shard", "slots", "n_tokens", "doc_ids", "starts", "data"])
 
 
-def _write(out, width, length, per_shard):
+def _write(out, width, length, per_shard, kept):
     stride = length * width
 
     def run(table: pa.Table) -> pa.Table:
@@ -146,7 +153,7 @@ def _write(out, width, length, per_shard):
         return pa.table({
             "slot": pa.array(slots, pa.int64()), "shard": pa.array([shard] * len(rows), pa.int32()),
             "byte_offset": pa.array([(s - first) * stride for s in slots], pa.int64()),
-            "n_tokens": pa.array([r[1] for r in rows], pa.int32()), "doc_ids": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+            "n_tokens": pa.array([r[1] for r in rows], pa.int32()), "doc_ids": pa.array([r[2] for r in rows], pa.list_(_id(kept))),
             "starts": pa.array([r[3] for r in rows], pa.list_(pa.int32())),
             "sha256": pa.array([hashlib.sha256(r[4]).hexdigest() for r in rows], pa.string()),
         })
@@ -160,11 +167,13 @@ def materialise(docs: DataFrame, out: str, *, text="text", ident="doc_id", token
     spark = docs.sparkSession
     common.ship(spark)
     ranks = vocabulary(tokenizer)
+    whole = docs.schema[ident].dataType.typeName() in ("byte", "short", "integer", "long")
+    kept = "long" if whole else "string"
     end = max(ranks.values()) + 1
     width, kind = (2, "H") if end < 1 << 16 else (4, "I")
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary file: its size is fixed
-    rows = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    made = common.written(rows.mapInArrow(_tokenise(shared, length, end, kind), _SCHEMA), "sequences")
+    rows = docs.select(common.q(ident).try_cast(kept).alias("id"), common.q(text).alias("t"))
+    made = common.written(rows.mapInArrow(_tokenise(shared, length, end, kind, kept), _SCHEMA.format(kept)), "sequences")
     counts = sorted((r[0], r[1]) for r in made.groupBy("part").count().collect())
     total = sum(n for _, n in counts)
     per_shard = max(1, shard_bytes // (length * width))
@@ -175,9 +184,9 @@ def materialise(docs: DataFrame, out: str, *, text="text", ident="doc_id", token
     bases = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, base, strict=True)], "part int, base long")
     placed = made.join(F.broadcast(bases), "part").withColumn("slot", permuted(F.col("base") + F.col("k"), max(total, 1), seed))
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)")).drop("part", "k", "base")
-    placed = placed.mapInArrow(_shrink, _PACKED)
-    schema = "slot long, shard int, byte_offset long, n_tokens int, doc_ids array<long>, starts array<int>, sha256 string"
-    return common.written(placed.groupBy("shard").applyInArrow(_write(out, width, length, per_shard), schema), "manifest")
+    placed = placed.mapInArrow(lambda batches: _shrink(batches, kept), _PACKED.format(kept))
+    schema = f"slot long, shard int, byte_offset long, n_tokens int, doc_ids array<{kept}>, starts array<int>, sha256 string"
+    return common.written(placed.groupBy("shard").applyInArrow(_write(out, width, length, per_shard, kept), schema), "manifest")
 
 
 def read_slots(out: str, start: int, count: int | None = None):

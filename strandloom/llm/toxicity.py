@@ -1,8 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on words of ordinary text, by document
-frequency, and one on words of toxic text that hold byte runs which toxic documents
-have far more often.  A window is one word between spaces (long words are cut into
+Two zstandard dictionaries are made: one of words of ordinary text, by document
+frequency, and one of words of toxic text that hold byte runs which toxic documents
+have far more often.  Their content is chosen here, by label: the library's own trainer
+picks what is frequent in toxic documents, which is mostly ordinary, and finds far less
+(figures in the README).  A window is one word between spaces (long words are cut into
 overlapping windows).  Between two fixed markers, which both dictionaries know, it is
 compressed with either one; the pair of lengths, as what is saved against a window
 without matches, is compared with thresholds calibrated per window size: the log likelihood ratio of toxic against ordinary documents with such
@@ -13,8 +15,8 @@ lowest hash, on the driver; the thresholds are set on documents that the diction
 they meet haven't seen.  Scoring covers every window of every text in map tasks.
 
 Defined cases: null and empty texts have no windows and get the score of no evidence;
-repeated rows score alike; labels that are null are ignored, of contradicting ones the
-toxic counts; with under four labels of a kind every score is the share of toxic labels;
+very long texts are scored whole; repeated rows score alike; ids may have any type;
+labels that are null are ignored, of contradicting ones the toxic counts; with under four labels of a kind every score is the share of toxic labels;
 clashing columns are replaced; an empty table gives no rows.
 """
 
@@ -178,21 +180,29 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text="text", ident="doc_id", label="toxic",
-          toxic_rows: int = 2000, ordinary_rows: int = 6000) -> Model:
-    """Learn from the labelled documents whose crc32(id as text) mod 3 is not 1."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull()).where(~held_out(ident))
-    known = known.groupBy(ident).agg(F.max(label).cast("int").alias("__y")).withColumn("__h", F.xxhash64(ident))
+          toxic_rows: int = 2000, ordinary_rows: int = 6000, sample_bytes: int = 64 << 20) -> Model:
+    """Learn from the labelled documents whose crc32(id as text) mod 3 is not 1.
+
+    At most ``toxic_rows`` and ``ordinary_rows`` of them, those of lowest hash, each kind as
+    long as its texts have no more than ``sample_bytes`` together; of rows with the same id the least text."""
+    key = common.q(ident)
+    known = labels.where(common.q(label).isin(0, 1) & key.isNotNull() & ~held_out(ident))
+    known = known.groupBy(key.alias("id")).agg(F.max(common.q(label)).cast("int").alias("y")).withColumn("h", F.xxhash64("id"))
+    texts = docs.select(key.alias("id"), common.q(text).alias("t")).where("id is not null")
     rows = []
     for y, most in ((1, toxic_rows), (0, ordinary_rows)):
-        # At most most rows of an id and two numbers: a small broadcast.
-        ids = known.where(F.col("__y") == y).orderBy("__h", ident).limit(most)
-        found = docs.select(ident, F.col(f"`{text}`").alias("__t")).join(F.broadcast(ids), ident)
-        rows += [(r[0], y) for r in found.select("__t").limit(most).collect()]
+        # At most most rows of an id and a number: a small broadcast.
+        ids = F.broadcast(known.where(F.col("y") == y).orderBy("h", "id").limit(most))
+        sizes = texts.join(ids, "id").groupBy("h", "id").agg(F.max(F.coalesce(F.octet_length("t"), F.lit(0))).alias("n")).orderBy("h", "id").collect()
+        total = np.cumsum([r.n for r in sizes])
+        chosen = [(r.id,) for r, n in zip(sizes, total, strict=True) if n <= sample_bytes]
+        chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("id", docs.schema[ident].dataType)])))
+        rows += [(r.t, y) for r in texts.join(chosen, "id").groupBy("id").agg(F.min("t").alias("t")).orderBy(F.xxhash64("id"), "id").collect()]
     return fit([t for t, _ in rows], [y for _, y in rows])
 
 
 def held_out(ident="doc_id"):
-    return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    return F.crc32(F.coalesce(common.q(ident).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
 FIELDS = [T.StructField("score", T.DoubleType())]

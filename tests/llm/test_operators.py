@@ -56,6 +56,27 @@ def test_substring_clash_and_empty(docs, none):
     assert substring.deduplicate(none).count() == 0
 
 
+def test_copies_of_one_row_cost_no_more_than_ids(spark):
+    import time
+
+    text = " ".join(f"w{i}" for i in range(300))
+    took = []
+    for rows in ([(i, text) for i in range(5000)], [(7, text)] * 5000):
+        began = time.perf_counter()
+        got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("n_words", "n_removed", "kept_text").count().collect()
+        took.append(time.perf_counter() - began)
+        assert [tuple(r) for r in got] == [(300, 300, "", 5000)]
+    assert took[1] < 2 * took[0] + 2
+
+
+@pytest.mark.parametrize("crowded", [1, 200_000])
+def test_copied_rows_beside_others(spark, crowded):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(1, " ".join(base))] * 3 + [(2, " ".join(["x"] + base[40:90] + ["y"] * 40)), (3, " ".join(base[100:] + base[:20])), (4, " ".join(base[:36] + ["z"])), (5, None), (5, None)]
+    same(substring.digest(substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), crowded=crowded)), removed(rows, 35))
+
+
 # op2
 
 
@@ -478,3 +499,54 @@ def test_quality(spark, docs, rows, none):
     a, b = (quality.assess(d, order=o).select("doc_id", "kept").collect() for o in orders)
     assert Counter(a) == Counter(b)
     assert quality.assess(none).count() == 0 and set(quality.plan([])) == {r.name for r in quality.RULES}
+
+
+NAMES = ("__a", "__b", "__n", "__p", "__text", "__k", "__part", "__place", "__class", "a.b", "in_0", "in_1", "t", "T.t", "copies", "hit_Spans", "N_words", "od`d")
+
+
+def test_inner_and_odd_names_and_text_ids(spark, docs, rows):
+    """Columns under inner names, with dots or backticks, stay; ids may be strings."""
+    d = docs.withColumns({c: F.lit("x") for c in NAMES}).withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    bench, labels = spark.createDataFrame([("q", rows[20][1])], "item_id string, text string"), spark.createDataFrame([("id3", 1)], "doc_id string, toxic int")
+    for out in (lm.score(d), neardup.near_duplicates(d, size=2), sharding.shard(d), quality.assess(d), decontam.contamination(d, bench), decontam.contamination(d, bench, block_bytes=100), substring.deduplicate(d),
+                toxicity.score(d, toxicity.train(d, labels))):
+        got = out.collect()
+        assert len(got) == len(rows) and {(r["__a"], r["__text"], r["a.b"], r["in_0"], r["od`d"]) for r in got} == {("x",) * 5}, out.columns
+    for out in (neardup.one_of_each(d, size=2), decontam.decontaminate(d, bench), toxicity.without_toxic(d, labels), mixing.mix_documents(d)):
+        assert out.columns == d.columns and {(r["__a"], r["a.b"], r["in_0"]) for r in out.collect()} == {("x",) * 3}
+    made = token_shards.shards_of(d).collect()
+    assert {i for r in made for i in r.doc_ids if i} == {f"id{r[0]}" for r in rows if r[1] and r[0] is not None}
+
+
+def test_draws_meet_the_slots(spark):
+    slots = [5000, 0, 70_000, 1, 333]
+    one, other = ([tuple(r) for r in mixing.draws(spark, slots, 16, 3, most).collect()] for most in (1, 1 << 18))
+    assert sorted(one) == sorted(other)  # wherever the tree is cut
+    assert [sum(r[3] for r in one if r[1] == k) for k in range(5)] == slots
+    full = Counter()
+    for r in one:
+        full[r[0]] += r[3]
+    assert set(full.values()) <= {16, sum(slots) % 16} and len(full) == -(-sum(slots) // 16)
+    for k in range(5):
+        at = 0
+        for r in sorted(x for x in one if x[1] == k):
+            assert r[2] == at
+            at += r[3]
+    a, b = np.array([sum(r[3] for r in one if r[1] == 2 and r[0] % 2 == p) for p in (0, 1)])
+    assert abs(a - b) < 500
+
+
+def test_thresholds_follow_the_compressed_lengths():
+    """Every ratio that a text's evidence holds is the stored threshold of a rescored window."""
+    texts, labels = toxic_sample(5)
+    m = toxicity.fit(texts, labels)
+    for t in texts[:60]:
+        want = toxicity.top(m.ratio.get(m.cell(w), -1.0) for w in toxicity.windows(t))
+        assert m.evidence(t) == want and abs(m.score(want) - 1 / (1 + math.exp(-(m.weights[0] + sum(w * x for w, x in zip(m.weights[1:], want)))))) < 1e-9
+
+
+def test_training_text_is_bounded(spark):
+    texts, labels = toxic_sample(3)
+    d = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)] + [(1000, "a second text of an id")], "doc_id long, text string")
+    y = spark.createDataFrame([(1000 + i, int(v)) for i, v in enumerate(labels)], "doc_id long, toxic int")
+    assert toxicity.train(d, y, sample_bytes=100).ratio == {} and toxicity.train(d, y).ratio
