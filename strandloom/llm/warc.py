@@ -9,19 +9,24 @@ Reader: a record must unpack, carry a version line, parse, have its full length
 agree with its digests.  Where a check fails, the reader searches for the next place
 at which a member (or, in a plain archive, a version line) begins that passes, goes on
 there, and logs the bytes between as a quarantined gap.  Files are read in chunks;
-memory is bounded by the largest record.
-
-Defined cases: null html is an empty payload; payloads below ``least_bytes`` are always
-responses; of repeated rows with the least page id every one is a response; a null page
-id counts as the largest; an empty table writes no archive.
+memory is bounded by the largest record: before a plain record is read, its claimed end
+is probed.  Digests are checked where their algorithm is known, in hex or base32.
+
+Defined cases: null html is an empty payload; a very long one is held whole, once; payloads
+below ``least_bytes`` are always responses; of repeated rows with the least page id every
+one is a response; a null page id counts as the largest; ids may have any type and
+length; white space and control characters of ids and URLs are percent-encoded in the
+archive; other columns are ignored; an empty table writes no archive.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,24 +39,40 @@ _VERSION = b"WARC/1."
 _ONCE = (b"warc-type", b"warc-record-id", b"warc-date", b"content-length")
 _DATE = "2024-01-01T00:00:00Z"
 _PAGE = "urn:page:"
+_DIGESTS = ("md5", "sha1", "sha256", "sha512")
+_SPACE = re.compile(r"[\x00-\x20\x7f]")
 
 
 def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def agrees(claimed: str, data: bytes) -> bool:
+    """Whether ``claimed`` (algorithm:value) is the digest of ``data``; true where the algorithm isn't known."""
+    algorithm, _, value = claimed.partition(":")
+    if algorithm.lower().replace("-", "") not in _DIGESTS:
+        return True
+    made = hashlib.new(algorithm.lower().replace("-", ""), data).digest()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
+def one_line(url: str) -> str:
+    """``url`` without white space and control characters: percent-encoded."""
+    return _SPACE.sub(lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def record(page_id, url, payload: bytes, first, revisit: bool) -> bytes:
     """One record, uncompressed."""
     head = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
     block = head if revisit else head + payload
-    named = f"<{_PAGE}{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
+    named = f"<{_PAGE}{quote(str(page_id), safe='')}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {named}", f"WARC-Date: {_DATE}",
-        f"WARC-Target-URI: {(url or '').split(chr(10))[0].strip()}", "Content-Type: application/http;msgtype=response",
+        f"WARC-Target-URI: {one_line(url or '')}", "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}",
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_PAGE}{first}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_PAGE}{quote(str(first), safe='')}>"]
     lines += [f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -65,6 +86,7 @@ def parse(data: bytes) -> tuple[dict, bytes] | None:
     """Headers and block of a record, or None if a check fails."""
     if not data.startswith(_VERSION):
         return None
+    data = bytes(data)
     end = data.find(b"\r\n\r\n")
     if end < 0:
         return None
@@ -81,19 +103,19 @@ def parse(data: bytes) -> tuple[dict, bytes] | None:
     if not size.isdigit() or data[end + 4 + int(size) :] != b"\r\n\r\n":
         return None
     block = data[end + 4 : end + 4 + int(size)]
-    if "warc-block-digest" in headers and headers["warc-block-digest"] != f"sha1:{digest(block)}":
+    if "warc-block-digest" in headers and not agrees(headers["warc-block-digest"], block):
         return None
     claimed = headers.get("warc-payload-digest")
-    if claimed and headers.get("warc-type") == "response" and claimed != f"sha1:{digest(block.partition(b'\r\n\r\n')[2])}":
+    if claimed and headers.get("warc-type") == "response" and not agrees(claimed, block.partition(b"\r\n\r\n")[2]):
         return None
     return headers, block
 
 
 class Window:
-    """A file read forward in chunks; bytes before ``drop`` are let go."""
+    """A file read forward in chunks; bytes before ``drop`` are let go.  ``probe(offset, size)`` reads elsewhere, if given."""
 
-    def __init__(self, stream, chunk: int = 1 << 20):
-        self.stream, self.chunk, self.base, self.data, self.ended = stream, chunk, 0, b"", False
+    def __init__(self, stream, chunk: int = 1 << 20, probe=None):
+        self.stream, self.chunk, self.base, self.data, self.ended, self.probe = stream, chunk, 0, bytearray(), False, probe
 
     def more(self) -> bool:
         got = b"" if self.ended else self.stream.read(self.chunk)
@@ -102,20 +124,9 @@ class Window:
         return not self.ended
 
     def drop(self, upto: int) -> None:
-        self.data = self.data[upto - self.base :]
+        del self.data[: upto - self.base]
         self.base = upto
 
-    def find(self, what: bytes, start: int) -> int:
-        """Place of ``what`` from ``start``, or -1; reads on as needed."""
-        while True:
-            at = self.data.find(what, start - self.base)
-            if at >= 0:
-                return at + self.base
-            start = max(start, self.base + len(self.data) - len(what) + 1)
-            self.drop(start)
-            if not self.more():
-                return -1
-
 
 def _member_at(w: Window, start: int):
     """(record, end) of a gzip member, or None."""
@@ -149,6 +160,8 @@ def _plain_at(w: Window, start: int):
     if not size.isdigit():
         return None
     stop = end + 4 + int(size) + 4
+    if w.probe and w.probe(w.base + stop - 4, 4) != b"\r\n\r\n":  # the length is damaged: don't read so far
+        return None
     while len(w.data) < stop:
         if not w.more():
             return None
@@ -156,9 +169,9 @@ def _plain_at(w: Window, start: int):
     return found and (found, w.base + stop)
 
 
-def salvage(stream, chunk: int = 1 << 20):
+def salvage(stream, chunk: int = 1 << 20, probe=None):
     """Yield ("record", start, end, headers, block) and ("gap", start, end, None, None) in file order."""
-    w = Window(stream, chunk)
+    w = Window(stream, chunk, probe)
     at = 0
     while True:
         while len(w.data) - (at - w.base) < len(_VERSION) and w.more():
@@ -208,8 +221,8 @@ def write(pages: DataFrame, out: str, *, ident="page_id", url="url", html="html"
     """Write the archives below ``out``; the result lists them: path, records, bytes."""
     spark = pages.sparkSession
     common.ship(spark)
-    rows = pages.select(F.col(f"`{ident}`").alias("id"), (F.col(f"`{url}`") if url in pages.columns else F.lit(None)).cast("string").alias("url"),
-                        F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary").alias("body"))
+    rows = pages.select(common.q(ident).alias("id"), (common.q(url) if url in pages.columns else F.lit(None)).cast("string").alias("url"),
+                        F.coalesce(common.q(html), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumns({"sha": F.sha1("body"), "size": F.octet_length("body").cast("long")})
     # Written, so that the join meets plain tables on both sides and can split a very common payload.
     first = common.written(rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
@@ -253,8 +266,9 @@ def read(archives: DataFrame, *, payload: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 where, name = files.at(path)
                 rows, size = [], 0
-                with where.open_input_stream(name, compression=None) as stream:
-                    for kind, start, stop, headers, block in salvage(stream):
+                with where.open_input_stream(name, compression=None) as stream, where.open_input_file(name) as whole:
+                    length_ = whole.size()
+                    for kind, start, stop, headers, block in salvage(stream, probe=lambda at, n: whole.read_at(n, at) if at + n <= length_ else b""):
                         if kind == "gap":
                             rows.append((path, start, stop, kind, *[None] * 7))
                             continue
@@ -288,6 +302,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     back = read(archives.repartition(max(1, archives.count())), payload=False).where("kind = 'record'")
 
     def page(c):
-        return F.when(F.col(c).startswith(_PAGE), F.substring(c, len(_PAGE) + 1, 40)).cast(kind)
+        return F.when(F.col(c).startswith(_PAGE), F.url_decode(F.col(c).substr(F.lit(len(_PAGE) + 1), F.length(c)))).cast(kind)
 
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))

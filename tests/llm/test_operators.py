@@ -426,6 +426,26 @@ def test_tokens(spark, docs, rows, none, tmp_path):
     assert token_shards.materialise(none, str(tmp_path / "e")).count() == 0 and list(token_shards.read_slots(str(tmp_path / "e"), 0)) == []
 
 
+def test_every_document_comes_back_from_its_tokens(spark, docs, rows, tmp_path):
+    """One input part keeps documents in order; sequences put back in the order of their numbers give every text."""
+    out = str(tmp_path / "t")
+    made = {r.slot: r for r in token_shards.materialise(docs.coalesce(1), out, length=64, shard_bytes=64 * 2 * 5).collect()}
+    enc = token_shards.encoder(token_shards.vocabulary(token_shards.TOKENIZER))
+    slots = [a.tolist() for a in token_shards.read_slots(out, 0)]
+    place = [r[0] for r in spark.range(len(slots)).select(permute.permuted(F.col("id"), len(slots), 20240507)).collect()]
+    tokens = [t for s in place for t in slots[s][: made[s].n_tokens]]
+    texts, now = [], []
+    for t in tokens:
+        if t == 50256:
+            texts.append(enc.decode(now))
+            now = []
+        else:
+            now.append(t)
+    assert not now and Counter(texts) == Counter(r[1] for r in rows if r[1])
+    firsts = [d for s in place for d, b in zip(made[s].doc_ids, made[s].starts) if b or s == place[0]]
+    assert set(firsts) <= {r[0] for r in rows}
+
+
 def test_pack_is_lossless():
     docs = [(1, list(range(10))), (2, [7]), (3, list(range(100, 131)))]
     got = list(token_shards.pack(iter(docs), 8, 999, "H"))

@@ -91,3 +91,32 @@ def test_reader_logs_gaps(spark, tmp_path):
 
 def test_shared_folder(spark):
     assert common.shared_dir(spark).startswith("file://") and common.scratch(spark, "x") != common.scratch(spark, "x")
+
+
+def test_long_and_odd_ids_come_back(spark):
+    rows = [("a" * 90, "http://x/\nWARC-Type: response", "same"), ("b <c>\n+%41" * 9, "http://y/ z", "same"), ("é" * 50, None, None)]
+    got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert set(got) == {r[0] for r in rows} and got[rows[1][0]].refers_to == rows[0][0] and got[rows[0][0]].record_type == "response"
+
+
+def test_a_damaged_length_is_not_read(monkeypatch):
+    import io
+
+    records = [warc.record(i, "u", bytes([65 + i % 20]) * 50_000, None, False) for i in range(100)]
+    records[3] = records[3].replace(b"Content-Length: 50", b"Content-Length: 450", 2)
+    data = b"".join(records)
+    most = []
+    more = warc.Window.more
+    monkeypatch.setattr(warc.Window, "more", lambda w: (more(w), most.append(len(w.data)))[0])
+    found = list(warc.salvage(io.BytesIO(data), 1 << 16, lambda at, n: data[at : at + n]))
+    assert sum(f[0] == "record" for f in found) == 99 and sum(f[0] == "gap" for f in found) == 1 and max(most) < 300_000
+
+
+def test_digests_by_their_algorithm():
+    import base64
+
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    h = hashlib.sha256(block)
+    for value, good in ((f"sha256:{h.hexdigest()}", True), ("sha256:" + base64.b32encode(h.digest()).decode(), True), ("sha256:00", False), ("sha1:" + hashlib.sha1(block).hexdigest(), True), ("blake3:xyz", True), ("sha1:ABC", False)):
+        data = (f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Block-Digest: {value}\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+        assert (warc.parse(data) is not None) == good, value
