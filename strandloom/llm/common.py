@@ -32,10 +32,12 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary
-    one where the session names none (local runs)."""
+    one where the session names none and runs in one process."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -52,7 +54,15 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove what ``written`` wrote, once no unfinished reader is left."""
+    for t in tables:
+        delete(t.sparkSession, t.written_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -212,13 +212,14 @@ _SCHEMA = "k long, n long, w binary"
 
 
 def averaged(parts: DataFrame, tasks: int, like):
-    """The token-weighted mean of the tasks' weights; a reducer holds ``GROUP`` of them at most, fewer if they are large."""
+    """Of the written table ``parts``, which goes: the token-weighted mean of the tasks' weights; a reducer holds ``GROUP`` of them at most, fewer if they are large."""
     group = max(2, min(GROUP, _HELD // (4 * sum(x.size for x in like.values()))))
-    parts = common.written(parts, "weights")
     while tasks > 1:  # the driver receives one row
-        parts = common.written(parts.groupBy(F.expr(f"k div {group}")).applyInArrow(_sum(group), _SCHEMA), "weights")
+        last, parts = parts, common.written(parts.groupBy(F.expr(f"k div {group}")).applyInArrow(_sum(group), _SCHEMA), "weights")
+        common.forget(last)
         tasks = -(-tasks // group)
     rows = parts.collect()
+    common.forget(parts)
     n = sum(r.n for r in rows)
     return gru.shaped(sum(np.frombuffer(r.w, "<f4").astype(np.float64) for r in rows) / n, like) if n else like
 

@@ -266,7 +266,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))  # small-star
-        e = common.written(small.where("u <> v").distinct(), "cc")
+        last, e = e, common.written(small.where("u <> v").distinct(), "cc")
+        common.forget(last)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -319,7 +320,9 @@ def classes_of(docs: DataFrame, *, text="text", ident="doc_id", size: int = 5, p
     linked = full.groupBy("comp", "i", "j").applyInArrow(_confirm(percent), "u binary, v binary")
     parts = components(linked)
     member = classes.select("class", "rep").join(parts, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "rep")
-    return seen.drop("sig"), common.written(member, "members")
+    member = common.written(member, "members")
+    common.forget(inside, classes)
+    return seen.drop("sig"), member
 
 
 def near_duplicates(docs: DataFrame, *, text="text", ident="doc_id", keep=None, **options) -> DataFrame:

@@ -391,6 +391,7 @@ def deduplicate(docs: DataFrame, *, text="text", ident="doc_id", window: int = 3
     sent = met.select("a", "b", "t", "copies", "places").mapInArrow(_pack_strings(window, buckets, often), _PACKED)
     spans = sent.groupBy("bucket").applyInArrow(_count(window), "a long, b long, data binary")
     spans = common.written(spans.groupBy("a", "b").agg(F.collect_list("data").alias("spans")), "spans")
+    common.forget(places, copies)
     out = common.others(docs.columns if keep is None else keep, (f.name for f in FIELDS))
     full = docs.select(*common.numbered(out), col.alias("t"), a.alias("a"), b.alias("b"))
     joined = full.join(spans, ["a", "b"], "left").select(*(f"in_{i}" for i in range(len(out))), "t", "spans")

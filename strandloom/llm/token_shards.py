@@ -186,7 +186,9 @@ def materialise(docs: DataFrame, out: str, *, text="text", ident="doc_id", token
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)")).drop("part", "k", "base")
     placed = placed.mapInArrow(lambda batches: _shrink(batches, kept), _PACKED.format(kept))
     schema = f"slot long, shard int, byte_offset long, n_tokens int, doc_ids array<{kept}>, starts array<int>, sha256 string"
-    return common.written(placed.groupBy("shard").applyInArrow(_write(out, width, length, per_shard, kept), schema), "manifest")
+    manifest = common.written(placed.groupBy("shard").applyInArrow(_write(out, width, length, per_shard, kept), schema), "manifest")
+    common.forget(made)
+    return manifest
 
 
 def read_slots(out: str, start: int, count: int | None = None):

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontam, gru, lm, mixing, neardup, permute, quality, sharding, substring, token_shards, toxicity
+from strandloom.llm import common, decontam, gru, lm, mixing, neardup, permute, quality, sharding, substring, token_shards, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -177,7 +177,7 @@ def test_weights_are_averaged_in_small_groups(spark, monkeypatch):
     like = {"a": np.zeros(3, np.float32)}
     rows = [(k, k + 1, (np.arange(3) + k).astype("<f4") * (k + 1)) for k in range(7)]
     parts = spark.createDataFrame([(k, n, bytearray(w.tobytes())) for k, n, w in rows], lm._SCHEMA)
-    got = lm.averaged(parts, 7, like)["a"]
+    got = lm.averaged(common.written(parts, "w"), 7, like)["a"]
     assert np.allclose(got, sum(w for *_, w in rows) / sum(n for _, n, _ in rows))
 
 
