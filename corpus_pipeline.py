@@ -2,6 +2,13 @@
 
 Each stage reads what the one before it wrote.  All but the last return the columns of
 ``documents``; the last lists the token sequences it has written.
+
+Defined cases: null and empty texts pass the filters (they score as ordinary, have no
+words to share and none that a benchmark has), are not part of the mix, and give no
+tokens; very long texts are read whole; equal rows and equal texts are copies, of which
+the second stage keeps the least row; among equal candidates the least id, then the
+least key, decides; a null id counts as the largest; extra columns pass through the
+first four stages whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
