@@ -42,14 +42,19 @@ def translate(seq, frame: int = 0, pad: bool = False) -> Column:
 
 
 def shift(nt_pos, residue_shift: int) -> Column:
-    """Nucleotide position after a shift by residues."""
-    return col(nt_pos) + (residue_shift - 1) * 3
+    """Nucleotide position after a shift by residues; positions below 1 are an error."""
+    p = col(nt_pos)
+    return _from_one(p) + (residue_shift - 1) * 3
+
+
+def _from_one(p: Column) -> Column:
+    return F.when(p < 1, F.raise_error(F.lit("position below 1")).cast("long")).otherwise(p)
 
 
 def residue_number(nt_pos, residue_shift: int | None = None) -> Column:
     """struct(residue from 1, nt_pos, offset in the codon); positions below 1 are an error."""
-    p = shift(nt_pos, residue_shift) if residue_shift is not None else col(nt_pos)
-    p = F.when(p < 1, F.raise_error(F.lit("position below 1")).cast("long")).otherwise(p)
+    given = _from_one(col(nt_pos))
+    p = shift(given, residue_shift) if residue_shift else given  # no shift, or one of 0
     return F.struct((F.floor((p - 1) / 3) + 1).cast("long").alias("residue"), p.alias("nt_pos"), F.pmod(p - 1, F.lit(3)).alias("codon_offset"))
 
 

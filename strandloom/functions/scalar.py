@@ -105,3 +105,8 @@ _VERSION = r"^([1-9][0-9]*!)?(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*))*((a|b|rc)(0|[1-9
 
 def canonical_version(version) -> Column:
     return col(version).rlike(_VERSION)
+
+
+def overlaps(rname: str, first: int, last: int, cigar="cigar") -> Column:
+    """Whether an alignment covers any reference position from ``first`` to ``last``."""
+    return (F.col("rname") == rname) & (F.col("pos") <= last) & (F.col("pos") + F.greatest(cigar_total(cigar, "MDN=X"), F.lit(1)) - 1 >= first)

@@ -223,9 +223,7 @@ def words_with_insertions(df, info, k: int, positions=None, *, weight=None, leas
     # Columns are few: positions of a read and what is inserted before them.
     count = exploded(df, info, positions, keep=()).groupBy("position", "loc").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()
     where = sorted([(p, 0) for p in checked(info, positions)] + [(r.position, r.loc) for r in count])
-    text = strings(df, info, positions=positions, least=least, lower=lower, gap=gap)
-    if weight:
-        text = text.join(df.select("read_id", weight), "read_id")
+    text = strings(df, info, positions=positions, least=least, lower=lower, gap=gap, keep=[weight] if weight else [])
     number = F.create_map(*(x for i, (p, loc) in enumerate(where) for x in (F.struct(F.lit(p).alias("position"), F.lit(loc).alias("loc")), F.lit(i + 1))))
     letters = F.transform("positions", lambda c: F.substring(F.col("seqs"), F.try_element_at(number, c), F.lit(1)))
     columns = [F.struct(F.lit(p).alias("position"), F.lit(loc).alias("loc")) for p, loc in where]

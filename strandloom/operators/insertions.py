@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.dist import bits, cells, checked, frequencies
+from strandloom.operators.dist import bits, checked, frequencies
 from strandloom.schema import TableInfo
 
 
@@ -70,22 +70,38 @@ def letter_dist(df, info, positions=None, method="counts", least=0) -> DataFrame
     return bits(out, df.count(), out.agg(F.countDistinct("letter")).first()[0], ("position", "loc"))
 
 
+def _shown(df, info, positions, least, gap, lower):
+    """``df`` with __shown: for every base and insertion column, in order, a struct of position, loc, base and q.
+
+    Insertion columns are few, a row of them meets every read; letters are looked up in the read itself."""
+    ins = exploded(df, info, positions, keep=()).groupBy("position", "loc").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    places = F.array(*(F.struct(F.lit(p).alias("position"), F.lit(0).alias("loc")) for p in checked(info, positions))).cast("array<struct<position:int,loc:int>>")
+    columns = ins.agg(F.array_sort(F.concat(places, F.collect_list(F.struct(F.col("position").cast("int").alias("position"), F.col("loc").cast("int").alias("loc"))))).alias("__columns"))
+    letter = lambda i: F.struct((F.lower(i["base"]) if lower else i["base"]).alias("base"), i["q"].cast("int").alias("q"))
+    have = F.map_from_entries(F.transform("insertions", lambda i: F.struct(F.struct(i["position"].cast("int").alias("position"), i["loc"].cast("int").alias("loc")).alias("key"), letter(i).alias("value"))))
+    none = F.struct(F.lit(gap).alias("base"), F.lit(0).alias("q"))
+
+    def at(c):
+        i = c["position"] - info.first + 1
+        q = F.ascii(F.substring(F.col("qual"), i, F.lit(1))) - info.phred if info.has_quality else F.lit(None).cast("int")
+        read = F.struct(F.substring(F.col("seq"), i, F.lit(1)).alias("base"), q.alias("q"))
+        found = F.when(c["loc"] == 0, read).otherwise(F.coalesce(F.try_element_at(F.col("__have"), c), none))
+        return F.struct(c["position"].alias("position"), c["loc"].alias("loc"), found["base"].alias("base"), found["q"].alias("q"))
+
+    return df.crossJoin(F.broadcast(columns)).withColumn("__have", have).withColumn("__shown", F.transform("__columns", at)).drop("__columns", "__have")  # one row
+
+
 def view(df, info, positions=None, least=0, gap="-", quality=False, lower=True) -> DataFrame:
     """(read_id, position, loc, base[, q]): base columns, and insertion columns that have over ``least`` letters in all;
     reads without the insertion show ``gap`` with quality 0."""
-    base = cells(df, info, positions, quality=quality).withColumn("loc", F.lit(0))
-    ins = exploded(df, info, positions)
-    columns = ins.groupBy("position", "loc").agg(F.count("*").alias("n"))
-    columns = columns.where(F.col("n") > least) if least > 0 else columns
-    # Insertion columns: a few per position.
-    grid = df.select("read_id").crossJoin(F.broadcast(columns.select("position", "loc")))
-    letter = F.lower("base") if lower else F.col("base")
-    shown = grid.join(ins.withColumn("base", letter), ["read_id", "position", "loc"], "left").withColumn("base", F.coalesce("base", F.lit(gap)))
-    names = ["read_id", "position", "loc", "base"] + (["q"] if quality else [])
-    return base.select(*names).unionByName(shown.withColumn("q", F.coalesce("q", F.lit(0))).select(*names))
-
-
-def strings(df, info, **options) -> DataFrame:
-    """(read_id, seqs): each read with its insertion columns, as one string."""
-    v = view(df, info, **options)
-    return v.groupBy("read_id").agg(F.expr("listagg(base, '') within group (order by position, loc)").alias("seqs"))
+    out = _shown(df, info, positions, least, gap, lower).select("read_id", F.inline("__shown"))
+    return out if quality else out.drop("q")
+
+
+def strings(df, info, positions=None, least=0, gap="-", lower=True, quality=False, keep=()) -> DataFrame:
+    """(read_id, seqs[, quals]): each read with its insertion columns, as one string; no read leaves its row."""
+    shown = _shown(df, info, positions, least, gap, lower)
+    made = [F.array_join(F.transform("__shown", lambda x: x["base"]), "").alias("seqs")]
+    if quality:
+        made.append(F.array_join(F.transform("__shown", lambda x: F.char(x["q"] + info.phred)), "").alias("quals"))
+    return shown.select("read_id", *keep, *made)

@@ -12,6 +12,8 @@ from strandloom.operators.dist import dense, uniform
 from strandloom.schema import BASE_COLOURS, RESIDUES, TableInfo
 
 _TINY = math.log(5e-324)
+#: A letter that the background lacks is taken to be this much rarer than its rarest one.
+VANISHING = 1e-5
 
 
 def _log_beta_ratio(a: float, b: float, x: float) -> float:
@@ -54,22 +56,19 @@ def log_odds(k: float, n: float, p: float, natural=False, exact=False) -> float:
     return out if natural else out * math.log10(math.e)
 
 
-def cap(most: float, null: float, natural=False) -> float:
-    """The largest finite value near ``most`` occurrences under a vanishing frequency: powers of ten first, then two finer steps."""
-    scale = 1.0
-    while math.isinf(value := log_odds(most / scale, most, null, natural)):
-        scale *= 10
-        if most / scale < 1:
-            raise ArithmeticError("no finite log odds for these counts")
-    if scale == 1.0:
-        return value
-
-    def finest(candidates):
-        return next(((x, v) for x in candidates if not math.isinf(v := log_odds(most * x / scale, most, null, natural))), None)
-
-    whole = finest(range(10, 1, -1)) or (1, value)
-    part = finest(whole[0] + tenth / 10 for tenth in range(10, 1, -1))
-    return (part or whole)[1]
+def cap(n: float, p: float, natural=False) -> float:
+    """The largest finite log odds among counts of ``n`` trials at frequency ``p``: Pr(X >= k) falls with k, so the last
+    count whose probability is still a double is found by bisection."""
+    low, high = 1, math.floor(n)
+    if high < 1 or math.isinf(log_odds(low, n, p, natural)):
+        raise ArithmeticError("no finite log odds for these counts")
+    while low < high:
+        mid = (low + high + 1) // 2
+        if math.isinf(log_odds(mid, n, p, natural)):
+            high = mid - 1
+        else:
+            low = mid
+    return log_odds(low, n, p, natural)
 
 
 def significance(alpha: float, cells: int) -> float:
@@ -95,7 +94,7 @@ def plogo(count: DataFrame, info: TableInfo, background: DataFrame | None = None
         return out.select("position", "letter", "log_odds")
     big = F.abs("log_odds") == float("inf")
     most, null, seen = out.agg(F.max("n"), F.min(F.when(F.col("p") > 0, F.col("p"))), F.max(F.when(~big, F.abs("log_odds")))).first()
-    limit = max(cap(float(most), null / 100_000.0, natural), seen or 0.0) if most else 0.0
+    limit = max(cap(float(most), null * VANISHING, natural), seen or 0.0) if most else 0.0
     return out.select("position", "letter", F.when(big, F.signum("log_odds") * limit).otherwise(F.col("log_odds")).alias("log_odds"))
 
 

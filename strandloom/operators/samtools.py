@@ -98,33 +98,64 @@ def depth(df: DataFrame) -> DataFrame:
 
 def bed_coverage(df: DataFrame, regions: DataFrame, bin_width: int = 1000) -> DataFrame:
     """(rname, start, stop, bases) for regions [start, stop): an interval join on bins, so it stays an equi-join."""
-    s = spans(df).withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / bin_width), F.floor(F.col("b") / bin_width))))
+    s = spans(df).groupBy("rname", "a", "b").agg(F.count("*").alias("times")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / bin_width), F.floor(F.col("b") / bin_width))))
     r = regions.select("rname", "start", "stop").withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor((F.col("stop") - 1) / bin_width))))
     lo = F.greatest("a", "start", F.col("bin") * bin_width)
     hi = F.least(F.col("b") + 1, "stop", (F.col("bin") + 1) * bin_width)
-    hit = r.join(s, ["rname", "bin"]).withColumn("n", hi - lo).where("n > 0").groupBy("rname", "start", "stop").agg(F.sum("n").alias("bases"))
+    hit = r.join(s, ["rname", "bin"]).withColumn("n", (hi - lo) * F.col("times")).where("n > 0").groupBy("rname", "start", "stop").agg(F.sum("n").alias("bases"))
     return regions.select("rname", "start", "stop").join(hit, ["rname", "start", "stop"], "left").withColumn("bases", F.coalesce("bases", F.lit(0)))
 
 
 def without_duplicates(df: DataFrame) -> DataFrame:
-    """Of mapped reads at one place and strand, the one of best mapping quality (then the least header)."""
-    key = [F.col("rname"), F.col("pos"), F.col("flag").bitwiseAND(16)]
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("mapq"), "header"))
-    return df.withColumn("__n", n).where("__n = 1").drop("__n")
+    """Of reads at one place and strand, the one of best mapping quality (then the least header); partial sums shrink common places before the shuffle."""
+    best = F.min_by(F.struct(*df.columns), F.struct(-F.col("mapq"), F.col("header"))).alias("best")
+    return df.groupBy("rname", "pos", F.col("flag").bitwiseAND(16).alias("strand")).agg(best).select("best.*")
 
 
 def pileup(df: DataFrame) -> DataFrame:
-    """(rname, position, bases): letters of projected reads by position as counts, most frequent first."""
-    return df.groupBy("rname", "position", "base").agg(F.count("*").alias("n"))
+    """(rname, position, depth, bases): of projected letters (rname, position, base), each place's letters as structs of n and base, most frequent first."""
+    n = df.groupBy("rname", "position", "base").agg(F.count("*").alias("n"))
+    return n.groupBy("rname", "position").agg(F.sum("n").alias("depth"), F.sort_array(F.collect_list(F.struct("n", "base")), asc=False).alias("bases"))  # an alphabet at most
 
 
 def fill_mates(df: DataFrame) -> DataFrame:
-    """rnext, pnext and tlen from the mate of the same header."""
+    """rnext, pnext and tlen (outer ends, negative for the later mate, 0 across references) from the mate of the same header."""
     w = Window.partitionBy("header").orderBy("read")
-    e = df.withColumn("read", S.read_number("flag"))
-    other = F.coalesce(F.lead(F.struct("rname", "pos")).over(w), F.lag(F.struct("rname", "pos")).over(w))
-    e = e.withColumn("__m", other)
-    return e.withColumns({"rnext": F.when(F.col("__m").isNull(), "*").when(F.col("__m.rname") == F.col("rname"), "=").otherwise(F.col("__m.rname")), "pnext": F.coalesce("__m.pos", F.lit(0))}).drop("__m", "read")
+    e = df.withColumns({"read": S.read_number("flag"), "__end": F.col("pos") + F.greatest(S.cigar_total("cigar", "MDN=X"), F.lit(1)) - 1})
+    mine = F.struct("rname", "pos", "__end")
+    e = e.withColumn("__m", F.coalesce(F.lead(mine).over(w), F.lag(mine).over(w)))
+    m = F.col("__m")
+    outer = F.greatest(F.col("__end"), m["__end"]) - F.least(F.col("pos"), m["pos"]) + 1
+    first = (F.col("pos") < m["pos"]) | ((F.col("pos") == m["pos"]) & (F.col("read") == "R1"))
+    return e.withColumns({"rnext": F.when(m.isNull(), "*").when(m["rname"] == F.col("rname"), "=").otherwise(m["rname"]), "pnext": F.coalesce(m["pos"], F.lit(0)),
+                          "tlen": F.when(m.isNull() | (m["rname"] != F.col("rname")), 0).otherwise(F.when(first, outer).otherwise(-outer)).cast("int")}).drop("__m", "read", "__end")
+
+
+def stats(df: DataFrame) -> DataFrame:
+    """(metric, value): sequences, letters, mapped letters and mean quality of primary alignments."""
+    up = F.col("flag").bitwiseAND(4) == 0
+    quality = F.aggregate(S.letters("qual"), F.lit(0), lambda a, c: a + F.ascii(c) - 33)
+    one = df.where(F.col("flag").bitwiseAND(0x900) == 0).agg(
+        F.count("*").cast("double").alias("sequences"), F.sum(F.length("seq")).cast("double").alias("letters"), F.count_if(up).cast("double").alias("mapped"),
+        F.sum(F.when(up, S.cigar_total("cigar", "MI=X"))).cast("double").alias("letters_mapped"), F.max(F.length("seq")).cast("double").alias("longest"),
+        F.try_divide(F.sum(quality).cast("double"), F.sum(F.length("qual")).cast("double")).alias("mean_quality"))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns))))
+
+
+def split_by(df: DataFrame, column: str, path: str) -> None:
+    """One folder of SAM-like rows for each value of ``column``, say the reference or a read group tag."""
+    df.write.mode("overwrite").partitionBy(column).parquet(path)
+
+
+def with_read_group(df: DataFrame, group: str) -> DataFrame:
+    """``df`` whose tags have RG = ``group``."""
+    tags = F.col("tags") if "tags" in df.columns else F.create_map().cast("map<string,string>")
+    return df.withColumn("tags", F.map_concat(F.map_filter(tags, lambda k, _: k != "RG"), F.create_map(F.lit("RG"), F.lit(group))))
+
+
+def by_coordinate(df: DataFrame) -> DataFrame:
+    """Alignments by reference and position, unplaced ones last; a range sort."""
+    return df.orderBy(F.col("rname") == "*", "rname", "pos", "header")
 
 
 def to_fastq(df: DataFrame) -> DataFrame:

@@ -54,7 +54,9 @@ class SeqTable:
 
     @classmethod
     def from_df(cls, df: DataFrame, seq_type="NT", *, index=None, columns=None, ref_name=None, first=None, last=None, phred=33, edge=EDGE, user=None) -> SeqTable:
-        """An alignment-like DataFrame: rows with a null (or '*') anywhere go; with a CIGAR column reads are projected, else placed."""
+        """An alignment-like DataFrame: rows with a null (or '*') anywhere go; with a CIGAR column reads are projected, else placed.
+
+        Reads are named by ``index``, else by their header, with /1 or /2 for mates."""
         names = COLUMNS | (columns or {})
         df = df.withColumnsRenamed({v: COLUMNS[k] for k, v in names.items() if v in df.columns})
         if "pos" not in df.columns:
@@ -71,7 +73,10 @@ class SeqTable:
             df, first, last = align.place(df, qual="qual" if has else None, first=first, last=last, edge=edge)
             df = df.withColumn("insertions", F.array().cast(INSERTIONS))
         key = index or ("header" if "header" in df.columns else "read_id" if "read_id" in df.columns else None)
-        df = df.withColumn("read_id", F.col(key) if key else F.monotonically_increasing_id() + 1)
+        name = F.col(key) if key else F.monotonically_increasing_id() + 1
+        if key == "header" and index is None and "flag" in df.columns:  # mates share a header
+            name = F.concat(name, F.when(F.col("flag").bitwiseAND(1) == 0, "").when(F.col("flag").bitwiseAND(0x40) != 0, "/1").otherwise("/2"))
+        df = df.withColumn("read_id", name)
         if "read_ord" not in df.columns:
             df = df.withColumn("read_ord", F.monotonically_increasing_id() + 1)
         if not has:
@@ -92,7 +97,7 @@ class SeqTable:
         if least_mapq is not None:
             df = df.where(F.col("mapq") >= least_mapq)
         if region is not None:
-            df = df.where((F.col("rname") == region[0]) & F.col("pos").between(region[1], region[2]))
+            df = df.where(S.overlaps(*region))
         return cls.from_df(df, seq_type, first=first, last=last)
 
     def _with(self, df: DataFrame, **changes) -> SeqTable:

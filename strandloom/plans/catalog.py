@@ -10,6 +10,7 @@ from strandloom.operators.table import SeqTable, merge_tables
 from strandloom.plans import derive
 from strandloom.plans.derive import WT
 from strandloom.schema import TableInfo
+from strandloom.sources import text
 
 QUERIES = {}
 ORACLES = {}
@@ -46,7 +47,7 @@ CELLS = "cells AS (SELECT k, read_id, weight, p::INT AS position, seq[p] AS base
 BASE = f"WITH {READS}, {CELLS}"
 COUNTS = f"{BASE}, n AS (SELECT position, base AS letter, count(*) AS value FROM cells GROUP BY ALL)"
 FREQ = f"{COUNTS}, f AS (SELECT position, letter, value / sum(value) OVER (PARTITION BY position) AS value FROM n)"
-REFS = _reads("refs0", "(SELECT * FROM part ORDER BY p_partkey LIMIT 5)", "p_partkey") + ", refs AS (SELECT row_number() OVER (ORDER BY k) AS ref_id, seq AS ref FROM refs0)"
+REFS = _reads("refs0", "(SELECT unnest(range(1, 6)) AS r)", "r") + ", refs AS (SELECT row_number() OVER (ORDER BY k) AS ref_id, seq AS ref FROM refs0)"
 MATCHES = f"{BASE}, {REFS}, m AS (SELECT read_id, ref_id, position, base AS a, ref[position] AS b FROM cells, refs)"
 SAM = f"""{READS}, sam AS (
   SELECT read_id, k::VARCHAR AS header, [0, 16, 4, 99, 147, 512, 1024, 83][(k // 8) % 8 + 1] AS flag,
@@ -88,14 +89,11 @@ _BITS = """, h AS (SELECT position, -sum(value * log2(value)) AS h FROM f GROUP
 k AS (SELECT (SELECT count(DISTINCT letter) FROM f) AS s, (SELECT count(*) FROM reads) AS n)
 SELECT position, letter, round(greatest(0, value * (log2(s) - (h + (s - 1) / (2 * n * ln(2)) / 2))), 6) AS value FROM f JOIN h USING (position), k"""
 query(FREQ + _BITS, "seq_dist_bits")(lambda s, d: r6(derive.reads(s, d).seq_dist(method="bits"), "value"))
-_AA = """WITH reads AS (SELECT doc_id AS read_id, rpad(regexp_replace(translate(substr(text, 1, 40), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', 'X', 'g'), 40, 'X') AS seq FROM documents),
-n AS (SELECT p::INT AS position, seq[p] AS letter, count(*) AS value FROM reads, (SELECT unnest(range(1, 41)) AS p) GROUP BY ALL), f AS (SELECT position, letter, value / sum(value) OVER (PARTITION BY position) AS value FROM n)"""
-query(_AA + _BITS, "seq_dist_bits_aa")(lambda s, d: r6(derive.amino_reads(s, d).seq_dist(method="bits"), "value"))
 # Whole texts, in consecutive reads of 40 letters.
 _AA_WHOLE = """WITH d AS (SELECT doc_id, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', 'X', 'g') AS s FROM documents WHERE text IS NOT NULL),
 reads AS (SELECT doc_id || ':' || i AS read_id, rpad(substr(s, i * 40 + 1, 40), 40, 'X') AS seq FROM (SELECT *, unnest(range(0, greatest(length(s) - 1, 0) // 40 + 1)) AS i FROM d)),
 n AS (SELECT p::INT AS position, seq[p] AS letter, count(*) AS value FROM reads, (SELECT unnest(range(1, 41)) AS p) GROUP BY ALL), f AS (SELECT position, letter, value / sum(value) OVER (PARTITION BY position) AS value FROM n)"""
-query(_AA_WHOLE + _BITS, "seq_dist_bits_aa_whole")(lambda s, d: r6(derive.amino_pieces(s, d).seq_dist(method="bits"), "value"))
+query(_AA_WHOLE + _BITS, "seq_dist_bits_aa")(lambda s, d: r6(derive.amino_pieces(s, d).seq_dist(method="bits"), "value"))
 query(f"""{WALK} SELECT position, base AS letter, count(*) AS value FROM full_ GROUP BY ALL UNION ALL SELECT position, '^', count(*) FROM ins WHERE loc = -1 GROUP BY position""", "seq_dist_insertion_row")(
     lambda s, d: derive.projected(s, d).seq_dist(insertions=True))
 query(f"{FREQ} SELECT position, round(-sum(value * log2(value)), 6) AS entropy FROM f GROUP BY position", "pos_entropy")(lambda s, d: r6(derive.reads(s, d).pos_entropy(), "entropy"))
@@ -190,8 +188,8 @@ SELECT u.read_id, c.position, c.loc, coalesce(lower(i.base), '-') FROM used u CR
 SELECT a.position AS p1, a.loc AS l1, b.position AS p2, b.loc AS l2, a.base || b.base AS word, count(*) AS value FROM v a JOIN v b ON a.read_id = b.read_id AND (a.position, a.loc) < (b.position, b.loc) GROUP BY ALL""", "substrings_with_insertions")(
     lambda s, d: derive.projected(s, d).substrings(2, [11, 12], with_insertions=True).select(
         F.col("positions")[0]["position"].alias("p1"), F.col("positions")[0]["loc"].alias("l1"), F.col("positions")[1]["position"].alias("p2"), F.col("positions")[1]["loc"].alias("l2"), "word", "value"))
-query(f"WITH {READS} SELECT read_id, [[(seq[p] = 'A')::INT, (seq[p] = 'C')::INT, (seq[p] = 'G')::INT, (seq[p] = 'T')::INT] for p in [1, 2]]::VARCHAR AS one_hot FROM reads", "one_hot")(
-    lambda s, d: derive.reads(s, d).window(1, 2).one_hot().withColumn("one_hot", F.concat(F.lit("["), F.array_join(F.transform("one_hot", lambda a: F.concat(F.lit("["), F.array_join(a.cast("array<string>"), ", "), F.lit("]"))), ", "), F.lit("]"))))
+query(f"WITH {READS} SELECT read_id, [[(seq[p] = 'A')::INT, (seq[p] = 'C')::INT, (seq[p] = 'G')::INT, (seq[p] = 'T')::INT] for p in range(1, 33)]::VARCHAR AS one_hot FROM reads", "one_hot")(
+    lambda s, d: derive.reads(s, d).one_hot().withColumn("one_hot", F.concat(F.lit("["), F.array_join(F.transform("one_hot", lambda a: F.concat(F.lit("["), F.array_join(a.cast("array<string>"), ", "), F.lit("]"))), ", "), F.lit("]"))))
 query(f"WITH {READS}, s AS (SELECT read_id, seq[1:4] AS seq FROM reads) SELECT read_id, seq FROM s WHERE seq IN (SELECT seq FROM s GROUP BY seq HAVING count(*) > 40)", "filter_by_count")(
     lambda s, d: derive.reads(s, d).window(1, 4).repeated_reads(40).sequences())
 
@@ -253,8 +251,8 @@ query(f"WITH {SAM} SELECT coalesce({_REASON}, 'good') AS reason, count(*) AS rea
 query(f"WITH {SAM} SELECT header, array_to_string(list_filter(range(0, 12), lambda i: (flag >> i::INT) & 1 = 1), ',') AS bits, CASE WHEN flag & 16 = 0 THEN 'R1' ELSE 'R2' END AS read FROM sam", "flag_bits")(
     lambda s, d: derive.sam(s, d).select("header", scalar.flag_text("flag").alias("bits"), scalar.read_number("flag").alias("read")))
 query(f"""WITH {SAM} SELECT cigar, coalesce(nullif(regexp_extract(cigar, '^(\\d+)S', 1), '')::INT, 0) AS lead, coalesce(nullif(regexp_extract(cigar, '(\\d+)S$', 1), '')::INT, 0) AS trail,
-regexp_extract(cigar, '(\\d+)M', 1)::INT AS hits, list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[DN]', 1), lambda x: x::INT))::INT AS gaps, count(*) AS n FROM (SELECT * FROM sam WHERE cigar LIKE '%D%') GROUP BY ALL""", "cigar_totals")(
-    lambda s, d: derive.sam(s, d).where("cigar like '%D%'").groupBy("cigar", scalar.leading_clip("cigar").alias("lead"), scalar.trailing_clip("cigar").alias("trail"), scalar.base_hits("cigar").alias("hits"),
+regexp_extract(cigar, '(\\d+)M', 1)::INT AS hits, coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[DN]', 1), lambda x: x::INT)), 0)::INT AS gaps, count(*) AS n FROM sam GROUP BY ALL""", "cigar_totals")(
+    lambda s, d: derive.sam(s, d).groupBy("cigar", scalar.leading_clip("cigar").alias("lead"), scalar.trailing_clip("cigar").alias("trail"), scalar.base_hits("cigar").alias("hits"),
                                                                 scalar.cigar_total("cigar", "DN").alias("gaps")).agg(F.count("*").alias("n")))
 query(f"WITH {SAM}, f AS (SELECT rname, (flag & 4 = 0) AS up FROM sam) SELECT rname, count(*) FILTER (up) AS mapped, count(*) FILTER (NOT up) AS unmapped FROM f GROUP BY rname", "idxstats")(lambda s, d: samtools.idxstats(derive.sam(s, d)))
 query(f"""WITH {SAM}, m(metric, need, hide) AS (VALUES ('total', 0, 0), ('secondary', 256, 0), ('supplementary', 2048, 256), ('duplicates', 1024, 0), ('mapped', 0, 4), ('paired', 1, 2304), ('read1', 65, 2304), ('read2', 129, 2304),
@@ -279,8 +277,9 @@ FROM bases JOIN w ON true LEFT JOIN (SELECT read_id, count(*) AS n FROM ins GROU
 
 # Codons.
 
-_STD = codon.codon_table()
-_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _STD.items()) + "}"
+# The standard code, written out in the order TCAG; codons with N stand for several residues here.
+_RESIDUE = """CASE WHEN instr(x, 'N') > 0 THEN 'X' ELSE substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG',
+16 * (instr('TCAG', x[1]) - 1) + 4 * (instr('TCAG', x[2]) - 1) + instr('TCAG', x[3]), 1) END"""
 
 
 def _codon_sql(frame, pad):
@@ -288,8 +287,8 @@ def _codon_sql(frame, pad):
     return f"WITH {READS}, c AS (SELECT read_id, {s} AS s FROM reads), l AS (SELECT read_id, list_transform(range(0, length(s) // 3), lambda i: s[i * 3 + 1:i * 3 + 3]) AS codons FROM c)"
 
 
-query(f"{_codon_sql(0, False)} SELECT read_id, array_to_string(list_transform(codons, lambda x: {_MAP}[x]), '') AS protein FROM l", "translate_frame0")(lambda s, d: derive.reads(s, d).df.select("read_id", codon.translate("seq").alias("protein")))
-query(f"{_codon_sql(1, True)} SELECT read_id, array_to_string(list_transform(codons, lambda x: {_MAP}[x]), '') AS protein FROM l", "translate_pad")(
+query(f"{_codon_sql(0, False)} SELECT read_id, array_to_string(list_transform(codons, lambda x: {_RESIDUE}), '') AS protein FROM l", "translate_frame0")(lambda s, d: derive.reads(s, d).df.select("read_id", codon.translate("seq").alias("protein")))
+query(f"{_codon_sql(1, True)} SELECT read_id, array_to_string(list_transform(codons, lambda x: {_RESIDUE}), '') AS protein FROM l", "translate_pad")(
     lambda s, d: derive.reads(s, d).df.select("read_id", codon.translate("seq", 1, True).alias("protein")))
 query(f"{_codon_sql(2, False)} SELECT read_id, array_to_string(codons, ' ') AS codons FROM l", "codons")(lambda s, d: derive.reads(s, d).df.select("read_id", F.array_join(codon.codons("seq", 2), " ").alias("codons")))
 query("SELECT o_orderkey AS k, (o_orderkey + 6) // 3 + 1 AS residue, o_orderkey + 7 AS nt_pos, (o_orderkey + 6) % 3 AS codon_offset FROM (SELECT o_orderkey - 1 AS x, o_orderkey FROM orders)", "nt_to_residue")(
@@ -317,26 +316,138 @@ def _guess(t):
     return guess_type(t.df)
 
 
-@query()
+# Random operators: what must hold whatever was drawn.
+
+
+@query("SELECT 100 AS n, 100 AS distinct_reads, 0 AS unknown")
 def subsample(s, d):
-    return derive.reads(s, d).subsample(100, seed=3).sequences()
+    t = derive.reads(s, d)
+    got = t.subsample(100, seed=3).sequences().join(t.df.select("read_id", F.col("seq").alias("known")), "read_id", "left")
+    return got.agg(F.count("*").alias("n"), F.countDistinct("read_id").alias("distinct_reads"), F.count_if(~F.col("seq").eqNullSafe(F.col("known"))).alias("unknown"))
 
 
-@query()
+@query("SELECT 1000 AS n, 0 AS odd_lengths, 0 AS odd_letters, 0 AS odd_site_4, 0 AS odd_site_9, true AS near_wild_type")
 def generate_library(s, d):
-    return simulate.qualities(simulate.library(s, WT, 1000, saturated=[4, 9], codes={4: "R", 9: [("A", 3.0), ("C", 1.0)]}, error_rate=0.02))
+    """Sites 4 and 9 are saturated with R and with A or C; elsewhere 2 % of the letters differ."""
+    made = simulate.qualities(simulate.library(s, WT, 1000, saturated=[4, 9], codes={4: "R", 9: [("A", 3.0), ("C", 1.0)]}, error_rate=0.0))
+    errors = simulate.library(s, WT, 1000, saturated=[], codes={}, error_rate=0.02)
+    off = F.size(F.filter(F.zip_with(scalar.letters("seq"), scalar.letters(F.lit(WT)), lambda x, w: x != w), lambda v: v))
+    rate = errors.agg(F.avg(off / len(WT)).alias("r")).select((F.abs(F.col("r") - 0.02) < 0.006).alias("near_wild_type"))
+    site = lambda i: F.substring("seq", i, 1)
+    return made.agg(F.count("*").alias("n"), F.count_if((F.length("seq") != 32) | (F.length("qual") != 32)).alias("odd_lengths"), F.count_if(~F.col("seq").rlike("^[ACGT]*$")).alias("odd_letters"),
+                    F.count_if(~site(4).isin("A", "G")).alias("odd_site_4"), F.count_if(~site(9).isin("A", "C")).alias("odd_site_9")).crossJoin(F.broadcast(rate))  # one row each
+
+
+# Files.
 
 
 @query(f"WITH {READS} SELECT k AS read_ord, seq, qual FROM reads")
 def fastq_roundtrip(s, d):
-    import tempfile
+    df = derive.reads(s, d).df.withColumn("header", F.col("read_id").cast("string"))
+    path = derive.saved(s, "fastq", lambda p: text.write_fastq(df, p))
+    return text.read_fastq(s, path).select(F.col("header").cast("long").alias("read_ord"), "seq", "qual")
 
-    from strandloom.sources import text
 
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    path = f"{base}/fastq-{abs(hash(d)) % 10**8}"
-    text.write_fastq(derive.reads(s, d).df.withColumn("header", F.col("read_id").cast("string")), path)
-    return text.read_fastq(s, path).select(F.col("header").cast("long").alias("read_ord"), "seq", "qual")
+@query(f"WITH {READS} SELECT k AS id, seq FROM reads")
+def fasta_roundtrip(s, d):
+    record = F.concat(F.lit(">"), "read_id", F.lit(" a description\n"), F.substring("seq", 1, 20), F.lit("\n"), F.lower(F.substring("seq", 21, 20)))
+    path = derive.saved(s, "fasta", lambda p: derive.reads(s, d).df.select(record).write.text(p))
+    return text.read_fasta(s, path).select(F.col("id").cast("long").alias("id"), "seq")
+
+
+def _sam_file(s, d):
+    tagged = derive.sam(s, d).withColumn("tags", F.create_map(F.lit("XK"), F.concat(F.lit("a:"), F.col("read_id") % 3), F.lit("XL"), F.lit("z")))
+    return derive.saved(s, "sam", lambda p: text.write_sam(tagged, p))
+
+
+@query(f"WITH {SAM} SELECT header, flag, rname, pos, mapq, cigar, seq, qual, 'a:' || (k % 3) AS \"XK\" FROM (SELECT *, read_id AS k FROM sam)")
+def sam_roundtrip(s, d):
+    return text.read_sam(s, _sam_file(s, d), tags=["XK"]).select("header", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", "XK")
+
+
+@query("SELECT 50 AS n")
+def sam_row_limit(s, d):
+    return text.read_sam(s, _sam_file(s, d), rows=50).agg(F.count("*").alias("n"))
+
+
+_REGION = """WHERE rname = 'ref' AND mapq >= 20 AND pos <= 60 AND pos + CASE cigar WHEN '10M2I20M' THEN 30 WHEN '12M3D20M' THEN 35 WHEN '4S28M' THEN 28 ELSE 32 END - 1 >= 35"""
+
+
+@query(f"""{WALK.replace("WHERE rname <> '*'", _REGION)}, h AS (SELECT read_id, header || CASE WHEN flag & 1 = 0 THEN '' WHEN flag & 64 <> 0 THEN '/1' ELSE '/2' END AS name FROM sam)
+SELECT h.name AS read_id, string_agg(base, '' ORDER BY position) AS seq FROM full_ JOIN h USING (read_id) GROUP BY h.name""")
+def sam_region(s, d):
+    """Reads of a file that overlap a region, though they begin before it."""
+    return SeqTable.from_sam(s, _sam_file(s, d), least_mapq=20, region=("ref", 35, 60)).sequences()
+
+
+@query("SELECT * FROM (VALUES (1, 'ACGTN', '!!!!!'), (2, 'ACNNN', 'II!!!'), (3, 'ACGTA', 'ABCDE')) AS t(read_id, seq, qual)")
+def from_list_ragged(s, d):
+    return SeqTable.from_list(s, ["acgt", "AC", "ACGTA"], ["!!!!", "II", "ABCDE"], seq_type="NT").df.select(F.col("read_id").cast("int").alias("read_id"), "seq", "qual")
+
+
+# Mates.
+
+_MATES = WALK.replace("used AS (SELECT * FROM sam WHERE rname <> '*')", "used AS (SELECT * REPLACE ((read_id - read_id % 2) || CASE WHEN read_id % 2 = 0 THEN '/1' ELSE '/2' END AS read_id) FROM sam WHERE rname <> '*')")
+query(f"""{_MATES}, col AS (SELECT position, loc FROM ins GROUP BY ALL),
+v AS (SELECT read_id, position, 0 AS loc, base FROM full_ UNION ALL SELECT u.read_id, c.position, c.loc, coalesce(lower(i.base), '-') FROM used u CROSS JOIN col c LEFT JOIN ins i ON i.read_id = u.read_id AND i.position = c.position AND i.loc = c.loc)
+SELECT read_id, string_agg(base, '' ORDER BY position, loc) AS seqs FROM v GROUP BY read_id""", "mates_with_insertions")(lambda s, d: SeqTable.from_df(derive.paired(s, d).drop("read_id")).strings_with_insertions())
+_PAIRS = f"WITH {SAM}, p AS (SELECT *, read_id - read_id % 2 AS h, read_id % 2 AS r, pos + CASE cigar WHEN '10M2I20M' THEN 30 WHEN '12M3D20M' THEN 35 WHEN '4S28M' THEN 28 ELSE 32 END - 1 AS e FROM sam)"
+query(f"{_PAIRS} SELECT h::VARCHAR AS header, max(seq) FILTER (r = 0) AS seq1, max(seq) FILTER (r = 1) AS seq2 FROM p GROUP BY h", "mates")(
+    lambda s, d: samtools.mates(derive.paired(s, d)).select("header", F.col("r1.seq").alias("seq1"), F.col("r2.seq").alias("seq2")))
+query(f"""{_PAIRS} SELECT a.read_id, CASE WHEN b.h IS NULL THEN '*' WHEN b.rname = a.rname THEN '=' ELSE b.rname END AS rnext, coalesce(b.pos, 0) AS pnext,
+CASE WHEN b.h IS NULL OR b.rname <> a.rname THEN 0 WHEN a.pos < b.pos OR (a.pos = b.pos AND a.r = 0) THEN greatest(a.e, b.e) - least(a.pos, b.pos) + 1 ELSE least(a.pos, b.pos) - greatest(a.e, b.e) - 1 END::INT AS tlen
+FROM p a LEFT JOIN p b ON a.h = b.h AND a.r <> b.r""", "fill_mates")(lambda s, d: samtools.fill_mates(derive.paired(s, d)).select("read_id", "rnext", "pnext", "tlen"))
+
+
+# Selections and views.
+
+query(f"WITH {READS} SELECT read_id, seq FROM reads WHERE read_id IN (SELECT c_custkey FROM customer)", "reads_by_id")(
+    lambda s, d: derive.reads(s, d).reads(derive.table(s, d, "customer").select(F.col("c_custkey").alias("read_id"))).sequences())
+query(f"WITH {READS} SELECT read_id, seq FROM reads WHERE k BETWEEN 10 AND 499", "reads_by_place")(lambda s, d: derive.reads(s, d).ordinal(10, 500).sequences())
+query(f"{BASE} SELECT position, sum(q)::BIGINT AS q FROM cells GROUP BY position", "quality_view")(
+    lambda s, d: derive.reads(s, d).qualities().select(F.posexplode("q").alias("i", "v")).groupBy((F.col("i") + 1).alias("position")).agg(F.sum("v").alias("q")))
+query(f"{WALK} SELECT position, loc, count(*) AS n, sum(q)::BIGINT AS q FROM ins WHERE q >= 20 OR q <= 0 GROUP BY ALL", "mask_insertions")(
+    lambda s, d: derive.projected(s, d).low_bases_to_null(20).df.select(F.inline("insertions")).groupBy("position", "loc").agg(F.count("*").alias("n"), F.sum("q").alias("q")))
+query(f"{WALK} SELECT count(*) AS n, (SELECT count(*) FROM ins) AS inserted FROM (SELECT read_id FROM used UNION ALL SELECT read_id FROM used WHERE read_id % 2 = 0)", "merge_drop_duplicates")(
+    lambda s, d: merge_tables([(t := derive.projected(s, d)), t.where(F.col("read_id") % 2 == 0)], renumber=False, duplicates="drop").df.agg(F.count("*").alias("n"), F.sum(F.size("insertions")).alias("inserted")))
+query(f"""WITH {READS} SELECT read_id, CASE WHEN regexp_matches(seq, '[AG][CT][ACGT]ACG') THEN 1 ELSE 0 END AS has FROM reads""", "degenerate_regex")(
+    lambda s, d: derive.reads(s, d).df.select("read_id", F.col("seq").rlike(codon.degenerate_regex("RYNACG")).cast("int").alias("has")))
+query("SELECT 3 AS start, 'TTGCAA' AS sequence, '000001001000' AS nt, '0110' AS residues", "library_alignment")(lambda s, d: _library(s))
+query("SELECT o_orderkey AS k, o_orderkey + 7 AS p FROM orders", "codon_shift")(lambda s, d: derive.table(s, d, "orders").select(F.col("o_orderkey").alias("k"), codon.shift(F.col("o_orderkey") + 1, 3).alias("p")))
+
+
+def _library(s):
+    a = codon.library_alignment("ACGTTGCAAGCT", "TTNCAR")
+    return s.createDataFrame([(a["start"], a["sequence"], "".join(map(str, a["nt"])), "".join(map(str, a["residues"])))], "start int, sequence string, nt string, residues string")
+
+
+# More alignment statistics.
+
+query(f"""WITH {SAM} SELECT header, CASE WHEN flag & 16 <> 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, CASE WHEN flag & 16 <> 0 THEN reverse(qual) ELSE qual END AS qual FROM sam WHERE flag & 2304 = 0""", "sam_to_fastq")(
+    lambda s, d: samtools.to_fastq(derive.sam(s, d)))
+query(f"""WITH {SAM}, f AS (SELECT *, flag & 4 = 0 AS up, list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MI]', 1), lambda x: x::INT)) AS m, list_sum(list_transform(range(1, 33), lambda i: ascii(qual[i]) - 33)) AS q FROM sam WHERE flag & 2304 = 0)
+SELECT unnest(['sequences', 'letters', 'mapped', 'letters_mapped', 'longest', 'mean_quality']) AS metric, round(unnest([count(*)::DOUBLE, sum(length(seq))::DOUBLE, (count(*) FILTER (up))::DOUBLE, (sum(m) FILTER (up))::DOUBLE, max(length(seq))::DOUBLE, sum(q) / sum(length(qual))]), 6) AS value FROM f""", "sam_stats")(
+    lambda s, d: r6(samtools.stats(derive.sam(s, d)), "value"))
+query(f"""{WALK}, n AS (SELECT position, base, count(*) AS n FROM full_ GROUP BY ALL) SELECT 'ref' AS rname, position, sum(n)::BIGINT AS depth, string_agg(base || n, ',' ORDER BY n DESC, base DESC) AS bases FROM n GROUP BY position""", "pileup")(
+    lambda s, d: samtools.pileup(derive.projected(s, d).cells().withColumn("rname", F.lit("ref"))).withColumn("bases", F.array_join(F.transform("bases", lambda b: F.concat(b["base"], b["n"])), ",")))
+query(f"WITH {READS} SELECT k AS id, 32 AS length, md5(seq) AS md5 FROM reads", "fasta_dictionary")(lambda s, d: samtools.dictionary(derive.reads(s, d).df.select(F.col("read_id").alias("id"), "seq")))
+query(f"WITH {READS} SELECT k AS id, 5 AS start, 5 + k % 9 AS stop, substr(seq, 5, (1 + k % 9)::INT) AS seq FROM reads JOIN customer ON c_custkey = k", "fasta_fetch")(
+    lambda s, d: samtools.fetch(derive.reads(s, d).df.select(F.col("read_id").alias("id"), "seq"), derive.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(5).alias("start"), (5 + F.col("c_custkey") % 9).alias("stop"))))
+
+
+# The tail probabilities of a binomial fall below the least double at k letters of n: heights beyond are capped.
+_LEAST = "ln(5e-324)"
+query(f"""{COUNTS}, g AS (SELECT position, letter, value AS k, sum(value) OVER (PARTITION BY position)::BIGINT AS n FROM n),
+x AS (SELECT position, letter, k, i, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.25) + (n - i) * ln(0.75) AS l FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM g)),
+t AS (SELECT position, letter, max(l) FILTER (i >= k) AS a, max(l) FILTER (i <= k) AS b FROM x GROUP BY ALL),
+u AS (SELECT position, letter, a + ln(sum(exp(l - a)) FILTER (i >= k)) AS above, b + ln(sum(exp(l - b)) FILTER (i <= k)) AS below FROM x JOIN t USING (position, letter) GROUP BY position, letter, a, b),
+m AS (SELECT max(n) AS n FROM g),
+y AS (SELECT k, i, n, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(2.5e-6) + (n - i) * ln(1 - 2.5e-6) AS l FROM (SELECT n, k, unnest(range(k, least(n, k + 60) + 1)) AS i FROM (SELECT n, unnest(range(1, least(n, 2000) + 1)) AS k FROM m))),
+z AS (SELECT k, max(l) + ln(sum(exp(l - top))) AS above FROM (SELECT *, max(l) OVER (PARTITION BY k) AS top FROM y) GROUP BY k),
+c AS (SELECT max(-above / ln(10)) AS cap FROM z WHERE above >= {_LEAST}),
+w AS (SELECT position, letter, CASE WHEN above < {_LEAST} THEN 'inf'::DOUBLE WHEN below < {_LEAST} THEN '-inf'::DOUBLE ELSE (below - above) / ln(10) END AS v FROM u),
+e AS (SELECT greatest(cap, coalesce((SELECT max(abs(v)) FROM w WHERE isfinite(v)), 0)) AS cap FROM c)
+SELECT position, letter, round(CASE WHEN isfinite(v) THEN v ELSE sign(v) * cap END, 3) AS log_odds FROM w, e""", "plogo_capped")(lambda s, d: derive.reads(s, d).plogo()[0].withColumn("log_odds", F.round("log_odds", 3)))
 
 
 @query(f"{COUNTS} SELECT position, letter, value FROM n")

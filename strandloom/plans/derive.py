@@ -6,6 +6,9 @@ base, c to f replace it; qualities, CIGARs, flags and names follow from the key
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +47,8 @@ def reads2(spark, sf_dir, first=5) -> SeqTable:
 
 
 def references(spark, sf_dir, n=5) -> list[str]:
-    """The reads of the first parts: a list that doesn't grow with the data."""
-    rows = keyed(table(spark, sf_dir, "part").orderBy("p_partkey").limit(n), "p_partkey").orderBy("read_ord").collect()
-    return [r.seq for r in rows]
+    """Fixed variants of the wild type, the reads of keys 1 to ``n``: a list that doesn't grow with the data."""
+    return [r.seq for r in keyed(spark.range(1, n + 1), "id").orderBy("read_ord").collect()]
 
 
 def sam(spark, sf_dir) -> DataFrame:
@@ -63,12 +65,22 @@ def projected(spark, sf_dir, first=None, last=None) -> SeqTable:
     return SeqTable.from_df(sam(spark, sf_dir), index="read_id", first=first, last=last)
 
 
-def amino_reads(spark, sf_dir) -> SeqTable:
-    """The first 40 letters of each document, in capitals; what is no letter becomes X."""
-    d = table(spark, sf_dir, "documents")
-    seq = F.rpad(F.regexp_replace(F.translate(F.substring("text", 1, 40), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "[^A-Z]", "X"), 40, "X")
-    df = d.select(F.col("doc_id").alias("read_id"), F.col("doc_id").alias("read_ord"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"), F.array().cast(INSERTIONS).alias("insertions"))
-    return SeqTable(df, TableInfo("AA", 1, 40, has_quality=False))
+def paired(spark, sf_dir) -> DataFrame:
+    """Alignments whose even and odd neighbours are mates: they share a header."""
+    k = F.col("read_id")
+    return sam(spark, sf_dir).withColumns({"header": (k - k % 2).cast("string"), "flag": F.when(k % 2 == 0, 99).otherwise(147)})
+
+
+def saved(spark, name: str, write) -> str:
+    """A fresh path below the shared folder, filled by ``write(path)``; a temporary one only where the session runs in one process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="strandloom-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    write(path)
+    return path
 
 
 def amino_pieces(spark, sf_dir) -> SeqTable:

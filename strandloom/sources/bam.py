@@ -9,6 +9,8 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.functions.scalar import overlaps
+
 from strandloom.schema import CIGAR_OPS
 
 # Fixed values of the format: packed bases and the sizes of integer tag values.
@@ -89,7 +91,7 @@ def records(stream):
 
 
 def read_bam(spark: SparkSession, path: str, *, least_mapq: int | None = None, region: tuple[str, int, int] | None = None) -> DataFrame:
-    """Records of BAM files; optionally of mapping quality ``least_mapq`` or more, or that begin in (rname, first, last)."""
+    """Records of BAM files; optionally of mapping quality ``least_mapq`` or more, or that overlap (rname, first, last)."""
 
     def run(batches):
         for batch in batches:
@@ -106,7 +108,7 @@ def read_bam(spark: SparkSession, path: str, *, least_mapq: int | None = None, r
     if least_mapq is not None:
         out = out.where(out.mapq >= least_mapq)
     if region is not None:
-        out = out.where((out.rname == region[0]) & out.pos.between(region[1], region[2]))
+        out = out.where(overlaps(*region))
     return out
 
 

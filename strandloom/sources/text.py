@@ -23,7 +23,9 @@ def parse_sam(lines: DataFrame, *, tags=None, fields=SAM_FIELDS, rows=None, labe
     out = lines.withColumn("__c", cols)
     made = [F.get("__c", i).alias(f) if f not in _INTEGERS else F.get("__c", i).try_cast("int").alias(f) for i, f in enumerate(SAM_FIELDS) if f in fields]
     extra = F.filter(F.slice("__c", 12, 1 << 20), lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:"))
-    every = F.map_from_entries(F.transform(extra, lambda x: F.struct(F.substring(x, 1, 2).alias("key"), F.element_at(F.split(x, ":"), -1).alias("value"))))
+    names = F.transform(extra, lambda x: F.substring(x, 1, 2))
+    first = F.filter(extra, lambda x, i: F.array_position(names, F.substring(x, 1, 2)) == i + 1)  # a repeated tag: its first value
+    every = F.map_from_entries(F.transform(first, lambda x: F.struct(F.substring(x, 1, 2).alias("key"), F.regexp_extract(x, "^[^:]*:[^:]*:(.*)$", 1).alias("value"))))
     made += [every.alias("tags")] if tags is None else [F.try_element_at(every, F.lit(t)).alias(t) for t in tags]
     out = out.select(*made, *([F.col("__file").alias(label)] if label else []))
     return out.limit(rows) if rows is not None else out
@@ -48,6 +50,14 @@ def read_fastq(spark: SparkSession, path: str, *, limit: int | None = None) -> D
     return out.where(F.col("read_ord") <= limit).drop("file") if limit is not None else out.drop("file")
 
 
+def write_sam(df: DataFrame, path: str, *, append=False) -> None:
+    """The eleven fields and, from a map ``tags``, text tags; rows as they lie."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("0" if c in _INTEGERS else "*")) for c in SAM_FIELDS]
+    if "tags" in df.columns:
+        fields.append(F.transform(F.map_entries("tags"), lambda t: F.concat(t["key"], F.lit(":Z:"), t["value"])))
+    df.select(F.concat_ws("\t", *fields).alias("value")).write.mode("append" if append else "overwrite").text(path)
+
+
 def write_fastq(df: DataFrame, path: str, *, header: str | None = "header", append=False) -> None:
     """@header, sequence, +, quality; reads without a header become insilica_seq_{number}."""
     name = F.col(header) if header and header in df.columns else F.format_string("insilica_seq_%d", F.col("read_ord") if "read_ord" in df.columns else F.monotonically_increasing_id())

@@ -202,10 +202,27 @@ def test_amino_reads_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.read_id: r.seq for r in derive.amino_pieces(spark, str(tmp_path)).df.collect()}
     assert got == {"1:0": "AC" * 20, "1:1": "W" * 40, "1:2": "DXY" + "X" * 37, "2:0": "X" * 40, "3:0": "X" * 40}
-    assert "W" in {r.letter for r in catalog.QUERIES["seq_dist_bits_aa_whole"](spark, str(tmp_path)).collect()}
+    assert "W" in {r.letter for r in catalog.QUERIES["seq_dist_bits_aa"](spark, str(tmp_path)).collect()}
 
 
 def test_type_is_judged_by_all_reads(spark):
     df = spark.range(3000, numPartitions=1).select(F.when(F.col("id") == 2500, "ACGE").otherwise("ACGT").alias("seq"))
     assert align.guess_type(df) == "AA"
     assert align.guess_type(df, rows=1000) == "NT"
+
+
+def test_cap_is_the_last_finite_count():
+    from strandloom.operators import logo
+
+    for n, p in ((50, 1e-6), (3000, 2.5e-6), (40, 1e-30)):
+        heights = [logo.log_odds(k, n, p) for k in range(1, n + 1)]
+        assert logo.cap(n, p) == max(h for h in heights if h != float("inf"))
+
+
+def test_mates_keep_apart(spark):
+    rows = [("h1", 99, "ref", 1, "4M2I4M", "ATCTGGTTAT"), ("h1", 147, "ref", 1, "8M", "CCCCCCCC")]
+    df = spark.createDataFrame(rows, "header string, flag int, rname string, pos int, cigar string, seq string")
+    t = SeqTable.from_df(df)
+    assert {(r.read_id, r.seqs) for r in t.strings_with_insertions().collect()} == {("h1/1", "ATCTggTTAT"), ("h1/2", "CCCC--CCCC")}
+    shown = t.with_insertions(quality=False).where("read_id = 'h1/1' and loc < 0").orderBy("loc").collect()
+    assert [(r.position, r.loc, r.base) for r in shown] == [(5, -2, "g"), (5, -1, "g")]
