@@ -50,49 +50,60 @@ def shaped(v: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 class Lanes:
-    """Documents (arrays of symbols) laid into lanes of falling length."""
+    """Documents (arrays of symbols) laid into lanes of falling length.
+
+    What the lanes meet at one step lies side by side, only as far as lanes still run, so all
+    arrays are as long as the documents together, however long one of them is."""
 
     def __init__(self, docs: list[np.ndarray], end: int, lanes: int = LANES):
+        sizes = np.array([len(d) for d in docs], np.int64)
         heap = [(0, k) for k in range(min(lanes, max(1, len(docs))))]
         held: list[list[int]] = [[] for _ in heap]
-        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        for i in np.argsort(-sizes, kind="stable").tolist():
             n, k = heapq.heappop(heap)
             held[k].append(i)
             heapq.heappush(heap, (n + len(docs[i]), k))
-        held.sort(key=lambda x: -sum(len(docs[i]) for i in x))
-        self.length = np.array([sum(len(docs[i]) for i in x) for x in held])
-        steps = int(self.length[0])
-        self.target = np.zeros((steps, len(held)), np.int32)
-        self.source = np.full((steps, len(held)), end, np.int32)
-        self.fresh = np.zeros((steps, len(held)), bool)
-        self.doc = np.zeros((steps, len(held)), np.int32)
-        for k, lane in enumerate(held):
+        length = np.array([sizes[x].sum() if x else 0 for x in held], np.int64)
+        order = np.argsort(-length, kind="stable")
+        length = length[order]
+        self.width, self.steps = len(held), int(length[0])
+        #: How many lanes run at each step, and where the step's values begin.
+        self.active = np.searchsorted(-length, -np.arange(self.steps), side="left")
+        self.start = np.concatenate([[0], np.cumsum(self.active)])
+        total = int(self.start[-1])
+        self.target, self.source = np.zeros(total, np.int32), np.full(total, end, np.int32)
+        self.fresh, self.doc = np.zeros(total, bool), np.zeros(total, np.int32)
+        for k, lane in enumerate(order.tolist()):
             at = 0
-            for i in lane:
+            for i in held[lane]:
                 d = docs[i]
-                self.target[at : at + len(d), k] = d
-                self.source[at + 1 : at + len(d), k] = d[:-1]
-                self.fresh[at, k] = True
-                self.doc[at : at + len(d), k] = i
+                if not len(d):
+                    continue
+                places = self.start[at : at + len(d)] + k
+                self.target[places] = d
+                self.source[places[1:]] = d[:-1]
+                self.fresh[places[0]] = True
+                self.doc[places] = i
                 at += len(d)
 
     def windows(self, steps: int = STEPS):
         """(first step, lanes still running at each step of the window)"""
-        for s in range(0, len(self.target), steps):
-            e = min(s + steps, len(self.target))
-            yield s, np.searchsorted(-self.length, -np.arange(s, e), side="left").tolist()
+        for s in range(0, self.steps, steps):
+            yield s, self.active[s : s + steps].tolist()
 
 
 def _forward(p, lanes: Lanes, s: int, active: list[int], h: np.ndarray, keep: bool):
     """States of a window, (HIDDEN + 1) x tokens, the last row of ones; a lane is a column, so that gates are whole rows."""
     U, H = np.ascontiguousarray(p["U"].T), HIDDEN
     state = np.ones((H + 1, sum(active)), _F)  # the ones meet the biases
-    tape, at = [], 0
-    for t, n in enumerate(active, s):
+    tape, at, first = [], 0, int(lanes.start[s])
+    for n in active:
         h = h[:, :n]
-        if lanes.fresh[t, :n].any():
-            h = h * ~lanes.fresh[t, :n]
-        x = np.ascontiguousarray(p["X"].take(lanes.source[t, :n], 0).T)
+        now = slice(first + at, first + at + n)
+        fresh = lanes.fresh[now]
+        if fresh.any():
+            h = h * ~fresh
+        x = np.ascontiguousarray(p["X"].take(lanes.source[now], 0).T)
         a = U @ h
         g = x[: 2 * H] + a[: 2 * H]
         np.negative(g, g)
@@ -115,7 +126,7 @@ def _forward(p, lanes: Lanes, s: int, active: list[int], h: np.ndarray, keep: bo
 
 
 def _symbols(lanes, s, active, what):
-    return np.concatenate([what[t, :n] for t, n in enumerate(active, s)])
+    return what[lanes.start[s] : lanes.start[s + len(active)]]
 
 
 def _exponentials(state, weights):
@@ -172,7 +183,7 @@ def log_likelihood(p, docs: list[np.ndarray], end: int) -> np.ndarray:
         return total
     lanes = Lanes(docs, end, _WIDE)
     classes, inner = _joined(p)
-    h = np.zeros((HIDDEN, lanes.target.shape[1]), _F)
+    h = np.zeros((HIDDEN, lanes.width), _F)
     width = p["W"].shape[2]
     for s, active in lanes.windows():
         h, state, _ = _forward(p, lanes, s, active, h, False)
@@ -198,7 +209,7 @@ class Trainer:
 
     def learn(self, docs: list[np.ndarray], end: int) -> None:
         lanes = Lanes(docs, end)
-        h = np.zeros((HIDDEN, lanes.target.shape[1]), _F)
+        h = np.zeros((HIDDEN, lanes.width), _F)
         for s, active in lanes.windows():
             h, state, tape = _forward(self.p, lanes, s, active, h, True)
             self._update(lanes, s, active, state, tape)
@@ -243,7 +254,7 @@ class Trainer:
             before[:, at] = h
             back = U @ da[:, at]
             back += dh * z
-            fresh = lanes.fresh[s + i, : active[i]]
+            fresh = lanes.fresh[lanes.start[s + i] : lanes.start[s + i + 1]]
             if fresh.any():
                 back *= ~fresh
         g["U"] = before @ da.T
