@@ -1,8 +1,8 @@
 """A gated recurrent language model with a class-factored softmax, in numpy.
 
-Symbols 0..K-1 are frequent words, as many in a class as ``W`` is wide; symbols from K on are tail
-classes, which stand for all their words.  p(symbol) = p(class) * p(word | class); a
-tail class has no second factor here, its words share it by their counts elsewhere.
+Symbols 0..K-1 are frequent words; symbols from K on stand for all words of a tail, which
+share it by their counts elsewhere.  Symbols lie in classes of one width, about the root of
+their number, so that both factors of p(symbol) = p(class) * p(symbol | class) are short.
 
 Documents run in lanes, side by side; a lane that ends one begins the next with a fresh
 state.  Training cuts the gradient every ``STEPS`` tokens but keeps the state.
@@ -11,6 +11,7 @@ state.  Training cuts the gradient every ``STEPS`` tokens but keeps the state.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
@@ -20,20 +21,26 @@ _ROWS = 512  # whose class scores stay in a core's cache
 _F = np.float32
 
 
-def initial(word_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 1, width: int = CLASS) -> dict[str, np.ndarray]:
-    """Weights whose biases alone give the unigram distribution; ``word_counts`` fill whole classes."""
+def width_of(symbols: int) -> int:
+    """Symbols in a class: about the root of their number, in steps of 16."""
+    return max(CLASS, -(-math.isqrt(symbols) // 16) * 16)
+
+
+def initial(word_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 1, width: int | None = None) -> dict[str, np.ndarray]:
+    """Weights whose biases alone give the unigram distribution; places without a symbol have a chance of e^-30."""
     rng = np.random.default_rng(seed)
-    words, tails = len(word_counts), len(tail_counts)
-    heads = words // width
-    grid = word_counts.reshape(heads, width) + 0.5
-    classes = np.concatenate([grid.sum(1), tail_counts + 0.5])
+    counts = np.concatenate([word_counts, tail_counts]) + 0.5
+    width = width or width_of(len(counts))
+    heads = -(-len(counts) // width)
+    grid = np.concatenate([counts, np.zeros(heads * width - len(counts))]).reshape(heads, width)
+    classes = grid.sum(1)
     return {
-        "X": (rng.standard_normal((words + tails, 3 * HIDDEN)) * 0.3).astype(_F),
+        "X": (rng.standard_normal((len(counts), 3 * HIDDEN)) * 0.3).astype(_F),
         "U": (rng.standard_normal((HIDDEN, 3 * HIDDEN)) * 0.25).astype(_F),
-        "C": (rng.standard_normal((HIDDEN, heads + tails)) * 0.02).astype(_F),
+        "C": (rng.standard_normal((HIDDEN, heads)) * 0.02).astype(_F),
         "c": np.log(classes / classes.sum()).astype(_F),
         "W": (rng.standard_normal((heads, HIDDEN, width)) * 0.02).astype(_F),
-        "w": np.log(grid / grid.sum(1, keepdims=True)).astype(_F),
+        "w": np.log(np.maximum(grid / classes[:, None], math.exp(-30))).astype(_F),
     }
 
 
@@ -163,17 +170,12 @@ def _descend(state, weights, picked, ds):
     return (state * share) @ e
 
 
-def _heads(p, kind):
-    """Rows of head classes in the order of their class, and each class's stretch: (rows, [(class, begin, end)])."""
-    heads = len(p["W"])
-    rows = np.argsort(kind.astype(np.int16 if heads + len(p["c"]) < 1 << 15 else np.int32), kind="stable")
-    bounds = np.searchsorted(kind[rows], np.arange(heads + 1)).tolist()
-    return rows[: bounds[-1]], [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
-
-
-def _class_of(p, target):
-    heads, _, width = p["W"].shape
-    return np.where(target < heads * width, target // width, target - heads * width + heads)
+def _by_class(p, kind):
+    """Rows in the order of their class, and each class's stretch: (rows, [(class, begin, end)])."""
+    classes = len(p["W"])
+    rows = np.argsort(kind.astype(np.int16 if classes < 1 << 15 else np.int32), kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=classes))]).tolist()
+    return rows, [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
 
 
 def log_likelihood(p, docs: list[np.ndarray], end: int) -> np.ndarray:
@@ -188,10 +190,10 @@ def log_likelihood(p, docs: list[np.ndarray], end: int) -> np.ndarray:
     for s, active in lanes.windows():
         h, state, _ = _forward(p, lanes, s, active, h, False)
         target = _symbols(lanes, s, active, lanes.target)
-        kind, score = _class_of(p, target), np.empty(len(target), _F)
+        kind, score = target // width, np.empty(len(target), _F)
         for i in range(0, len(target), _ROWS):
             score[i : i + _ROWS] = _log_softmax(state[:, i : i + _ROWS], classes, kind[i : i + _ROWS])
-        rows, stretches = _heads(p, kind)
+        rows, stretches = _by_class(p, kind)
         state, word, part = state.take(rows, 1), target[rows] % width, np.empty(len(rows), _F)
         for k, a, b in stretches:
             part[a:b] = _log_softmax(state[:, a:b], inner[k], word[a:b])
@@ -219,11 +221,11 @@ class Trainer:
         target = _symbols(lanes, s, active, lanes.target)
         n = len(target)
         classes, inner = _joined(p)
-        kind, both, ds = _class_of(p, target), np.zeros_like(classes), np.empty((H, n), _F)
+        kind, both, ds = target // inner.shape[2], np.zeros_like(classes), np.empty((H, n), _F)
         for i in range(0, n, _ROWS):
             both += _descend(state[:, i : i + _ROWS], classes, kind[i : i + _ROWS], ds[:, i : i + _ROWS])
         words = np.zeros_like(inner)
-        rows, stretches = _heads(p, kind)
+        rows, stretches = _by_class(p, kind)
         mine, word, part = state.take(rows, 1), target[rows] % inner.shape[2], np.empty((H, len(rows)), _F)
         for k, a, b in stretches:
             words[k] = _descend(mine[:, a:b], inner[k], word[a:b], part[:, a:b])

@@ -7,9 +7,10 @@
    from the current weights on what they hold, and their weights are averaged, by
    tokens, in groups of at most ``GROUP`` until one is left.  The most frequent words are
    symbols, ``SHORT`` at least and more as the vocabulary grows (``sizes``); all others
-   belong to tail classes, by their last bytes, and share a class by their counts, so the
-   model gives every word, and unknown ones, a probability.
-3. Documents are scored whole, the state carried from window to window.
+   belong to tails, by their last bytes, which are symbols too, and share one by their counts,
+   so the model gives every word, and unknown ones, a probability.
+3. Documents are scored whole, the state carried from window to window; the model works in
+   single precision, so its part of a score has six decimals.
 
 Counts of at most ``HEAD`` words are broadcast.  Words beyond meet their counts in a
 join, so vocabularies of any size are exact.
@@ -72,14 +73,14 @@ def tail_of(word: bytes, tails: int) -> int:
 
 
 def sizes(distinct: int, head: int) -> tuple[int, int]:
-    """Symbols, and words in a class, of a vocabulary: four times its root, in square classes.
+    """Symbols and tails of a vocabulary: four times its root, and at least the root of the symbols.
 
-    There are as many tail classes as words in a class.  A vocabulary too small for one class leaves places in it empty."""
+    Symbols come in multiples of the tails; a vocabulary too small for one leaves places empty."""
     symbols = min(max(SHORT, 4 * math.isqrt(distinct)), head)
-    width = gru.CLASS
-    while width * width < symbols:
-        width *= 2
-    return max(1, symbols // width) * width, width
+    tails = gru.CLASS
+    while tails * tails < symbols:
+        tails *= 2
+    return max(1, symbols // tails) * tails, tails
 
 
 def held_out(ident: str):
@@ -250,7 +251,7 @@ def _score(vocabulary, weights):
             yield pa.RecordBatch.from_arrays(
                 [chunk.column(i) for i in range(1, chunk.num_columns)]
                 + [pa.array(np.arange(k, k + n)), pa.array([part] * n, pa.int32()), pa.array(sizes.astype(np.int64)), pa.array(np.bincount(doc[known], minlength=n).astype(np.int64)), pa.array(base),
-                   pa.array((spread + model).astype(np.float64)), other, pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))],
+                   pa.array(np.round((spread + model).astype(np.float64), 6)), other, pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))],
                 names=[*chunk.schema.names[1:], "__k", "__part", "n_tokens", "__known", "__base", "__model", "__words", "__times"])
             k += n
 
@@ -291,7 +292,7 @@ def score(docs: DataFrame, *, text="text", ident="doc_id", rounds: int = 2, keep
     shared = spark.sparkContext.broadcast(v)
     counted = np.zeros(v.symbols)
     counted[: len(v.counts)] = v.counts[: v.symbols]
-    weights = gru.initial(counted, v.tail_total.astype(float), width=v.tails)
+    weights = gru.initial(counted, v.tail_total.astype(float))
     for r in range(rounds):
         mine = training.where(F.pmod(F.xxhash64(col, common.q(ident)), F.lit(rounds)) == r).select(col.alias("t"))
         parts = mine.mapInArrow(_train(shared, spark.sparkContext.broadcast(weights)), _SCHEMA)
