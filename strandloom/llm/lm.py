@@ -40,7 +40,8 @@ from strandloom.llm import common, gru
 END = b"\n"  # can't be a word
 HEAD, SHORT, GROUP = 1 << 18, 1024, 32
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BATCH = 32 << 20
+_BATCH = 32 << 20  # bytes of text that the model takes at a time
+_PART = 16 << 20  # and of those, that are split into words at a time
 _HELD = 64 << 20  # bytes of weights that meet in a reducer
 
 
@@ -54,10 +55,12 @@ def tokenised(column) -> tuple[pa.Array, np.ndarray]:
     lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts))
     flat = lists.flatten().cast(pa.binary())
     full = np.asarray(pa.compute.greater(pa.compute.binary_length(flat), 0))
-    owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+    edges = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    sizes = np.diff(edges).astype(np.int64)
     if not full.all():  # around the text's first and last word
-        flat, owner = flat.filter(pa.array(full)), owner[full]
-    return flat, np.bincount(owner, minlength=len(texts))
+        sizes -= np.bincount(np.searchsorted(edges, np.flatnonzero(~full), side="right") - 1, minlength=len(texts))
+        flat = flat.filter(pa.array(full))
+    return flat, sizes
 
 
 def _pieces(column: pa.Array) -> list[bytes]:
@@ -143,20 +146,21 @@ class Vocabulary:
 
     def ids(self, tokens: list[bytes]) -> np.ndarray:
         """Head numbers; -1 - tail class for other words."""
-        return np.fromiter(map(self.table.__getitem__, tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.table.__getitem__, tokens), np.int32, len(tokens))
 
     def model_symbols(self, ids) -> np.ndarray:
         return self.symbol[ids]
 
     def read(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Of all texts end to end, each closed by the end token: ids of the tokens, their places in the chunk's
+        """Of all texts end to end, each closed by the end token: ids of the tokens, their places in the
         dictionary, tokens of each text, and the dictionary.  Each distinct word is looked up once."""
         flat, sizes = tokenised(column)
         coded = flat.dictionary_encode()
+        del flat  # the words' bytes; from here on tokens are numbers
         dictionary = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
         known = self.ids(_pieces(dictionary))
         sizes = sizes + 1
-        place = np.full(int(sizes.sum()), len(dictionary) - 1, np.int64)
+        place = np.full(int(sizes.sum()), len(dictionary) - 1, np.int32)
         word = np.ones(len(place), bool)
         word[np.cumsum(sizes) - 1] = False
         place[word] = np.asarray(coded.indices)
@@ -178,6 +182,12 @@ def _chunks(batches, column=0):
             yield batch.slice(start, stop - start)
 
 
+def _parts(column):
+    """The texts of a chunk bit by bit: the model takes a chunk's tokens as numbers, but their words never lie open all at once."""
+    for start, stop in common.slices(column, _PART):
+        yield column.slice(start, stop - start)
+
+
 def _train(vocabulary, weights):
     """One task's weights after its documents: (group, tokens, weights * tokens)."""
 
@@ -185,10 +195,13 @@ def _train(vocabulary, weights):
         v = vocabulary.value.open()
         trainer = gru.Trainer({k: x.copy() for k, x in weights.value.items()})
         seen = 0
-        for part in _chunks(batches):
-            ids, _, sizes, _ = v.read(part.column(0))
-            seen += len(ids)
-            trainer.learn(np.split(v.model_symbols(ids), np.cumsum(sizes)[:-1]), v.end)
+        for chunk in _chunks(batches):
+            docs = []
+            for texts in _parts(chunk.column(0)):
+                ids, _, sizes, _ = v.read(texts)
+                seen += len(ids)
+                docs += np.split(v.model_symbols(ids), np.cumsum(sizes)[:-1])
+            trainer.learn(docs, v.end)
         if seen:
             yield _weights([(TaskContext.get().partitionId(), seen, gru.flat(trainer.p).astype(np.float64) * seen)])
 
@@ -228,32 +241,42 @@ def averaged(parts: DataFrame, tasks: int, like):
 def _score(vocabulary, weights):
     """(held_out..., text) -> a row per document, with the words that the head doesn't have."""
 
+    def counted(v, texts, logs, share):
+        """Each text's symbols, and by text: tokens, those in the head, their base score, what tails add, other words and how often."""
+        ids, place, sizes, dictionary = v.read(texts)
+        n = len(sizes)
+        symbols, doc = v.model_symbols(ids), np.repeat(np.arange(n, dtype=np.int32), sizes)
+        known, tail = ids >= 0, symbols >= v.symbols
+        base = np.bincount(doc[known], logs[ids[known]], n).astype(np.float64)
+        inner = known & tail
+        spread = np.bincount(doc[inner], logs[ids[inner]], n) - np.bincount(doc[tail], share[symbols[tail] - v.symbols], n)
+        # Words beyond the head, each once for a document.
+        rest, times = np.unique(doc[~known].astype(np.int64) * len(dictionary) + place[~known], return_counts=True)
+        offsets = pa.array(np.searchsorted(rest, np.arange(n + 1, dtype=np.int64) * len(dictionary)), pa.int32())
+        other = pa.ListArray.from_arrays(offsets, dictionary.take(pa.array(rest % len(dictionary))))
+        return (np.split(symbols, np.cumsum(sizes)[:-1]),
+                (sizes, np.bincount(doc[known], minlength=n).astype(np.int64), base, spread, other, pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))))
+
     def run(batches):
         v = vocabulary.value.open()
         logs = np.log10(v.counts + 0.5)
         share = np.log10(v.tail_total + 0.5 * (v.tail_kinds + 1))
         part, k = TaskContext.get().partitionId(), 0
         for chunk in _chunks(batches):
-            ids, place, sizes, dictionary = v.read(chunk.column(0))
-            n = len(sizes)
-            if not n:
-                continue
-            symbols, doc = v.model_symbols(ids), np.repeat(np.arange(n), sizes)
-            known, tail = ids >= 0, symbols >= v.symbols
-            base = np.bincount(doc[known], logs[ids[known]], n).astype(np.float64)
-            inner = known & tail
-            spread = np.bincount(doc[inner], logs[ids[inner]], n) - np.bincount(doc[tail], share[symbols[tail] - v.symbols], n)
-            # Words beyond the head, each once for a document.
-            rest, times = np.unique(doc[~known] * np.int64(len(dictionary)) + place[~known], return_counts=True)
-            offsets = pa.array(np.searchsorted(rest, np.arange(n + 1) * np.int64(len(dictionary))), pa.int32())
-            other = pa.ListArray.from_arrays(offsets, dictionary.take(pa.array(rest % len(dictionary))))
-            model = gru.log_likelihood(weights.value, np.split(symbols, np.cumsum(sizes)[:-1]), v.end) / math.log(10)
-            yield pa.RecordBatch.from_arrays(
-                [chunk.column(i) for i in range(1, chunk.num_columns)]
-                + [pa.array(np.arange(k, k + n)), pa.array([part] * n, pa.int32()), pa.array(sizes.astype(np.int64)), pa.array(np.bincount(doc[known], minlength=n).astype(np.int64)), pa.array(base),
-                   pa.array(np.round((spread + model).astype(np.float64), 6)), other, pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))],
-                names=[*chunk.schema.names[1:], "__k", "__part", "n_tokens", "__known", "__base", "__model", "__words", "__times"])
-            k += n
+            docs, rows, at = [], [], 0
+            for texts in _parts(chunk.column(0)):
+                symbols, made = counted(v, texts, logs, share)
+                docs += symbols
+                rows.append(made)
+            model = gru.log_likelihood(weights.value, docs, v.end) / math.log(10)
+            del docs
+            for sizes, known, base, spread, other, times in rows:
+                n = len(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [chunk.column(i).slice(at, n) for i in range(1, chunk.num_columns)]
+                    + [pa.array(np.arange(k, k + n)), pa.array([part] * n, pa.int32()), pa.array(sizes), pa.array(known), pa.array(base), pa.array(np.round(spread + model[at : at + n], 6)), other, times],
+                    names=[*chunk.schema.names[1:], "__k", "__part", "n_tokens", "__known", "__base", "__model", "__words", "__times"])
+                k, at = k + n, at + n
 
     return run
 

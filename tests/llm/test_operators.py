@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +136,34 @@ def test_rare_words_meet_their_counts_in_a_join(docs, monkeypatch):
     assert {r.doc_id: round(r.base_score, 6) for r in lm.score(docs).collect()} == full
 
 
+def test_a_task_of_the_model_holds_little_beside_its_texts(monkeypatch):
+    """Scoring needs a few bytes for each token of a chunk: words lie open in parts, tokens are short numbers."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(vocab, k=500)) for _ in range(3000)]
+    counts = Counter(w.encode() for t in texts for w in t.split())
+    counts[lm.END] = len(texts)
+    head = sorted(counts.items(), key=lambda x: -x[1])
+    v = lm.Vocabulary(head, 1024, sum(counts.values()), len(counts), (np.ones(32, np.int64), np.ones(32, np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["t", "in_0"])
+    tokens = sum(counts.values())
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(gru, "log_likelihood", lambda p, docs, end: (np.zeros(len(docs)), gru.Lanes(docs, end, 1024))[0])
+    monkeypatch.setattr(lm, "_PART", 1 << 20, raising=False)
+    score = lm._score(SimpleNamespace(value=v), SimpleNamespace(value=None))
+    rows = [r for b in score([batch.slice(0, 10)]) for r in b.to_pylist()]  # opens the vocabulary
+    tracemalloc.start()
+    try:
+        made = list(score([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = [r for b in made for r in b.to_pylist()]
+    assert [r["in_0"] for r in got] == [r["__k"] for r in got] == list(range(3000)) and [r["__base"] for r in got[:10]] == [r["__base"] for r in rows]
+    assert sum(r["n_tokens"] for r in got) == tokens == sum(r["__known"] for r in got)
+    assert peak < 32 * tokens, peak / tokens
+
+
 def test_model_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     counts, tails = rng.integers(1, 50, 64).astype(float), rng.integers(1, 50, 4).astype(float)
