@@ -45,15 +45,26 @@ def stack(tables: list[tuple[DataFrame, TableInfo]], *, renumber=True, duplicate
     return out.drop("table_ord"), _info(infos, first, last)
 
 
-def _numbered(df: DataFrame, slices: int = 4096) -> DataFrame:
-    """Ids 1.. in (table_ord, read_ord) order by ranges: a prefix sum over range counts, no single sorted partition."""
-    order = df.repartitionByRange("table_ord", "read_ord").withColumn("__part", F.spark_partition_id())
-    local = order.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy("table_ord", "read_ord")))
-    sizes = local.groupBy("__part").agg(F.count("*").alias("__n"))
-    base = sizes.withColumn("__base", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")  # one row per partition
-    out = local.join(F.broadcast(base), "__part")
+_DRAWN = 8  # keys drawn for each slice
+
+
+def _numbered(df: DataFrame, slices: int = 1024) -> DataFrame:
+    """Ids 1.. in (table_ord, read_ord) order by slices: a prefix sum over their counts, no single sorted partition.
+    Keys alone decide their slice, so counts and rows agree, whatever partitions either is planned with."""
+    key = F.struct("table_ord", "read_ord")
+    share = F.lit(float(_DRAWN * slices)) / F.greatest(df.agg(F.count("*")).scalar(), F.lit(1))
+    drawn = df.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 53)) < share * F.lit(float(1 << 53))).distinct()
+    bounds = drawn.agg(F.filter(F.array_sort(F.collect_list("k")), lambda k, i: i % _DRAWN == 0)).scalar()
+    cut = df.withColumn("__slice", F.lit(0))
+    for bit in reversed(range((2 * slices - 1).bit_length())):  # how many bounds are at most the key, by halves
+        end = F.col("__slice") + (1 << bit)
+        cut = cut.withColumn("__slice", F.when(F.get(bounds, end - 1) <= key, end).otherwise(F.col("__slice")))
+    local = cut.withColumn("__i", F.row_number().over(Window.partitionBy("__slice").orderBy("table_ord", "read_ord")))
+    sizes = cut.groupBy("__slice").agg(F.count("*").alias("__n"))
+    base = sizes.withColumn("__base", F.sum("__n").over(Window.orderBy("__slice")) - F.col("__n")).drop("__n")  # one row per slice
+    out = local.join(F.broadcast(base), "__slice")
     number = (F.col("__base") + F.col("__i")).cast("long")
-    return out.withColumns({"read_id": number, "read_ord": number}).drop("__part", "__i", "__base")
+    return out.withColumns({"read_id": number, "read_ord": number}).drop("__slice", "__i", "__base")
 
 
 def resolve(df: DataFrame, duplicates: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import align, logo
 from strandloom.operators.table import SeqTable, merge_tables
-from strandloom.schema import TableInfo
+from strandloom.schema import INSERTIONS, TableInfo
 
 SIX = ["ACGT", "AAAA", "ATGA", "ATCG", "CCCC", "GGGG"]
 
@@ -154,6 +155,25 @@ def test_merge(spark):
         merge_tables([a, SeqTable.from_list(spark, ["MK"], seq_type="AA")])
 
 
+def test_merge_numbers_many_partitions(spark):
+    n = 20_000
+    # So that counts and rows are coalesced unlike each other.
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        order = F.struct(F.col("id") % 7, "id")  # keys may be of any type
+        df = spark.range(n).select(F.col("id").alias("read_id"), order.alias("read_ord"), F.md5(F.col("id").cast("string")).alias("seq"), F.repeat(F.lit("I"), F.lit(32)).alias("qual"), F.array().cast(INSERTIONS).alias("insertions"))
+        t = SeqTable(df, TableInfo(first=1, last=32))
+        rows = merge_tables([t, t]).df.select("read_id", "seq").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = [hashlib.md5(str(i).encode()).hexdigest() for i in sorted(range(n), key=lambda i: (i % 7, i))] * 2
+    assert sorted((r.read_id, r.seq) for r in rows) == list(enumerate(want, 1))
+
+
 def test_mutations(six):
     t = six.ts_tv_profile("ACGT").first()
     m = {(r.ref_base, r.read_base): r.value for r in six.mutation_profile("ACGT").collect()}
