@@ -17,6 +17,7 @@ from strandloom.operators.dist import cells, checked, counts, dense, runs
 from strandloom.schema import TRANSITIONS, TableInfo
 
 MOST_REFERENCES = 100_000
+_PAIRS = 20_000_000  # of a task
 
 
 def reference_table(spark, seqs, info: TableInfo, positions=None, ids=None) -> tuple[DataFrame, list[int]]:
@@ -58,7 +59,7 @@ def is_match(a: Column, b: Column, flip=False, treat=(), ignore=()) -> Column:
     return F.when(~(a.isin(*ignore) | b.isin(*ignore)), same) if ignore else same
 
 
-def _pairs(df, info, seqs, wanted=None, ref_positions=None, set_diff=False, ids=None, keep=("read_id",)):
+def _pairs(df, info, seqs, wanted=None, ref_positions=None, set_diff=False, ids=None, keep=("read_id",), tasks=None):
     refs, where = reference_table(df.sparkSession, seqs, info, ref_positions, ids)
     positions = shared(info, where, wanted, set_diff)
     at = {p: i for i, p in enumerate(where)}
@@ -69,7 +70,12 @@ def _pairs(df, info, seqs, wanted=None, ref_positions=None, set_diff=False, ids=
         letters = F.array(*(F.substring("ref", at[p] + 1, 1) for p in positions))
     refs = refs.select("ref_id", letters.alias("__r"))
     reads = df.select(*keep, pick(F.col("seq"), info.first, positions).alias("__s"))
-    return reads.crossJoin(F.broadcast(refs)), positions
+    return _dealt(reads, tasks).crossJoin(F.broadcast(refs)), positions
+
+
+def _dealt(reads: DataFrame, tasks: int | None) -> DataFrame:
+    """For many references: a small file would be one task, and generated code would build a read's letters anew for each pair."""
+    return reads if tasks is None else reads.repartition(tasks)
 
 
 def compare(df, info, seqs, positions=None, *, ref_positions=None, set_diff=False, flip=False, ignore=(), treat=(), ids=None) -> DataFrame:
@@ -81,35 +87,39 @@ def compare(df, info, seqs, positions=None, *, ref_positions=None, set_diff=Fals
     return out.select("read_id", "ref_id", "position", is_match(F.col("a"), F.col("b"), flip, treat, ignore).alias("is_match"))
 
 
-_LOW_BITS = 0x0101010101010101
-_INLINE = 64  # blocks of 8 letters compared in generated code; longer reads fold over arrays
+_LETTERS = 7  # in a block: no sum below leaves 63 bits
+_SEVENS, _EIGHTS = int("7f" * _LETTERS, 16), int("80" * _LETTERS, 16)
+_INLINE = 64  # blocks compared in generated code; longer reads fold over arrays
 
 
 def _blocks(seq: Column, n: int) -> list[Column]:
-    """Eight ASCII letters to a 64-bit number."""
-    return [F.conv(F.hex(F.substring(seq, i + 1, 8)), 16, 10).cast("long") for i in range(0, n, 8)]
+    """Seven ASCII letters to a number."""
+    return [F.conv(F.hex(F.substring(seq, i + 1, _LETTERS)), 16, 10).cast("long") for i in range(0, n, _LETTERS)]
 
 
 def _unequal_bytes(a: Column, b: Column) -> Column:
-    x = a.bitwiseXOR(b)
-    for k in (4, 2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-    return F.bit_count(x.bitwiseAND(F.lit(_LOW_BITS))).cast("long")
+    return F.bit_count((a.bitwiseXOR(b) + F.lit(_SEVENS)).bitwiseAND(F.lit(_EIGHTS)))
 
 
-def _packed_hamming(df, info, seqs, wanted, ref_positions, set_diff, ids) -> DataFrame:
-    """Plain mismatches, eight letters at a time."""
+def _packed_hamming(df, info, seqs, wanted, ref_positions, set_diff, ids, tasks=None) -> DataFrame:
+    """Plain mismatches, seven letters at a time."""
     refs, where = reference_table(df.sparkSession, seqs, info, ref_positions, ids)
     positions = shared(info, where, wanted, set_diff)
     at = {p: i for i, p in enumerate(where)}
     mine = F.concat(*(F.substring("seq", a - info.first + 1, b - a + 1) for a, b in runs(positions))) if positions else F.lit("")
     theirs = F.concat(*(F.substring("ref", at[a] + 1, b - a + 1) for a, b in _joint_runs(positions, at))) if positions else F.lit("")
     n = len(positions)
-    reads = df.select("read_id", F.array(*_blocks(mine, n)).alias("__s") if n else F.array().cast("array<long>").alias("__s"))
-    refs = refs.select("ref_id", F.array(*_blocks(theirs, n)).alias("__r") if n else F.array().cast("array<long>").alias("__r"))
-    both = reads.crossJoin(F.broadcast(refs))
-    if n <= 8 * _INLINE:
-        distance = sum((_unequal_bytes(F.get("__s", i), F.get("__r", i)) for i in range(-(-n // 8))), F.lit(0).cast("long"))
+    inline = n <= _LETTERS * _INLINE
+
+    def packed(text, name):
+        if inline:
+            return [c.alias(f"{name}{i}") for i, c in enumerate(_blocks(text, n))]
+        return [F.array(*_blocks(text, n)).alias(name)]
+
+    reads = _dealt(df.select("read_id", *packed(mine, "__s")), tasks)
+    both = reads.crossJoin(F.broadcast(refs.select("ref_id", *packed(theirs, "__r"))))
+    if inline:
+        distance = sum((_unequal_bytes(F.col(f"__s{i}"), F.col(f"__r{i}")) for i in range(-(-n // _LETTERS))), F.lit(0)).cast("long")
     else:
         distance = F.aggregate(F.zip_with("__s", "__r", _unequal_bytes), F.lit(0).cast("long"), lambda a, x: a + x)
     return both.select("read_id", "ref_id", distance.alias("distance"))
@@ -126,11 +136,11 @@ def _joint_runs(positions: list[int], at: dict[int, int]) -> list[tuple[int, int
     return [(a, b) for a, b in out]
 
 
-def hamming(df, info, seqs, positions=None, *, ref_positions=None, set_diff=False, ignore=(), treat=(), normalized=False, ids=None) -> DataFrame:
+def hamming(df, info, seqs, positions=None, *, ref_positions=None, set_diff=False, ignore=(), treat=(), normalized=False, ids=None, tasks=None) -> DataFrame:
     """(read_id, ref_id, distance): mismatches, or their share of the comparable bases."""
     if not (ignore or treat or normalized):
-        return _packed_hamming(df, info, seqs, positions, ref_positions, set_diff, ids)
-    both, _ = _pairs(df, info, seqs, positions, ref_positions, set_diff, ids)
+        return _packed_hamming(df, info, seqs, positions, ref_positions, set_diff, ids, tasks)
+    both, _ = _pairs(df, info, seqs, positions, ref_positions, set_diff, ids, tasks=tasks)
     miss = F.zip_with("__s", "__r", lambda a, b: is_match(a, b, True, treat, ignore))
     n = F.size(F.filter(miss, lambda x: x)).cast("long")
     if normalized:
@@ -146,11 +156,12 @@ def pairwise(df, info, other: DataFrame, positions=None, *, one_hot=False) -> Da
     if not rows:
         return df.select("read_id", F.col("read_id").alias("other_id"), F.lit(0).cast("long").alias("distance")).limit(0)
     seqs, ids = [r.seq for r in rows], [r.read_id for r in rows]
+    tasks = max(1, -(-df.count() * len(rows) // _PAIRS))
     if one_hot:
-        both, _ = _pairs(df, info, seqs, positions, ids=ids)
+        both, _ = _pairs(df, info, seqs, positions, ids=ids, tasks=tasks)
         miss = F.filter(F.zip_with("__s", "__r", lambda a, b: (a != b) | ~a.isin(*"ACGT")), lambda x: x)
         return both.select("read_id", F.col("ref_id").alias("other_id"), F.size(miss).cast("long").alias("distance"))
-    return hamming(df, info, seqs, positions, ids=ids).withColumnRenamed("ref_id", "other_id")
+    return hamming(df, info, seqs, positions, ids=ids, tasks=tasks).withColumnRenamed("ref_id", "other_id")
 
 
 def error_rate(df, info, seqs, positions=None, **options) -> DataFrame:

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import align, logo
+from strandloom.operators import align, compare, logo
 from strandloom.operators.table import SeqTable, merge_tables
 from strandloom.schema import INSERTIONS, TableInfo
 
@@ -145,6 +145,20 @@ def test_slices_and_insertions(spark, aligned):
     assert SeqTable.from_df(aligned).with_insertions(least=1).where("loc < 0").count() == 0
 
 
+def test_pairs_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(compare, "_PAIRS", 100)
+    seqs = ["".join("ACGT"[i * i * k % 7 % 4] for i in range(1, 24)) for k in range(1, 41)]
+    t = SeqTable.from_list(spark, seqs)
+    for one_hot in (False, True):
+        found = compare.pairwise(t.df.coalesce(1), t.info, t.df, one_hot=one_hot)
+        assert found.rdd.getNumPartitions() == 16  # one file is not one task
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        exchange = plan.index("Exchange RoundRobin")  # letters are packed below it, once for a read
+        assert not any(x in plan[:exchange] for x in ("conv(", "split("))
+        assert {(r.read_id, r.other_id): r.distance for r in found.collect()} == {
+            (i, j): sum(x != y for x, y in zip(a, b, strict=True)) for i, a in enumerate(seqs, 1) for j, b in enumerate(seqs, 1)}
+
+
 def test_merge(spark):
     a, b = SeqTable.from_list(spark, ["ACG", "AAA"], ["III", "III"]), SeqTable.from_list(spark, ["TT"], ["55"], pos=3)
     m = merge_tables([a, b])
