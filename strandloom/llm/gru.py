@@ -10,6 +10,7 @@ state.  Training cuts the gradient every ``STEPS`` tokens but keeps the state.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 
@@ -104,13 +105,14 @@ def _forward(p, lanes: Lanes, s: int, active: list[int], h: np.ndarray, keep: bo
     U, H = np.ascontiguousarray(p["U"].T), HIDDEN
     state = np.ones((H + 1, sum(active)), _F)  # the ones meet the biases
     tape, at, first = [], 0, int(lanes.start[s])
+    xs = np.ascontiguousarray(p["X"].take(_symbols(lanes, s, active, lanes.source), 0).T)
     for n in active:
         h = h[:, :n]
         now = slice(first + at, first + at + n)
         fresh = lanes.fresh[now]
         if fresh.any():
             h = h * ~fresh
-        x = np.ascontiguousarray(p["X"].take(lanes.source[now], 0).T)
+        x = xs[:, at : at + n]
         a = U @ h
         g = x[: 2 * H] + a[: 2 * H]
         np.negative(g, g)
@@ -139,17 +141,22 @@ def _symbols(lanes, s, active, what):
 def _exponentials(state, weights):
     """exp of the scores and its row sums; scores are shifted by rows if they leave the range."""
     e = state.T @ weights
-    with np.errstate(over="ignore"):
-        np.exp(e, e)
-    total = e @ np.ones(e.shape[1], e.dtype)
+    np.exp(e, e)
+    ones = _ones(e.shape[1], e.dtype)
+    total = e @ ones
     if not (np.isfinite(total.sum()) and total.all()):
         e = state.T @ weights
         e -= e.max(1, keepdims=True)
         np.exp(e, e)
-        total = e @ np.ones(e.shape[1], e.dtype)
+        total = e @ ones
     return e, total
 
 
+@functools.cache
+def _ones(n, dtype):
+    return np.ones(n, dtype)
+
+
 def _log_softmax(state, weights, picked):
     """Log probability of the picked word of each state."""
     e, total = _exponentials(state, weights)
@@ -178,6 +185,7 @@ def _by_class(p, kind):
     return rows, [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
 
 
+@np.errstate(over="ignore")
 def log_likelihood(p, docs: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log probability of each document's symbols; the state runs through the whole document."""
     total = np.zeros(len(docs))
@@ -209,6 +217,7 @@ class Trainer:
         self.p, self.rate = p, rate
         self.seen = {k: np.full(v.shape, 1e-6, _F) for k, v in p.items()}
 
+    @np.errstate(over="ignore")
     def learn(self, docs: list[np.ndarray], end: int) -> None:
         lanes = Lanes(docs, end)
         h = np.zeros((HIDDEN, lanes.width), _F)
@@ -263,7 +272,7 @@ class Trainer:
         source = _symbols(lanes, s, active, lanes.source)
         met = np.zeros(len(p["X"]), bool)
         met[source] = True
-        rows, at = np.flatnonzero(met), (np.cumsum(met, dtype=np.int32) - 1)[source]
+        rows, at = np.flatnonzero(met), (np.cumsum(met, dtype=np.intp) - 1)[source]  # as bincount takes them
         sums = np.empty((len(rows), 3 * H), _F)
         for j in range(3 * H):
             sums[:, j] = np.bincount(at, dx[j], len(rows))
